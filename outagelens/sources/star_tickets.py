@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from outagelens.functions.rules import case_when, literal, lookup
 from outagelens.plans.cleaning import Cleaning
+from outagelens.sources.checkpoints import stored
 
 # The copy of a repeated ticket that counts as first.
 ARRIVAL_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax"]
@@ -185,4 +186,11 @@ def cleaning_view(spark: SparkSession, folder: str) -> Cleaning:
 
 
 def clean_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean tickets as a lazy plan."""
     return cleaning_view(spark, folder).clean
+
+
+@lru_cache(maxsize=8)
+def clean_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean tickets as a stored table, written once per session; the reports read this."""
+    return stored(clean_view(spark, folder), "clean-tickets")
