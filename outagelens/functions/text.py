@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 from outagelens.functions.rules import case_when, literal
 
 
+MIN_WORD = 3
+
+
 def clean_text(text: Column) -> Column:
     """Dashes and underscores become blanks, runs of blanks collapse; missing stays missing."""
     return F.trim(F.regexp_replace(F.translate(text, "-_", "  "), r"\s+", " "))
 
 
-def tokens(text: Column, stop_words: Iterable[str], min_length: int = 3) -> Column:
-    """Lower-case words of letters and digits, without stop words and short words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", " ")), " ")
-    stop = [word for word in stop_words if len(word) >= min_length]
-    stop_set = F.split(F.lit(" ".join(stop)), " ")
-    return F.filter(words, lambda word: (F.length(word) >= min_length) & ~F.array_contains(stop_set, word))
+def words_of(text: Column) -> Column:
+    """Lower-case runs of letters and digits, in order; one empty word for a missing text."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", " ")), " ")
+
+
+def tokens(text: Column, stop_words: Iterable[str]) -> Column:
+    """The words of at least three characters that are not stop words."""
+    stop = F.split(F.lit(" ".join(stop_words)), " ")
+    return F.filter(words_of(text), lambda word: (F.length(word) >= MIN_WORD) & ~F.array_contains(stop, word))
 
 
 def prepared_text(text: Column, stop_words: Iterable[str]) -> Column:
@@ -51,15 +57,30 @@ def truncated(text: Column, max_length: int = 50, suffix: str = "...") -> Column
     )
 
 
+def fixed_point(number: Column, decimals: int) -> Column:
+    """A number with a fixed count of decimals (up to 3), rounded from its exact binary value."""
+    scale, one = 10**decimals, 2**52
+    size = F.abs(number)
+    whole = F.floor(size)
+    part = ((size - whole) * F.lit(float(one))).cast("bigint") * F.lit(scale)
+    digits = whole * F.lit(scale) + F.shiftright(part, 52)
+    rest, half = part.bitwiseAND(F.lit(one - 1)), F.lit(one // 2)
+    rounded = digits + F.when((rest > half) | ((rest == half) & (digits % 2 == 1)), 1).otherwise(0)
+    sign = F.when(number < 0, "-").otherwise("")
+    if decimals == 0:
+        return F.concat(sign, rounded.cast("string"))
+    fraction = F.lpad((rounded % F.lit(scale)).cast("string"), decimals, "0")
+    return F.concat(sign, F.floor(rounded / F.lit(scale)).cast("string"), F.lit("."), fraction)
+
+
 def magnitude(number: Column, decimals: int = 1) -> Column:
     """1234 -> 1.2K, with K, M and B; smaller numbers keep their plain form."""
     value = number.cast("double")
     size = F.abs(value)
-    template = f"%.{decimals}f"
     return (
-        F.when(size >= 1e9, F.format_string(template + "B", value / 1e9))
-        .when(size >= 1e6, F.format_string(template + "M", value / 1e6))
-        .when(size >= 1e3, F.format_string(template + "K", value / 1e3))
+        F.when(size >= 1e9, F.concat(fixed_point(value / 1e9, decimals), F.lit("B")))
+        .when(size >= 1e6, F.concat(fixed_point(value / 1e6, decimals), F.lit("M")))
+        .when(size >= 1e3, F.concat(fixed_point(value / 1e3, decimals), F.lit("K")))
         .otherwise(number.cast("string"))
     )
 

@@ -7,15 +7,21 @@ over all documents, and length-normalised vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outagelens.functions.rules import is_any
 from outagelens.functions.service import confidence_tier
-from outagelens.functions.text import tokens
+from outagelens.functions.text import MIN_WORD, words_of
 
 SCORE_DECIMALS = 9
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def as_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def default_stop_words() -> list[str]:
@@ -27,34 +33,26 @@ def default_stop_words() -> list[str]:
 
 def term_counts(df: DataFrame, id_col: str, target: str, text: str, stop_words: Iterable[str]) -> DataFrame:
     """Occurrences per (known, entity, term); counts are combined before the shuffle."""
-    return (
-        df.select(
-            F.col(target).isNotNull().alias("known"),
-            F.coalesce(F.col(target).cast("string"), F.col(id_col).cast("string")).alias("entity"),
-            F.explode(tokens(F.col(text), stop_words)).alias("term"),
-        )
-        .groupBy("known", "entity", "term")
-        .agg(F.count("*").alias("tf"))
+    words = df.select(
+        F.col(target).isNotNull().alias("known"),
+        F.coalesce(F.col(target).cast("string"), F.col(id_col).cast("string")).alias("entity"),
+        F.explode(words_of(F.col(text))).alias("term"),
     )
+    kept = words.where(F.length("term") >= MIN_WORD)
+    stop = [word for word in stop_words if len(word) >= MIN_WORD]
+    if stop:
+        kept = kept.where(f"NOT {is_any('term', stop)}")
+    return kept.groupBy("known", "entity", "term").agg(F.count("*").alias("tf"))
 
 
-def _entities(counts: DataFrame, known: bool) -> Column:
-    """Number of known categories (or of unknown rows) that kept at least one term."""
-    side = counts.where(F.col("known") if known else ~F.col("known"))
-    return side.select("entity").distinct().agg(F.count("*")).scalar()
-
-
-def similar_categories(
-    df: DataFrame, id_col: str, target: str, text: str, stop_words: Iterable[str]
-) -> DataFrame:
-    """Best category and score for every row with a missing target and usable text.
+def similar_categories(counts: DataFrame, id_col: str) -> DataFrame:
+    """Best category and score for every row of the counts with a missing target.
 
     Ties, and rows that share no term with any category, go to the first category
     in sort order.  The only joins are equality joins on the term, whose hot
     values Spark splits at run time, and on the entity.
     """
-    counts = term_counts(df, id_col, target, text, stop_words)
-    documents = _entities(counts, True) + _entities(counts, False)
+    documents = counts.select("known", "entity").distinct().agg(F.count("*")).scalar()
     spread = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((1 + documents) / (1 + F.col("df"))) + 1
     weighted = counts.join(spread, "term").withColumn("weight", F.col("tf") * idf)
@@ -93,20 +91,21 @@ def similar_categories(
 
 
 def fill_from_text(
-    df: DataFrame, id_col: str, target: str, text: str, constant: str, stop_words: Iterable[str]
+    df: DataFrame, id_col: str, target: str, text: str, constant: str, stop_words: Iterable[str], keep: Keep = as_is
 ) -> DataFrame:
     """The table with missing targets filled.
 
     Without any known category, or when no row with a missing target has usable
     text, the constant is filled in.  Otherwise a row without usable text stays
-    missing.
+    missing.  `keep` may store the term counts, which several branches read.
     """
     for column in (text, target):
         if column not in df.columns:
             raise ValueError(f"Missing required column: '{column}'")
-    counts = term_counts(df, id_col, target, text, stop_words)
-    nothing_to_compare = (_entities(counts, True) == 0) | (_entities(counts, False) == 0)
-    found = similar_categories(df, id_col, target, text, stop_words).select(
+    counts = keep(term_counts(df, id_col, target, text, stop_words))
+    sides = counts.agg(F.count_if("known").alias("known"), F.count_if(~F.col("known")).alias("unknown"))
+    nothing_to_compare = sides.select((F.col("known") == 0) | (F.col("unknown") == 0)).scalar()
+    found = similar_categories(counts, id_col).select(
         F.col(id_col).alias("_row"), F.col("assigned").alias("_assigned")
     )
     filled = F.coalesce(F.col(target), F.col("_assigned"), F.when(nothing_to_compare, F.lit(constant)))
@@ -114,9 +113,11 @@ def fill_from_text(
     return df.join(found, matches, "left").withColumn(target, filled).drop("_row", "_assigned")
 
 
-def inference_log(df: DataFrame, id_col: str, target: str, text: str, stop_words: Iterable[str]) -> DataFrame:
+def inference_log(
+    df: DataFrame, id_col: str, target: str, text: str, stop_words: Iterable[str], keep: Keep = as_is
+) -> DataFrame:
     """Assigned value, score and confidence tier of every inferred row."""
-    found = similar_categories(df, id_col, target, text, stop_words)
+    found = similar_categories(keep(term_counts(df, id_col, target, text, stop_words)), id_col)
     return found.select(
         id_col,
         F.col("assigned").alias("Raw Inferred Value"),

@@ -119,28 +119,34 @@ def pareto(df: DataFrame, by: list[str], name: str, count: str) -> DataFrame:
     return result if by else result.drop("_all")
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
-    """Percentile rank (0..100) of every row inside its group.
+def value_ranks(df: DataFrame, by: list[str], row: list[str], ranks: dict[str, str]) -> DataFrame:
+    """Percentile ranks (0..100) of every row inside its group, for several measures at once.
 
-    Equal values share the mean position; missing values come last as one tie
-    and count in the denominator.
+    `row` names the columns that identify a row, and `ranks` maps a measure to
+    its rank column.  Equal values share the mean position; missing values come
+    last as one tie and count in the denominator.
     """
+    measures = F.array(
+        *[F.struct(F.lit(name).alias("_measure"), F.col(name).cast("double").alias("_value")) for name in ranks]
+    )
+    long = df.select(*dict.fromkeys([*by, *row]), F.inline(measures))
+    group = [*by, "_measure"]
     counted = (
-        df.groupBy(*by, value)
+        long.groupBy(*group, "_value")
         .agg(F.count("*").alias("_n"))
-        .withColumn("_bucket", F.coalesce(magnitude_bucket(F.col(value)), F.lit(2**40)))
+        .withColumn("_bucket", F.coalesce(magnitude_bucket(F.col("_value")), F.lit(2**40)))
+    )
+    placed = running_sums(counted, group, ["_bucket"], [F.col("_value").asc_nulls_last()], {"_n": "_upto"})
+    sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_size"))
+    mean_place = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)
+    positions = placed.join(sizes, group).select(
+        *group, F.col("_value").alias("_of"), (mean_place / F.col("_size") * 100).alias("_rank")
     )
-    placed = running_sums(counted, by, ["_bucket"], [F.col(value).asc_nulls_last()], {"_n": "_upto"})
-    sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    ranks = placed.join(sizes, by).select(
-        *[F.col(key).alias(f"_by_{key}") for key in by],
-        F.col(value).alias("_value"),
-        ((F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)) / F.col("_size") * 100).alias(rank),
+    ranked = long.join(positions, group).where(F.col("_value").eqNullSafe(F.col("_of")))
+    wide = ranked.groupBy(*row).agg(
+        *[F.max(F.when(F.col("_measure") == name, F.col("_rank"))).alias(into) for name, into in ranks.items()]
     )
-    same = df[value].eqNullSafe(ranks["_value"])
-    for key in by:
-        same = same & (df[key] == ranks[f"_by_{key}"])
-    return df.join(ranks, same, "left").drop("_value", *[f"_by_{key}" for key in by])
+    return df.join(wide, row)
 
 
 # --- equality of load ---------------------------------------------------------------------

@@ -17,7 +17,9 @@ from outagelens.functions.rules import (
 )
 from outagelens.functions.text import clean_text, closest_label
 from outagelens.operators.dedupe import keep_first
-from outagelens.operators.inference import default_stop_words, fill_from_text, inference_log, low_confidence
+from outagelens.operators.inference import (
+    Keep, as_is, default_stop_words, fill_from_text, inference_log, low_confidence,
+)
 from outagelens.operators.lookups import lookup_left, settled, unmatched
 from outagelens.sources.files import require_columns
 
@@ -268,7 +270,7 @@ class Cleaning:
     region_scope: str | None = None
     infer: bool = True
     stop_words: Iterable[str] | None = None
-    cut: Callable[[DataFrame], DataFrame] = lambda df: df
+    cut: Keep = as_is
     stages: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -279,11 +281,11 @@ class Cleaning:
             self.stop_words = list(self.stop_words if self.stop_words is not None else default_stop_words())
             stage["filtered"] = self.cut(stage["filtered"])
             stage["typed"] = fill_from_text(
-                stage["filtered"], "TICKETID", "NEType", "DESCRIPTION", "UNKNOWN", self.stop_words
+                stage["filtered"], "TICKETID", "NEType", "DESCRIPTION", "UNKNOWN", self.stop_words, self.cut
             )
             stage["repaired"] = self.cut(repair_texts(stage["typed"]))
             stage["caused"] = fill_from_text(
-                stage["repaired"], "TICKETID", CAUSE, "DESCRIPTION", fixed.UNKNOWN_CAUSE, self.stop_words
+                stage["repaired"], "TICKETID", CAUSE, "DESCRIPTION", fixed.UNKNOWN_CAUSE, self.stop_words, self.cut
             )
         else:
             stage["typed"] = stage["filtered"]
@@ -396,7 +398,7 @@ def audit_extracts(cleaning: Cleaning) -> dict[str, DataFrame]:
             audits[f"{label}_anonymization_map"] = pseudonym_map(stage["scoped"], name)
     if cleaning.infer:
         for label, source, target in (("netype", "filtered", "NEType"), ("rfodescription", "repaired", CAUSE)):
-            log = inference_log(stage[source], "TICKETID", target, "DESCRIPTION", cleaning.stop_words)
+            log = inference_log(stage[source], "TICKETID", target, "DESCRIPTION", cleaning.stop_words, cleaning.cut)
             audits[f"inferred_{label}_scores"] = log
             audits[f"low_confidence_{label}"] = low_confidence(log)
         scores = audits["inferred_rfodescription_scores"].select("TICKETID", "Similarity_Score")

@@ -173,11 +173,12 @@ def overview(df: DataFrame) -> DataFrame:
         (F.avg("SLA_Compliant") * 100).alias("sla_rate"),
         F.avg(F.when(held, F.col("DISPATCH_DELAY_HOURS"))).alias("noc_time"),
         F.avg(F.when(held, F.col("FIELD_TIME_HOURS"))).alias("field_time"),
-        *[(F.avg((F.col("Resolution_Path") == path).cast("int")) * 100).alias(path) for path in fixed.PATH_ORDER],
+        *[share_where(F.col("Resolution_Path") == path, path) for path in fixed.PATH_ORDER],
     )
 
 
-def share_where(df: DataFrame, condition: Column, name: str) -> Column:
+def share_where(condition: Column, name: str) -> Column:
+    """Percentage of rows that meet a condition."""
     return (F.avg(condition.cast("int")) * 100).alias(name)
 
 

@@ -55,9 +55,10 @@ def site_risk(df: DataFrame, minimum: int = MIN_SITE_TICKETS) -> DataFrame:
         .withColumn("Low_Vol", F.col("All_Tickets") < minimum)
         .withColumn("Complexity_Score", F.expr(lookup(named("Complexity"), fixed.COMPLEXITY_SCORES)))
     )
-    ranked = value_ranks(measured, ["ZONE"], "All_Tickets", "Freq_Rank")
-    ranked = value_ranks(ranked, ["ZONE"], "Avg_MTTR", "MTTR_Rank")
-    ranked = value_ranks(ranked, ["ZONE"], "Breach_Rate", "Breach_Rank")
+    ranked = value_ranks(
+        measured, ["ZONE"], ["ZONE", "SiteName"],
+        {"All_Tickets": "Freq_Rank", "Avg_MTTR": "MTTR_Rank", "Breach_Rate": "Breach_Rank"},
+    )
     score = F.lit(0.0)
     for name, weight in fixed.SITE_RISK_WEIGHTS.items():
         score = score + F.col(name) * weight

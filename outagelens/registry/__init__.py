@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["cleaning", "kpis", "reports"]
+MODULES = ["cleaning", "kpis", "reports", "shapes"]
 
 
 def load() -> dict:

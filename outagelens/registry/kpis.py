@@ -274,7 +274,7 @@ def scaled(name: str, invert: bool = False) -> str:
     return f"(100 - {text})" if invert else f"({text})"
 
 
-@query("zone_scorecard", f"""{MIX}
+SCORECARD = f"""{MIX}
 , base AS (
   SELECT "ZONE", avg("SLA_Compliant") * 100 AS sla, avg("SLA_Compliant") FILTER ("Priority" IN (1, 2)) * 100 AS high,
          count("TICKETID") / count(DISTINCT "Area") AS density
@@ -288,7 +288,10 @@ shown AS (
          round_even(c, 1) AS "Field_Score", round_even(d, 1) AS "Density_Score", round_even(e, 1) AS "MTTR_Score",
          round_even(a * 0.30::DOUBLE + b * 0.25::DOUBLE + c * 0.20::DOUBLE + d * 0.15::DOUBLE + e * 0.10::DOUBLE, 1)
            AS "Composite"
-  FROM scores)
+  FROM scores)"""
+
+
+@query("zone_scorecard", f"""{SCORECARD}
 SELECT *, CAST(floor(rank() OVER (ORDER BY "Composite" DESC)
           + (count(*) OVER (PARTITION BY "Composite") - 1) / 2.0) AS INT) AS "Rank"
 FROM shown""")

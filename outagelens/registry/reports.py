@@ -328,12 +328,13 @@ city_mode AS (
   QUALIFY row_number() OVER (PARTITION BY "SiteName" ORDER BY n DESC, "CITY") = 1),
 attributes AS (
   SELECT "SiteName", types, core, CASE WHEN core OR types >= 6 THEN 'High' WHEN types >= 3 THEN 'Medium'
-         ELSE 'Low' END AS complexity, zone_mode."ZONE" AS zone, city_mode."CITY" AS city
+         ELSE 'Low' END AS complexity, zone_mode."ZONE" AS home_zone, city_mode."CITY" AS home_city
   FROM ne JOIN zone_mode USING ("SiteName") JOIN city_mode USING ("SiteName"))"""
 
 
 @query("site_attributes", f"""{SITES}
-SELECT "SiteName", types AS "NE_Count", core AS "Has_Core_IP", complexity AS "Complexity", zone AS "ZONE", city AS "CITY"
+SELECT "SiteName", types AS "NE_Count", core AS "Has_Core_IP", complexity AS "Complexity", home_zone AS "ZONE",
+       home_city AS "CITY"
 FROM attributes""")
 def site_attributes(spark, folder):
     return sites.site_attributes(zoned(spark, folder))
@@ -354,7 +355,7 @@ volume AS (
          avg("SLA_Compliant") FILTER ({FIELD}) * 100 AS sla, avg("OUTAGEDURATION") FILTER ({FIELD}) AS mttr
   FROM zoned GROUP BY 1, 2),
 ranked AS (
-  SELECT volume.*, types, core, complexity, city, months, 100 - sla AS breach,
+  SELECT volume.*, types, core, complexity, home_city, months, 100 - sla AS breach,
          {_pct('n')} AS f, {_pct('mttr')} AS m, {_pct('(100 - sla)')} AS b,
          CASE complexity WHEN 'Low' THEN 0 WHEN 'Medium' THEN 50 ELSE 100 END AS c
   FROM volume JOIN attributes USING ("SiteName"), span),
@@ -363,7 +364,7 @@ risk AS (SELECT *, f * 0.30::DOUBLE + m * 0.30::DOUBLE + b * 0.25::DOUBLE + c *
 
 @query("site_risk", f"""{RISK}
 SELECT "ZONE", "SiteName", n AS "All_Tickets", fd AS "FD_Tickets", {r('sla')} AS "SLA_pct", {r('mttr')} AS "Avg_MTTR",
-       complexity AS "Complexity", types AS "NE_Count", core AS "Has_Core_IP", city AS "CITY",
+       complexity AS "Complexity", types AS "NE_Count", core AS "Has_Core_IP", home_city AS "CITY",
        {r('breach')} AS "Breach_Rate", {r('n / months')} AS "Fault_per_Month", n < 10 AS "Low_Vol",
        c AS "Complexity_Score", {r('f')} AS "Freq_Rank", {r('m')} AS "MTTR_Rank", {r('b')} AS "Breach_Rank",
        {r('score')} AS "Risk_Score"
