@@ -11,8 +11,6 @@ from outagelens.functions.rules import case_when, is_any, named
 from outagelens.operators.dedupe import keep_first
 from outagelens.schemas import SITES
 
-BAD_LINE = "_bad_line"
-
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     try:
@@ -38,37 +36,49 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     return df
 
 
-def _delimited(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """All columns as text, named by the header, plus the text of malformed lines."""
-    options = {
-        "sep": separator, "header": True, "encoding": "UTF-8", "ignoreLeadingWhiteSpace": True,
-        "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE,
-    }
-    header = spark.read.options(**options).csv(path).schema
-    return spark.read.options(**options).schema(header.add(BAD_LINE, "string")).csv(path)
+def _options(separator: str) -> dict[str, str]:
+    return {"sep": separator, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true"}
+
 
+def _lines(spark: SparkSession, path: str, separator: str) -> tuple[DataFrame, list[str]]:
+    """The data lines of a delimited file with their cell count, and the column names of its header.
+
+    Cells are counted on the whole line, so a line is judged the same way
+    whichever columns a job reads later.
+    """
+    names = spark.read.options(**_options(separator)).option("header", True).csv(path).columns
+    text = spark.read.text(path)
+    header = text.limit(1).scalar()
+    unquoted = F.regexp_replace("value", '"([^"]|"")*"', "")
+    separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit("")))
+    lines = text.where((F.col("value") != header) & (F.trim("value") != ""))
+    return lines.withColumn("cells", separators + 1), names
 
-def _too_many_cells(columns: int, separator: str):
-    """A line with more cells than the header; shorter lines are padded and kept."""
-    cells = F.length(BAD_LINE) - F.length(F.replace(F.col(BAD_LINE), F.lit(separator), F.lit(""))) + 1
-    return F.coalesce(cells > columns, F.lit(False))
+
+def _delimited(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """All columns as text, named by the header.
+
+    A line with more cells than the header is skipped, a shorter one is padded.
+    """
+    lines, names = _lines(spark, path, separator)
+    schema = ", ".join(f"{named(name)} STRING" for name in names)
+    kept = lines.where(F.col("cells") <= len(names))
+    return kept.select(F.from_csv("value", schema, _options(separator)).alias("row")).select("row.*")
 
 
 def bad_lines(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     """The lines that the reader skips."""
-    lines = _delimited(spark, path, separator)
-    return lines.where(_too_many_cells(len(lines.columns) - 1, separator)).select(lines.columns[0], BAD_LINE)
+    lines, names = _lines(spark, path, separator)
+    return lines.where(F.col("cells") > len(names)).select(F.col("value").alias("line"))
 
 
 def read_tickets(spark: SparkSession, paths: list[str], separator: str = "\t") -> DataFrame:
     """Raw tickets of the first path that exists; extra columns are kept."""
     lines = _delimited(spark, first_existing(spark, paths), separator)
-    names = [name for name in lines.columns if name != BAD_LINE]
-    kept = lines.where(~_too_many_cells(len(names), separator))
-    tickets = kept.select(
+    tickets = lines.select(
         *[
             F.expr(case_when([(is_any(named(name), fixed.MISSING_MARKERS), "NULL")], named(name))).alias(name)
-            for name in names
+            for name in lines.columns
         ]
     )
     require_columns(tickets, fixed.REQUIRED_COLUMNS)
@@ -91,7 +101,7 @@ def read_sites(spark: SparkSession, paths: list[str], separator: str = ",") -> D
         path = first_existing(spark, paths)
     except FileNotFoundError:
         return spark.createDataFrame([], SITES)
-    lines = _delimited(spark, path, separator).drop(BAD_LINE)
+    lines = _delimited(spark, path, separator)
     require_columns(lines, fixed.SITE_COLUMNS)
     return site_dimension(lines.withColumn("_line", F.monotonically_increasing_id()), ["_line"])
 
