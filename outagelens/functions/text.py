@@ -62,10 +62,12 @@ def fixed_point(number: Column, decimals: int) -> Column:
     scale, one = 10**decimals, 2**52
     size = F.abs(number)
     whole = F.floor(size)
-    part = ((size - whole) * F.lit(float(one))).cast("bigint") * F.lit(scale)
+    scaled = (size - whole) * F.lit(float(one))
+    steps = F.floor(scaled)
+    part = steps * F.lit(scale)
     digits = whole * F.lit(scale) + F.shiftright(part, 52)
-    rest, half = part.bitwiseAND(F.lit(one - 1)), F.lit(one // 2)
-    rounded = digits + F.when((rest > half) | ((rest == half) & (digits % 2 == 1)), 1).otherwise(0)
+    past_half = (part.bitwiseAND(F.lit(one - 1)) - F.lit(one // 2)) + (scaled - steps) * F.lit(scale)
+    rounded = digits + F.when((past_half > 0) | ((past_half == 0) & (digits % 2 == 1)), 1).otherwise(0)
     sign = F.when(number < 0, "-").otherwise("")
     if decimals == 0:
         return F.concat(sign, rounded.cast("string"))
