@@ -34,9 +34,13 @@ def rows_of_large_groups(df: DataFrame, by: list[str], minimum: int) -> DataFram
     return df.join(groups_with_volume(df, by, minimum), by, "left_semi")
 
 
-def modal_value(df: DataFrame, by: list[str], column: str, into: str) -> DataFrame:
-    """Most frequent value per group, the smallest among equals; counted before it is compared."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+def modal_value(df: DataFrame, by: list[str], column: str, into: str, weight: str | None = None) -> DataFrame:
+    """Most frequent value per group, the smallest among equals; counted before it is compared.
+
+    With a weight column the rows are counts already.
+    """
+    rows = F.sum(weight) if weight else F.count("*")
+    counted = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(rows.alias("_n"))
     best = F.min(F.struct((-F.col("_n")).alias("_n"), F.col(column).alias("_value")))
     return counted.groupBy(*by).agg(best.alias("_best")).select(*by, F.col("_best._value").alias(into))
 

@@ -14,24 +14,33 @@ def magnitude_bucket(value: Column) -> Column:
     return F.when(value < 0, -size - 1).otherwise(size)
 
 
+def value_table(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """How often each value of a number column occurs per group: columns `by`, _value, _n."""
+    return (
+        df.where(F.col(value).isNotNull())
+        .dropna(subset=by)
+        .groupBy(*by, F.col(value).cast("double").alias("_value"))
+        .agg(F.count("*").alias("_n"))
+    )
+
+
 def grouped_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """One row per group with one column per requested quantile (linear interpolation).
+    """One row per group with one column per requested quantile (linear interpolation)."""
+    keys = by or ["_all"]
+    source = df if by else df.withColumn("_all", F.lit(1))
+    result = quantiles_of(value_table(source, keys, value), keys, quantiles)
+    return result if by else result.drop("_all")
+
+
+def quantiles_of(counted: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Quantiles of a value table.
 
     1. Count equal values (combined before the shuffle).
     2. Add the counts up per magnitude bucket: a few thousand rows per group, so
        the running count that locates each wanted rank stays small.
     3. Only the values in a located bucket are ranked one by one.
     """
-    keys = by or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(1))
-    values = (
-        source.where(F.col(value).isNotNull())
-        .dropna(subset=keys)
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_bucket", magnitude_bucket(F.col("_value")))
-    )
-
+    values = counted.withColumn("_bucket", magnitude_bucket(F.col("_value")))
     in_order = Window.partitionBy(*keys).orderBy("_bucket")
     buckets = (
         values.groupBy(*keys, "_bucket")
@@ -72,5 +81,4 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[
         high = F.max(F.when((F.col("_name") == name) & (F.col("_side") == "high"), F.col("_value")))
         fraction = F.max(F.when(F.col("_name") == name, F.col("_fraction")))
         columns.append((low + (high - low) * fraction).alias(name))
-    result = picked.groupBy(*keys).agg(*columns)
-    return result if by else result.drop("_all")
+    return picked.groupBy(*keys).agg(*columns)

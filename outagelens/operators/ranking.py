@@ -110,11 +110,13 @@ def pareto(df: DataFrame, by: list[str], name: str, count: str) -> DataFrame:
     summed = running_sums(
         ordered, keys, ["_largest", "_tie"], [F.col(name)], {"_one": "Rank", count: "Running_Count"}
     )
-    totals = source.groupBy(*keys).agg(F.sum(count).alias("_total"))
-    result = (
-        summed.join(totals, keys)
-        .withColumn("Cumulative_Pct", F.col("Running_Count") / F.col("_total") * 100)
-        .drop("_largest", "_tie", "_one", "_total")
+    if by:
+        summed = summed.join(source.groupBy(*by).agg(F.sum(count).alias("_total")), by)
+        total = F.col("_total")
+    else:
+        total = source.agg(F.sum(count)).scalar()
+    result = summed.withColumn("Cumulative_Pct", F.col("Running_Count") / total * 100).drop(
+        "_largest", "_tie", "_one", "_total"
     )
     return result if by else result.drop("_all")
 
@@ -140,9 +142,13 @@ def value_ranks(df: DataFrame, by: list[str], row: list[str], ranks: dict[str, s
     sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_size"))
     mean_place = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)
     positions = placed.join(sizes, group).select(
-        *group, F.col("_value").alias("_of"), (mean_place / F.col("_size") * 100).alias("_rank")
+        *[F.col(key).alias(f"_of_{key}") for key in [*group, "_value"]],
+        (mean_place / F.col("_size") * 100).alias("_rank"),
     )
-    ranked = long.join(positions, group).where(F.col("_value").eqNullSafe(F.col("_of")))
+    same = long["_value"].eqNullSafe(positions["_of__value"])
+    for key in group:
+        same = same & (long[key] == positions[f"_of_{key}"])
+    ranked = long.join(positions, same)
     wide = ranked.groupBy(*row).agg(
         *[F.max(F.when(F.col("_measure") == name, F.col("_rank"))).alias(into) for name, into in ranks.items()]
     )

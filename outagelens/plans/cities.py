@@ -9,7 +9,7 @@ from outagelens import fixed_values as fixed
 from outagelens.functions.service import city_class, delta_verdict, deviation_flag, ratio_flag
 from outagelens.functions.text import without_prefix
 from outagelens.operators.lookups import rows_of_large_groups
-from outagelens.operators.quantiles import grouped_quantiles
+from outagelens.operators.quantiles import grouped_quantiles, quantiles_of, value_table
 from outagelens.operators.ranking import min_max, top_n_per_group
 from outagelens.plans import kpis
 
@@ -39,6 +39,13 @@ def _city_measures(df: DataFrame) -> DataFrame:
         F.avg(F.when(degraded, F.col("OUTAGEDURATION"))).alias("P32_MTTR"),
         F.count_if(F.col(CAUSE) == fixed.UNKNOWN_CAUSE).alias("Unknown_Tickets"),
         F.sum("SLA_Compliant").alias("_met"),
+        F.sum(F.when(degraded, F.col("SLA_Compliant"))).alias("_p32_met"),
+        F.count(F.when(held, F.col("DISPATCH_DELAY_HOURS"))).alias("_delays"),
+        F.count(F.when(held, F.col("FIELD_TIME_HOURS"))).alias("_fields"),
+        F.sum(F.when(held, F.col("FIELD_TIME_HOURS"))).alias("_field_hours"),
+        F.count_if(held).alias("_sound_rows"),
+        F.count(F.when(held, F.col("SLA_Compliant"))).alias("_sound_judged"),
+        F.sum(F.when(held, F.col("SLA_Compliant"))).alias("_sound_met"),
     )
 
 
@@ -92,29 +99,29 @@ def city_volumes(df: DataFrame, minimum: int = MIN_CITY_TICKETS) -> DataFrame:
 
 
 def degradation_breach(df: DataFrame, minimum: int = 20, city_minimum: int = MIN_CITY_TICKETS) -> DataFrame:
-    """Breach rate of the degradation tier per city, with the zone's rate."""
-    rows = large_cities(df, city_minimum).where(F.col("Priority_Urgency") == "3.2")
-    zones = rows.groupBy("ZONE").agg(kpis.breach_rate().alias("Zone_Breach"))
-    cities = rows.groupBy(*CITY).agg(
-        F.count("SLA_Compliant").alias("P32_Tickets"),
-        kpis.breach_rate().alias("P32_Breach"),
-        F.avg("OUTAGEDURATION").alias("P32_MTTR"),
+    """Breach rate of the degradation tier per city, with the rate of its zone's large cities."""
+    large = _city_measures(df).where((F.col("Rows") >= city_minimum) & (F.col("P32_Tickets") > 0))
+    zone = Window.partitionBy("ZONE")
+    zone_met = F.sum("_p32_met").over(zone) / F.sum("P32_Tickets").over(zone)
+    return (
+        large.withColumn("Zone_Breach", (1 - zone_met) * 100)
+        .where(F.col("P32_Tickets") >= minimum)
+        .select(*CITY, "P32_Tickets", "P32_Breach", "P32_MTTR", "Zone_Breach")
     )
-    return cities.where(F.col("P32_Tickets") >= minimum).join(zones, "ZONE")
 
 
 def endorsement_delay(
     df: DataFrame, minimum: int = 30, cap: float = 40, city_minimum: int = MIN_CITY_TICKETS
 ) -> DataFrame:
     """Mean and median dispatch delay per city on sound tickets; the mean also capped for display."""
-    rows = kpis.sound(large_cities(df, city_minimum))
-    means = rows.groupBy(*CITY).agg(
-        F.count("DISPATCH_DELAY_HOURS").alias("Tickets"), F.avg("DISPATCH_DELAY_HOURS").alias("Avg_NOC_Time")
+    means = (
+        _city_measures(df)
+        .where((F.col("Rows") >= city_minimum) & (F.col("_delays") >= minimum))
+        .select(*CITY, F.col("_delays").alias("Tickets"), "Avg_NOC_Time")
     )
-    medians = grouped_quantiles(rows, CITY, "DISPATCH_DELAY_HOURS", {"Med_NOC_Time": 0.5})
+    medians = grouped_quantiles(kpis.sound(df), CITY, "DISPATCH_DELAY_HOURS", {"Med_NOC_Time": 0.5})
     return (
-        means.where(F.col("Tickets") >= minimum)
-        .join(medians, CITY)
+        means.join(medians, CITY)
         .withColumn("Avg_NOC_Time_Capped", F.least(F.col("Avg_NOC_Time"), F.lit(float(cap))))
         .withColumn("CITY", without_prefix(F.col("CITY"), "CITY OF "))
     )
@@ -131,23 +138,29 @@ def unknown_rate(df: DataFrame, minimum: int = MIN_CITY_TICKETS) -> DataFrame:
 
 def class_split(df: DataFrame, zone: str, business_cities: list[str], minimum: int = MIN_CITY_TICKETS) -> DataFrame:
     """Field time and compliance of business-district cities against the rest of a zone."""
-    rows = kpis.sound(large_cities(df, minimum)).where(F.col("ZONE") == zone)
-    classed = rows.withColumn("City_Type", city_class(F.col("CITY"), business_cities))
-    means = classed.groupBy("City_Type").agg(
-        F.count("FIELD_TIME_HOURS").alias("Tickets"),
-        F.avg("FIELD_TIME_HOURS").alias("Avg_Field_Time"),
-        (F.avg("SLA_Compliant") * 100).alias("SLA_pct"),
+    rows = df.where(F.col("ZONE") == zone)
+    large = (
+        _city_measures(rows)
+        .where(F.col("Rows") >= minimum)
+        .withColumn("City_Type", city_class(F.col("CITY"), business_cities))
+    )
+    means = large.groupBy("City_Type").agg(
+        F.sum("_fields").alias("Tickets"),
+        (F.sum("_field_hours") / F.sum("_fields")).alias("Avg_Field_Time"),
+        (F.sum("_sound_met") / F.sum("_sound_judged") * 100).alias("SLA_pct"),
     )
-    return means.join(grouped_quantiles(classed, ["City_Type"], "FIELD_TIME_HOURS", {"Med_Field_Time": 0.5}), "City_Type")
+    # Values are counted per city first; only those counts meet the list of large cities.
+    counted = value_table(kpis.sound(rows), CITY, "FIELD_TIME_HOURS").join(large.select(*CITY, "City_Type"), CITY)
+    merged = counted.groupBy("City_Type", "_value").agg(F.sum("_n").alias("_n"))
+    return means.join(quantiles_of(merged, ["City_Type"], {"Med_Field_Time": 0.5}), "City_Type")
 
 
 def class_by_city(df: DataFrame, zone: str, business_cities: list[str], minimum: int = MIN_CITY_TICKETS) -> DataFrame:
-    rows = kpis.sound(large_cities(df, minimum)).where(F.col("ZONE") == zone)
-    return rows.groupBy("CITY", city_class(F.col("CITY"), business_cities).alias("City_Type")).agg(
-        F.count("FIELD_TIME_HOURS").alias("Tickets"),
-        F.avg("FIELD_TIME_HOURS").alias("Avg_Field_Time"),
-        F.avg("DISPATCH_DELAY_HOURS").alias("Avg_NOC_Time"),
-        (F.avg("SLA_Compliant") * 100).alias("SLA_pct"),
+    large = _city_measures(df.where(F.col("ZONE") == zone)).where(F.col("Rows") >= minimum)
+    return large.where(F.col("_sound_rows") > 0).select(
+        "CITY", city_class(F.col("CITY"), business_cities).alias("City_Type"),
+        F.col("_fields").alias("Tickets"), "Avg_Field_Time", "Avg_NOC_Time",
+        (F.col("_sound_met") / F.col("_sound_judged") * 100).alias("SLA_pct"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outagelens import fixed_values as fixed
@@ -25,20 +25,37 @@ def home_zones(df: DataFrame) -> DataFrame:
     return modal_value(df, ["Field_Lead_ID"], "ZONE", "Home_Zone")
 
 
+def own_team(df: DataFrame, group: str) -> DataFrame:
+    rows = attributed(df)
+    return rows.where(F.col("WOOwnerGroup") == group) if "WOOwnerGroup" in df.columns else rows
+
+
 def active_pool(df: DataFrame, minimum: int = MIN_LEAD_TICKETS, group: str = "Field Operations") -> DataFrame:
     """Tickets of the own team, in the lead's home zone, of leads with enough tickets there."""
-    own = attributed(df).where(F.col("WOOwnerGroup") == group) if "WOOwnerGroup" in df.columns else attributed(df)
+    own = own_team(df, group)
     aligned = own.join(home_zones(own), "Field_Lead_ID", "left").where(F.col("ZONE") == F.col("Home_Zone"))
     return rows_of_large_groups(aligned, LEAD, minimum)
 
 
-def lead_stats(pool: DataFrame) -> DataFrame:
-    return pool.groupBy(*LEAD).agg(
+def lead_stats(df: DataFrame, minimum: int = MIN_LEAD_TICKETS, group: str = "Field Operations") -> DataFrame:
+    """Load and performance per lead of the active pool.
+
+    The pool is chosen on the aggregated table, so the tickets are read once and
+    never joined.
+    """
+    per_zone = own_team(df, group).dropna(subset=LEAD).groupBy(*LEAD).agg(
+        F.count("*").alias("_rows"),
         F.count("SLA_Compliant").alias("Tickets"),
         (F.avg("SLA_Compliant") * 100).alias("SLA_pct"),
         F.avg("OUTAGEDURATION").alias("Avg_MTTR"),
         F.count_distinct("SiteName").alias("Unique_Sites"),
     )
+    home = F.row_number().over(Window.partitionBy("Field_Lead_ID").orderBy(F.desc("_rows"), F.asc("ZONE")))
+    return (
+        per_zone.withColumn("_home", home)
+        .where((F.col("_home") == 1) & (F.col("_rows") >= minimum))
+        .drop("_home", "_rows")
+    )
 
 
 def load_table(stats: DataFrame) -> DataFrame:

@@ -19,13 +19,19 @@ MIN_SITE_TICKETS = 10
 
 def site_attributes(df: DataFrame) -> DataFrame:
     """Equipment variety, core presence, complexity and modal place of every site."""
-    core = F.bool_or(F.col("NE_Category").isin(fixed.CORE_CATEGORIES))
-    variety = df.where(F.col("SiteName").isNotNull()).groupBy("SiteName").agg(
-        F.count_distinct("NEType").alias("NE_Count"), F.coalesce(core, F.lit(False)).alias("Has_Core_IP")
+    core = F.coalesce(F.col("NE_Category").isin(fixed.CORE_CATEGORIES), F.lit(False))
+    # One pass over the tickets; the three summaries below read this small table.
+    cells = (
+        df.where(F.col("SiteName").isNotNull())
+        .groupBy("SiteName", "ZONE", "CITY", "NEType", core.alias("core"))
+        .agg(F.count("*").alias("tickets"))
+    )
+    variety = cells.groupBy("SiteName").agg(
+        F.count_distinct("NEType").alias("NE_Count"), F.bool_or("core").alias("Has_Core_IP")
     )
     classed = variety.withColumn("Complexity", site_complexity(F.col("NE_Count"), F.col("Has_Core_IP")))
-    zone = modal_value(df, ["SiteName"], "ZONE", "ZONE")
-    city = modal_value(df, ["SiteName"], "CITY", "CITY")
+    zone = modal_value(cells, ["SiteName"], "ZONE", "ZONE", "tickets")
+    city = modal_value(cells, ["SiteName"], "CITY", "CITY", "tickets")
     return classed.join(zone, "SiteName", "left").join(city, "SiteName", "left")
 
 

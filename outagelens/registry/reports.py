@@ -499,7 +499,7 @@ stats AS (
 
 
 def lead_stats(spark, folder):
-    return engineers.lead_stats(engineers.active_pool(zoned(spark, folder), LEAD_MIN))
+    return engineers.lead_stats(zoned(spark, folder), LEAD_MIN)
 
 
 @query("home_zones", f"""{POOL}
