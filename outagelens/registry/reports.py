@@ -111,9 +111,10 @@ FINGERPRINT = """
 , rows56 AS (SELECT * FROM zoned WHERE "ZONE" IN ('ZONE 4', 'ZONE 5')),
 top AS (SELECT "Standardized RFO", count(*) AS n FROM rows56 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10),
 sides AS (
-  SELECT "Standardized RFO", count(*) FILTER ("ZONE" = 'ZONE 4')
-           / (SELECT count(*) FROM rows56 WHERE "ZONE" = 'ZONE 4') * 100 AS one,
-         count(*) FILTER ("ZONE" = 'ZONE 5') / (SELECT count(*) FROM rows56 WHERE "ZONE" = 'ZONE 5') * 100 AS two
+  SELECT "Standardized RFO", coalesce(count(*) FILTER ("ZONE" = 'ZONE 4')
+           / nullif((SELECT count(*) FROM rows56 WHERE "ZONE" = 'ZONE 4'), 0) * 100, 0) AS one,
+         coalesce(count(*) FILTER ("ZONE" = 'ZONE 5')
+           / nullif((SELECT count(*) FROM rows56 WHERE "ZONE" = 'ZONE 5'), 0) * 100, 0) AS two
   FROM rows56 WHERE "Standardized RFO" IN (SELECT "Standardized RFO" FROM top) GROUP BY 1)"""
 
 
@@ -453,8 +454,9 @@ frequent AS (SELECT "Standardized RFO", count(*) AS n FROM z1 GROUP BY 1 ORDER B
 
 @query("cohort_causes", f"""{COHORT}
 SELECT "Standardized RFO",
-       {r('count(*) FILTER (in_top) / (SELECT count(*) FROM flagged WHERE in_top) * 100')} AS "Top_Pct",
-       {r('count(*) FILTER (NOT in_top) / (SELECT count(*) FROM flagged WHERE NOT in_top) * 100')} AS "Rest_Pct"
+       {r('coalesce(count(*) FILTER (in_top) / nullif((SELECT count(*) FROM flagged WHERE in_top), 0) * 100, 0)')} AS "Top_Pct",
+       {r('coalesce(count(*) FILTER (NOT in_top) / nullif((SELECT count(*) FROM flagged WHERE NOT in_top), 0) * 100, 0)')}
+         AS "Rest_Pct"
 FROM flagged WHERE "Standardized RFO" IN (SELECT "Standardized RFO" FROM frequent) GROUP BY 1""")
 def cohort_causes(spark, folder):
     return sites.cohort_causes(zoned(spark, folder), "ZONE 1", 5, 6)
