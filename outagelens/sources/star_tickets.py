@@ -70,9 +70,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(stored: DataFrame, key: str) -> DataFrame:
-    """Use every core on a table that sits in a few files; a table in many files is left alone."""
+    """Use every core on a table that few tasks would read; a table read by many tasks is left alone."""
     cores = stored.sparkSession.sparkContext.defaultParallelism
-    return stored.repartition(cores, key) if len(stored.inputFiles()) < cores else stored
+    return stored.repartition(cores, key) if stored.rdd.getNumPartitions() < cores else stored
 
 
 def _choose(number: str, choices: dict[int, str | None], default: str) -> str:
