@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from outagelens.llm import bpe, line_spread, mixing, quality_rules, simhash
+from outagelens.llm import bpe, chat, line_spread, mixing, quality_rules, simhash
 from outagelens.llm.shared import read_table, tokenizer_path
 
 
+def op1_chat(spark, folder):
+    return chat.report(read_table(spark, folder, "conversations"))
+
+
 def op2_bpe(spark, folder):
     return bpe.report(read_table(spark, folder, "documents"), tokenizer_path())
 
@@ -26,6 +30,6 @@ def op10_mixing(spark, folder):
     return mixing.report(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_quality_rules, op5_line_dedup, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op4_quality_rules, op5_line_dedup, op9_simhash, op10_mixing)}
 
 ORACLE_SQL = {"op5_line_dedup": line_spread.REPORT_SQL, "op10_mixing": mixing.REPORT_SQL}
