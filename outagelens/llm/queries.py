@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from outagelens.llm import bpe, chat, line_spread, mixing, quality_rules, simhash
+from outagelens.llm import bpe, chat, fingerprints, line_spread, mixing, quality_rules, simhash
 from outagelens.llm.shared import read_table, tokenizer_path
 
 
@@ -22,6 +22,10 @@ def op5_line_dedup(spark, folder):
     return line_spread.report(read_table(spark, folder, "documents"))
 
 
+def op8_fingerprints(spark, folder):
+    return fingerprints.edits(read_table(spark, folder, "documents"))
+
+
 def op9_simhash(spark, folder):
     return simhash.report(read_table(spark, folder, "documents"))
 
@@ -30,6 +34,7 @@ def op10_mixing(spark, folder):
     return mixing.report(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op4_quality_rules, op5_line_dedup, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op4_quality_rules, op5_line_dedup, op8_fingerprints,
+                                 op9_simhash, op10_mixing)}
 
 ORACLE_SQL = {"op5_line_dedup": line_spread.REPORT_SQL, "op10_mixing": mixing.REPORT_SQL}
