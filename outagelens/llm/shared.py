@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import types
 import uuid
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,9 +76,45 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """docs with the label, for at most `rows` documents that have one: the first by hashed id.
+
+    Rows that repeat a label's id count once, with the larger label. The ids are a proven bound, so they are
+    broadcast and no text is shuffled. A document id that is there more than once gives as many rows.
+    """
+    chosen = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+              .groupBy("doc_id").agg(F.max(label).alias(label)))
+    there = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.join(F.broadcast(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)), "doc_id")
+
+
+def sample_arrays(lists) -> list[np.ndarray]:
+    """The lists of an Arrow column as arrays."""
+    joined = lists.combine_chunks()
+    offsets, values = joined.offsets.to_numpy(), joined.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
 def per_process(name: str, make):
     """make(), once in each Python worker: a worker unpickles functions anew for every task, but keeps its modules."""
     held = sys.modules.setdefault("llm_worker_state", types.ModuleType("llm_worker_state")).__dict__
     if name not in held:
         held[name] = make()
     return held[name]
+
+
+def carried(spark: SparkSession, value):
+    """A function that gives the value in any task: it is broadcast once, and a Python worker keeps the last one it met.
+
+    For models of a bounded size only.
+    """
+    held, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def found():
+        last = per_process("carried", dict)
+        if key not in last:
+            last.clear()
+            last[key] = pickle.loads(held.value)
+        return last[key]
+
+    return found
