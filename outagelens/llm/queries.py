@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from outagelens.llm import bpe, chat, fingerprints, line_spread, mixing, quality_rules, simhash
+from outagelens.llm import bpe, chat, fingerprints, language, line_spread, mixing, quality_rules, simhash, toxicity
 from outagelens.llm.shared import read_table, tokenizer_path
 
 
@@ -22,6 +22,14 @@ def op5_line_dedup(spark, folder):
     return line_spread.report(read_table(spark, folder, "documents"))
 
 
+def op6_toxicity(spark, folder):
+    return toxicity.report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def op7_language(spark, folder):
+    return language.report(read_table(spark, folder, "documents"))
+
+
 def op8_fingerprints(spark, folder):
     return fingerprints.edits(read_table(spark, folder, "documents"))
 
@@ -34,7 +42,7 @@ def op10_mixing(spark, folder):
     return mixing.report(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op4_quality_rules, op5_line_dedup, op8_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op4_quality_rules, op5_line_dedup, op6_toxicity, op7_language, op8_fingerprints,
                                  op9_simhash, op10_mixing)}
 
 ORACLE_SQL = {"op5_line_dedup": line_spread.REPORT_SQL, "op10_mixing": mixing.REPORT_SQL}
