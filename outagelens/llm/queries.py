@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from outagelens.llm import bpe, chat, fingerprints, language, line_spread, mixing, quality_rules, simhash, toxicity
+from outagelens.llm import bpe, chat, fingerprints, language, line_spread, mixing, quality_grades, quality_rules, simhash, toxicity
 from outagelens.llm.shared import read_table, tokenizer_path
 
 
@@ -14,6 +14,10 @@ def op2_bpe(spark, folder):
     return bpe.report(read_table(spark, folder, "documents"), tokenizer_path())
 
 
+def op3_quality_grades(spark, folder):
+    return quality_grades.report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op4_quality_rules(spark, folder):
     return quality_rules.report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
@@ -42,7 +46,7 @@ def op10_mixing(spark, folder):
     return mixing.report(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op4_quality_rules, op5_line_dedup, op6_toxicity, op7_language, op8_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_quality_grades, op4_quality_rules, op5_line_dedup, op6_toxicity, op7_language, op8_fingerprints,
                                  op9_simhash, op10_mixing)}
 
 ORACLE_SQL = {"op5_line_dedup": line_spread.REPORT_SQL, "op10_mixing": mixing.REPORT_SQL}
