@@ -45,44 +45,58 @@ def term_counts(df: DataFrame, id_col: str, target: str, text: str, stop_words:
     return kept.groupBy("known", "entity", "term").agg(F.count("*").alias("tf"))
 
 
-def similar_categories(counts: DataFrame, id_col: str) -> DataFrame:
+def term_table(counts: DataFrame) -> DataFrame:
+    """One row per term: in how many documents it is (df), and the categories that use it, with their counts.
+
+    A term's list is bounded by the number of categories.  Counts are combined before the shuffle.
+    """
+    used = F.when(F.col("known"), F.struct(F.col("entity").alias("category"), "tf"))
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.collect_list(used).alias("used"))
+
+
+def similar_categories(counts: DataFrame, id_col: str, keep: Keep = as_is) -> DataFrame:
     """Best category and score for every row of the counts with a missing target.
 
     Ties, and rows that share no term with any category, go to the first category
-    in sort order.  The only joins are equality joins on the term, whose hot
-    values Spark splits at run time, and on the entity.
+    in sort order.  The counts meet the term table in one join on the term, which
+    yields a row's products with all categories and its norm together.  When
+    `keep` stores both sides, both reach the join through a plain exchange, and
+    Spark splits a word that is in very many documents over several tasks.
     """
     documents = counts.select("known", "entity").distinct().agg(F.count("*")).scalar()
-    spread = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((1 + documents) / (1 + F.col("df"))) + 1
-    weighted = counts.join(spread, "term").withColumn("weight", F.col("tf") * idf)
-    norms = weighted.groupBy("known", "entity").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-
-    rows = weighted.where(~F.col("known")).select(F.col("entity").alias("row"), "term", F.col("weight").alias("w_row"))
-    categories = weighted.where("known").select(
-        F.col("entity").alias("category"), "term", F.col("weight").alias("w_category")
+    terms = keep(term_table(counts))
+    category_norms = (
+        terms.select(idf.alias("idf"), F.inline("used"))
+        .groupBy("category")
+        .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("category_norm"))
     )
+    rows = counts.where(~F.col("known")).select(F.col("entity").alias("row"), "term", F.col("tf").alias("row_tf"))
+    own = F.struct(F.lit(None).cast("string").alias("category"), F.col("row_tf").alias("tf"))
     products = (
-        rows.join(categories, "term")
+        rows.join(terms, "term")
+        .select("row", "row_tf", idf.alias("idf"), F.inline(F.array_append("used", own)))
         .groupBy("row", "category")
-        .agg(F.sum(F.col("w_row") * F.col("w_category")).alias("product"))
-    )
-    row_norms = norms.where(~F.col("known")).select(F.col("entity").alias("row"), F.col("norm").alias("row_norm"))
-    category_norms = norms.where("known").select(
-        F.col("entity").alias("category"), F.col("norm").alias("category_norm")
+        .agg(F.sum(F.col("row_tf") * F.col("tf") * F.col("idf") * F.col("idf")).alias("product"))
     )
-    cosine = F.round(F.col("product") / (F.col("row_norm") * F.col("category_norm")), SCORE_DECIMALS)
-    best = (
-        products.join(category_norms, "category")
-        .join(row_norms, "row")
+    by_row = (
+        products.join(category_norms, "category", "left")
         .groupBy("row")
-        .agg(F.min(F.struct((-cosine).alias("below"), F.col("category"))).alias("best"))
+        .agg(
+            F.sqrt(F.max(F.when(F.col("category").isNull(), F.col("product")))).alias("row_norm"),
+            F.collect_list(
+                F.when(F.col("category").isNotNull(), F.struct("category", (F.col("product") / F.col("category_norm")).alias("part")))
+            ).alias("parts"),
+        )
     )
+    scored = F.transform("parts", lambda part: F.struct(
+        (-F.round(part["part"] / F.col("row_norm"), SCORE_DECIMALS)).alias("below"), part["category"].alias("category")
+    ))
     first = counts.where("known").agg(F.min("entity")).scalar()
     return (
-        row_norms.join(best, "row", "left")
+        by_row.select(F.col("row").alias(id_col), F.array_min(scored).alias("best"))
         .select(
-            F.col("row").alias(id_col),
+            id_col,
             F.coalesce(F.col("best.category"), first).alias("assigned"),
             F.coalesce(-F.col("best.below"), F.lit(0.0)).alias("score"),
         )
@@ -105,7 +119,7 @@ def fill_from_text(
     counts = keep(term_counts(df, id_col, target, text, stop_words))
     sides = counts.agg(F.count_if("known").alias("known"), F.count_if(~F.col("known")).alias("unknown"))
     nothing_to_compare = sides.select((F.col("known") == 0) | (F.col("unknown") == 0)).scalar()
-    found = similar_categories(counts, id_col).select(
+    found = similar_categories(counts, id_col, keep).select(
         F.col(id_col).alias("_row"), F.col("assigned").alias("_assigned")
     )
     filled = F.coalesce(F.col(target), F.col("_assigned"), F.when(nothing_to_compare, F.lit(constant)))
@@ -114,16 +128,21 @@ def fill_from_text(
 
 
 def inference_log(
-    df: DataFrame, id_col: str, target: str, text: str, stop_words: Iterable[str], keep: Keep = as_is
+    df: DataFrame, id_col: str, target: str, text: str, stop_words: Iterable[str], keep: Keep = as_is,
+    context: Iterable[str] = (),
 ) -> DataFrame:
-    """Assigned value, score and confidence tier of every inferred row."""
-    found = similar_categories(keep(term_counts(df, id_col, target, text, stop_words)), id_col)
-    return found.select(
-        id_col,
+    """Assigned value, score and confidence tier of every inferred row, behind its own `context` columns."""
+    found = similar_categories(keep(term_counts(df, id_col, target, text, stop_words)), id_col, keep).select(
+        F.col(id_col).alias("_row"),
         F.col("assigned").alias("Raw Inferred Value"),
         F.col("score").alias("Similarity_Score"),
         confidence_tier("score").alias("Confidence"),
     )
+    shown = [name for name in context if name in df.columns and name != id_col]
+    if not shown:
+        return found.withColumnRenamed("_row", id_col)
+    rows = df.where(F.col(target).isNull()).select(id_col, *shown)
+    return rows.join(found, F.col(id_col).cast("string") == F.col("_row")).drop("_row")
 
 
 def low_confidence(log: DataFrame) -> DataFrame:

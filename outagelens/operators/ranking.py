@@ -90,25 +90,24 @@ def running_sums(
     ).drop(*[f"_offset_{amount}" for amount in amounts])
 
 
-def tie_block(name: Column) -> Column:
-    """256 even blocks of a name, used to split rows that tie on a count."""
-    return F.substring(F.md5(name), 1, 2)
+TIE_LEVELS = {"_at_4": 4, "_at_8": 8}
+
+
+def with_tie_levels(df: DataFrame, name: str) -> DataFrame:
+    """Beginnings of the name: consecutive blocks in name order, so rows that tie on a count split by ranges of names."""
+    return df.withColumns({level: F.substring(name, 1, length) for level, length in TIE_LEVELS.items()})
 
 
 def pareto(df: DataFrame, by: list[str], name: str, count: str) -> DataFrame:
     """Rank, running count and running share, largest first.
 
-    Equal counts follow the order (tie block, name).
+    Equal counts follow the name, as in every top-n.
     """
     keys = by or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(1))
-    ordered = (
-        source.withColumn("_largest", -F.col(count))
-        .withColumn("_tie", tie_block(F.col(name)))
-        .withColumn("_one", F.lit(1))
-    )
+    ordered = with_tie_levels(source, name).withColumns({"_largest": -F.col(count), "_one": F.lit(1)})
     summed = running_sums(
-        ordered, keys, ["_largest", "_tie"], [F.col(name)], {"_one": "Rank", count: "Running_Count"}
+        ordered, keys, ["_largest", *TIE_LEVELS], [F.col(name)], {"_one": "Rank", count: "Running_Count"}
     )
     if by:
         summed = summed.join(source.groupBy(*by).agg(F.sum(count).alias("_total")), by)
@@ -116,7 +115,7 @@ def pareto(df: DataFrame, by: list[str], name: str, count: str) -> DataFrame:
     else:
         total = source.agg(F.sum(count)).scalar()
     result = summed.withColumn("Cumulative_Pct", F.col("Running_Count") / total * 100).drop(
-        "_largest", "_tie", "_one", "_total"
+        "_largest", *TIE_LEVELS, "_one", "_total"
     )
     return result if by else result.drop("_all")
 
@@ -178,9 +177,9 @@ def gini(df: DataFrame, by: list[str], count: str, into: str = "Gini") -> DataFr
 
 
 def lorenz(df: DataFrame, by: list[str], name: str, count: str) -> DataFrame:
-    """Cumulative share of members and of load, smallest load first."""
-    ordered = df.withColumn("_tie", tie_block(F.col(name))).withColumn("_one", F.lit(1))
-    summed = running_sums(ordered, by, [count, "_tie"], [F.col(name)], {"_one": "_place", count: "_load"})
+    """Cumulative share of members and of load, smallest load first, equal loads by name."""
+    ordered = with_tie_levels(df, name).withColumn("_one", F.lit(1))
+    summed = running_sums(ordered, by, [count, *TIE_LEVELS], [F.col(name)], {"_one": "_place", count: "_load"})
     totals = df.groupBy(*by).agg(F.count("*").alias("_members"), F.sum(count).alias("_total"))
     return summed.join(totals, by).select(
         *by, name, count,

@@ -180,9 +180,9 @@ def _verdict(df: DataFrame) -> Column:
     own = service.sla_verdict("Priority_Urgency", "RESOLUTION_TIME_HOURS")
     if "SLA_Compliant" not in df.columns:
         return own
-    given = F.col("SLA_Compliant").try_cast("int")
-    complete = df.agg(F.coalesce(F.bool_and(present_and(given.isin(0, 1))), F.lit(False))).scalar()
-    return F.when(complete, given).otherwise(own)
+    given = F.col("SLA_Compliant").try_cast("double")
+    complete = df.agg(F.coalesce(F.bool_and(present_and(given.isin(0.0, 1.0))), F.lit(False))).scalar()
+    return F.when(complete, given.cast("int")).otherwise(own)
 
 
 def _own(df: DataFrame, name: str, derived: Callable[[str], Column]) -> Column:

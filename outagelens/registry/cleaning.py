@@ -15,7 +15,7 @@ from outagelens.plans import cleaning
 from outagelens.registry.base_sql import q, r, values
 from outagelens.registry.core import query
 from outagelens.sources.star_tickets import (
-    ARRIVAL_ORDER, clean_view, cleaning_view, raw_tickets, sites, spread, table,
+    ARRIVAL_ORDER, clean_view, cleaning_view, raw_tickets, sites, table,
 )
 
 # A stated list, so that both engines drop the same words.
@@ -169,7 +169,7 @@ SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(lower(tex
        lambda w: length(w) > 2 AND NOT list_contains([{values(STOP_WORDS)}], w)), ' ') AS prepared
 FROM documents""", base=False)
 def document_tokens(spark, folder):
-    documents = spread(table(spark, folder, "documents"), "doc_id")
+    documents = table(spark, folder, "documents")
     return documents.select("doc_id", prepared_text(F.col("text"), STOP_WORDS).alias("prepared"))
 
 
@@ -293,15 +293,21 @@ def phase_times(spark, folder):
     )
 
 
-@query("lenient_parsing", f"""
-SELECT event_id, try_strptime(text, '%Y-%m-%d %H:%M:%S') AS moment, try_cast(number AS DOUBLE) AS number
-FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS text,
+@query("lenient_parsing", """
+SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN form IN (3, 5) THEN date_trunc('minute', ts)
+                      WHEN form = 6 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS moment,
+       try_cast(number AS DOUBLE) AS number
+FROM (SELECT event_id, event_type, event_id % 7 AS form, ts,
              CASE WHEN event_type = 'view' THEN 'broken' ELSE CAST(user_id AS VARCHAR) END AS number FROM events)""",
        base=False)
 def lenient_parsing(spark, folder):
+    """The same moments in seven spellings: plain, T, offset, no seconds, fraction of zero, slashes, date alone."""
+    spelled = " ".join(f"WHEN {form} THEN date_format(ts, {pattern})" for form, pattern in enumerate([
+        "'yyyy-MM-dd HH:mm:ss'", "concat('yyyy-MM-dd', chr(39), 'T', chr(39), 'HH:mm:ss')", "'yyyy-MM-dd HH:mm:ssXXX'",
+        "'yyyy-MM-dd HH:mm'", "'yyyy-MM-dd HH:mm:ss.0'", "'M/d/yyyy H:mm'", "'M/d/yyyy'"]))
     events = table(spark, folder, "events").selectExpr(
         "event_id",
-        "if(event_type = 'error', 'n/a', date_format(ts, 'yyyy-MM-dd HH:mm:ss')) AS text",
+        f"if(event_type = 'error', 'n/a', CASE event_id % 7 {spelled} END) AS text",
         "if(event_type = 'view', 'broken', cast(user_id AS string)) AS number",
     )
     return events.select(

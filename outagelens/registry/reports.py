@@ -419,7 +419,7 @@ PROFILE = """
 placed_sites AS (
   SELECT *, row_number() OVER w AS place, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS running,
          sum(n) OVER () AS total
-  FROM profile WINDOW w AS (ORDER BY n DESC, substr(md5("SiteName"), 1, 2), "SiteName"))"""
+  FROM profile WINDOW w AS (ORDER BY n DESC, "SiteName"))"""
 
 
 @query("site_pareto", f"""{PROFILE}
@@ -581,7 +581,7 @@ def engineer_band_performance(spark, folder):
 SELECT "ZONE", "Field_Lead_ID", n AS "Tickets",
        {r('row_number() OVER w / count(*) OVER (PARTITION BY "ZONE")')} AS "Pop_Share",
        {r('sum(n) OVER (w ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY "ZONE")')} AS "Cum_Share"
-FROM stats WINDOW w AS (PARTITION BY "ZONE" ORDER BY n, substr(md5("Field_Lead_ID"), 1, 2), "Field_Lead_ID")""")
+FROM stats WINDOW w AS (PARTITION BY "ZONE" ORDER BY n, "Field_Lead_ID")""")
 def engineer_lorenz(spark, folder):
     return engineers.lorenz_points(lead_stats(spark, folder))
 

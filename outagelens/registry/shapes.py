@@ -22,9 +22,9 @@ from outagelens.registry.base_sql import q, r, values
 from outagelens.registry.cleaning import STOP_WORDS
 from outagelens.registry.core import query
 from outagelens.registry.kpis import SCORECARD
-from outagelens.sources.checkpoints import checkpointed, stored
+from outagelens.sources.checkpoints import checkpointed, kept, stored
 from outagelens.sources.star_tickets import (
-    ARRIVAL_ORDER, clean_table, cleaning_view, raw_tickets, sites, spread, table,
+    ARRIVAL_ORDER, clean_table, cleaning_view, raw_tickets, sites, table,
 )
 
 
@@ -229,7 +229,7 @@ def percentile_ranks(spark, folder):
 SELECT "SiteName", n AS "Tickets", row_number() OVER w AS "Rank",
        (sum(n) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS "Running_Count",
        {r('sum(n) OVER (w ROWS UNBOUNDED PRECEDING) / sum(n) OVER () * 100')} AS "Cumulative_Pct"
-FROM counted WINDOW w AS (ORDER BY n DESC, substr(md5("SiteName"), 1, 2), "SiteName")""")
+FROM counted WINDOW w AS (ORDER BY n DESC, "SiteName")""")
 def site_pareto_all(spark, folder):
     counted = clean_table(spark, folder).groupBy("SiteName").agg(F.count("*").alias("Tickets"))
     return pareto(counted, [], "SiteName", "Tickets")
@@ -240,7 +240,7 @@ def site_pareto_all(spark, folder):
 SELECT "ZONE", "SiteName", n AS "Tickets",
        {r('row_number() OVER w / count(*) OVER (PARTITION BY "ZONE")')} AS "Pop_Share",
        {r('sum(n) OVER (w ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY "ZONE")')} AS "Cum_Share"
-FROM counted WINDOW w AS (PARTITION BY "ZONE" ORDER BY n, substr(md5("SiteName"), 1, 2), "SiteName")""")
+FROM counted WINDOW w AS (PARTITION BY "ZONE" ORDER BY n, "SiteName")""")
 def site_lorenz(spark, folder):
     counted = clean_table(spark, folder).groupBy("ZONE", "SiteName").agg(F.count("*").alias("Tickets"))
     return lorenz(counted, ["ZONE"], "SiteName", "Tickets")
@@ -366,7 +366,7 @@ TIER_SQL = """CASE WHEN score >= 0.40 THEN 'high' WHEN score >= 0.28 THEN 'mediu
 
 
 def labelled_documents(spark, folder):
-    documents = spread(table(spark, folder, "documents"), "doc_id")
+    documents = table(spark, folder, "documents")
     joined = documents.join(table(spark, folder, "labels"), "doc_id", "left")
     return joined.select(
         F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("string").alias("quality"), "text"
@@ -377,9 +377,18 @@ def kept_counts(df):
     return stored(df, "term-counts")
 
 
+def document_counts(spark, folder):
+    """Stores the counts, and the term table, of the documents once in a session; its queries share them."""
+    return lambda df: kept(spark, folder, f"documents by {' '.join(df.columns)}", lambda: kept_counts(df))
+
+
 def document_log(spark, folder):
-    documents = labelled_documents(spark, folder)
-    return inference_log(documents, "doc_id", "quality", "text", STOP_WORDS, kept_counts)
+    """Stored once in a session: several queries read it."""
+    def make():
+        documents = labelled_documents(spark, folder)
+        return stored(inference_log(documents, "doc_id", "quality", "text", STOP_WORDS, document_counts(spark, folder)), "document-log")
+
+    return kept(spark, folder, "document-log", make)
 
 
 @query("text_inference", f"""
@@ -395,7 +404,7 @@ WITH {inference_ctes(DOCUMENTS)}
 SELECT source.id AS doc_id, coalesce(target, assigned) AS quality FROM source LEFT JOIN found USING (id)""", base=False)
 def text_fill(spark, folder):
     documents = labelled_documents(spark, folder)
-    filled = fill_from_text(documents, "doc_id", "quality", "text", "0", STOP_WORDS, kept_counts)
+    filled = fill_from_text(documents, "doc_id", "quality", "text", "0", STOP_WORDS, document_counts(spark, folder))
     return filled.select("doc_id", "quality")
 
 

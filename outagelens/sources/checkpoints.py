@@ -1,30 +1,32 @@
-"""Cut a long lineage through the shared folder of the session."""
+"""Cut a long lineage through the shared folder of the session, and keep what a session has stored."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
+    """The folder that spark.checkpoint.dir names; without that setting, a folder beside the warehouse's tables.
 
-    Only a local session without that setting gets a folder of its own.
+    Both are shared by all executors of a cluster.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    folder = folder or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="outagelens-")
+    folder = folder or context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_outagelens"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The table read back from the checkpoint folder, so a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
@@ -32,8 +34,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The table written once as Parquet below the shared folder, and read back with column pruning."""
+    """The table written once as Parquet below the shared folder, and read back with column pruning.
+
+    The folder goes when the session ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
+    place, system = _path(spark, path)
+    system.deleteOnExit(place)
     return spark.read.parquet(path)
+
+
+_kept: dict[tuple, tuple] = {}
+
+
+def source_state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the files of a folder of tables; another state when a table is written anew."""
+    place, system = _path(spark, folder)
+    listed = []
+    for table in system.listStatus(place):
+        files = system.listStatus(table.getPath()) if table.isDirectory() else [table]
+        listed += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(sorted(listed))
+
+
+def kept(spark: SparkSession, folder: str, name: str, make: Callable):
+    """make(), once in a session for each name and state of the folder's tables."""
+    key, state = (spark, folder, name), source_state(spark, folder)
+    if key not in _kept or _kept[key][0] != state:
+        _kept[key] = (state, make())
+    return _kept[key][1]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from outagelens import fixed_values as fixed
@@ -40,41 +40,59 @@ def _options(separator: str) -> dict[str, str]:
     return {"sep": separator, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true"}
 
 
-def _lines(spark: SparkSession, path: str, separator: str) -> tuple[DataFrame, list[str]]:
-    """The data lines of a delimited file with their cell count, and the column names of its header.
+RECORD = "_record"
 
-    Cells are counted on the whole line, so a line is judged the same way
-    whichever columns a job reads later.
+
+def _records(spark: SparkSession, path: str, separator: str, multiline: bool) -> tuple[DataFrame, list[str]]:
+    """All columns as text, named by the header, and the raw text of a record with another number of cells.
+
+    `bad` marks a record with more cells than the header, or with a quote that
+    nothing closes.  Whole records are parsed whichever columns a job reads
+    later, so a record is judged the same way each time.
     """
-    names = spark.read.options(**_options(separator)).option("header", True).csv(path).columns
-    text = spark.read.text(path)
-    header = text.limit(1).scalar()
-    unquoted = F.regexp_replace("value", '"([^"]|"")*"', "")
-    separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit("")))
-    lines = text.where((F.col("value") != header) & (F.trim("value") != ""))
-    return lines.withColumn("cells", separators + 1), names
+    options = {**_options(separator), "header": "true", "columnPruning": "false"}
+    names = spark.read.options(**options).csv(path).columns
+    schema = ", ".join(f"{named(name)} STRING" for name in [*names, RECORD])
+    rows = (
+        spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD)
+        .option("multiLine", multiline)
+        .schema(schema)
+        .csv(path)
+    )
+    record = F.coalesce(RECORD, F.lit(""))
+    unquoted = F.regexp_replace(record, '"([^"]|"")*"', "")
+    cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
+    cell = F.array(*[named(name) for name in names])
+    opened = F.exists(cell, lambda x: x.startswith('"') & ((_quotes(x) % 2 == 1) | (record != "")))
+    blank = F.forall(cell, lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
+    bad = (cells > len(names)) | (_quotes(record) % 2 == 1) | F.coalesce(opened, F.lit(False))
+    return rows.where(~blank).withColumn("_bad", bad), names
 
 
-def _delimited(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """All columns as text, named by the header.
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
 
-    A line with more cells than the header is skipped, a shorter one is padded.
-    """
-    lines, names = _lines(spark, path, separator)
-    schema = ", ".join(f"{named(name)} STRING" for name in names)
-    kept = lines.where(F.col("cells") <= len(names))
-    return kept.select(F.from_csv("value", schema, _options(separator)).alias("row")).select("row.*")
 
+def _delimited(spark: SparkSession, path: str, separator: str, multiline: bool = True) -> DataFrame:
+    """The good records; a record with fewer cells than the header is padded."""
+    rows, names = _records(spark, path, separator, multiline)
+    return rows.where("NOT _bad").select(*[named(name) for name in names])
 
-def bad_lines(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
-    """The lines that the reader skips."""
-    lines, names = _lines(spark, path, separator)
-    return lines.where(F.col("cells") > len(names)).select(F.col("value").alias("line"))
 
+def bad_lines(spark: SparkSession, path: str, separator: str = "\t", multiline: bool = True) -> DataFrame:
+    """The records that the reader skips."""
+    rows, names = _records(spark, path, separator, multiline)
+    parsed = F.concat_ws(separator, *[named(name) for name in names])
+    return rows.where("_bad").select(F.coalesce(RECORD, parsed).alias("line"))
 
-def read_tickets(spark: SparkSession, paths: list[str], separator: str = "\t") -> DataFrame:
-    """Raw tickets of the first path that exists; extra columns are kept."""
-    lines = _delimited(spark, first_existing(spark, paths), separator)
+
+def read_tickets(spark: SparkSession, paths: list[str], separator: str = "\t", multiline: bool = True) -> DataFrame:
+    """Raw tickets of the first path that exists; extra columns are kept.
+
+    Quoted cells may hold line breaks, so one task reads one file.  For large
+    files without such cells pass multiline=False, and files are split.
+    """
+    lines = _delimited(spark, first_existing(spark, paths), separator, multiline)
     tickets = lines.select(
         *[
             F.expr(case_when([(is_any(named(name), fixed.MISSING_MARKERS), "NULL")], named(name))).alias(name)

@@ -6,14 +6,12 @@ only; duplicates, missing values and bad timestamps come from the tables.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outagelens.functions.rules import case_when, literal, lookup
 from outagelens.plans.cleaning import Cleaning
-from outagelens.sources.checkpoints import stored
+from outagelens.sources.checkpoints import kept, stored
 
 # The copy of a repeated ticket that counts as first.
 ARRIVAL_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax"]
@@ -69,12 +67,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stored.withColumns({column: F.col(column).cast("timestamp") for column in moments}) if moments else stored
 
 
-def spread(stored: DataFrame, key: str) -> DataFrame:
-    """Use every core on a table that few tasks would read; a table read by many tasks is left alone."""
-    cores = stored.sparkSession.sparkContext.defaultParallelism
-    return stored.repartition(cores, key) if stored.rdd.getNumPartitions() < cores else stored
-
-
 def _choose(number: str, choices: dict[int, str | None], default: str) -> str:
     return case_when(((f"{number} = {value}", literal(text)) for value, text in choices.items()), literal(default))
 
@@ -129,9 +121,12 @@ def _site_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items with their order, part and supplier, in the raw ticket columns."""
+    """Line items with their order, part and supplier, in the raw ticket columns.
+
+    The line items are dealt by order, as their join with the orders needs it.
+    """
     lines = (
-        spread(table(spark, folder, "lineitem"), "l_orderkey")
+        table(spark, folder, "lineitem").repartition("l_orderkey")
         .join(_order_facts(spark, folder), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_part_texts(spark, folder), F.col("l_partkey") == F.col("p_partkey"))
         .join(_site_facts(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -176,13 +171,14 @@ def sites(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)
 def cleaning_view(spark: SparkSession, folder: str) -> Cleaning:
     """The cleaning plan of the view, without the text inference.
 
     Only the lazy plan is kept for the session; no rows are.
     """
-    return Cleaning(raw_tickets(spark, folder), sites(spark, folder), ARRIVAL_ORDER, infer=False)
+    return kept(spark, folder, "cleaning-view", lambda: Cleaning(
+        raw_tickets(spark, folder), sites(spark, folder), ARRIVAL_ORDER, infer=False
+    ))
 
 
 def clean_view(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,7 +186,6 @@ def clean_view(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning_view(spark, folder).clean
 
 
-@lru_cache(maxsize=8)
 def clean_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Clean tickets as a stored table, written once per session; the reports read this."""
-    return stored(clean_view(spark, folder), "clean-tickets")
+    """Clean tickets as a stored table, written once per session and state of the tables; the reports read this."""
+    return kept(spark, folder, "clean-tickets", lambda: stored(clean_view(spark, folder), "clean-tickets"))

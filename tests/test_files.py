@@ -44,6 +44,20 @@ def test_bad_lines(spark, ticket_file):
     assert len(skipped) == 1 and "too many" in skipped[0]["line"]
 
 
+def test_whole_records(spark, tmp_path):
+    cells = [line(1, ActionTaken='"first\nsecond"'), line(2, RootCause='"tab\there"'), "", line(3, Extra='"never closed'), line(4)]
+    path = tmp_path / "whole.tsv"
+    path.write_text("\n".join(["\t".join(HEADER), *cells]) + "\n", encoding="utf-8")
+    rows = {r["TICKETID"]: r for r in files.read_tickets(spark, [str(path)]).collect()}
+    assert set(rows) == {"T1", "T2"}
+    assert rows["T1"]["ActionTaken"] == "first\nsecond" and rows["T2"]["RootCause"] == "tab\there"
+    skipped = files.bad_lines(spark, str(path)).collect()
+    assert len(skipped) == 1 and "T3" in skipped[0]["line"]
+    split = {r["TICKETID"] for r in files.read_tickets(spark, [str(path)], multiline=False).collect()}
+    assert "T2" in split and "T1" not in split and "T3" not in split
+    assert any("T1" in r["line"] for r in files.bad_lines(spark, str(path), multiline=False).collect())
+
+
 def test_column_order_does_not_matter(spark, tmp_path):
     names = list(reversed(HEADER))
     cells = dict(zip(HEADER, line(1).split("\t")))

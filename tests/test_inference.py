@@ -4,7 +4,10 @@ from collections import Counter
 
 import pytest
 
-from outagelens.operators.inference import fill_from_text, inference_log, low_confidence, tier_distribution
+from outagelens.operators.inference import (
+    fill_from_text, inference_log, low_confidence, similar_categories, term_counts, tier_distribution,
+)
+from outagelens.sources.checkpoints import stored
 
 STOP = ["the", "and"]
 ROWS = [
@@ -94,3 +97,28 @@ def test_tiers_of_the_log(spark):
 def test_missing_column_is_an_error(spark):
     with pytest.raises(ValueError, match="Missing required column"):
         fill_from_text(spark.createDataFrame(ROWS, SCHEMA).drop("text"), "id", "kind", "text", "x", STOP)
+
+
+def test_a_word_in_every_document_is_split(spark):
+    """With both sides stored, Spark deals the rows of one frequent word over several tasks at run time."""
+    limits = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",  # eight files, so eight tasks send rows
+    }
+    documents = spark.range(60_000).selectExpr(
+        "cast(id AS string) AS id", "if(id < 20, concat('kind ', id % 4), NULL) AS kind",
+        "concat('alarm rare', id % 5000) AS text")
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        counts = stored(term_counts(documents, "id", "kind", "text", STOP), "counts")
+        found = similar_categories(counts, "id", lambda df: stored(df, "terms"))
+        assert len(found.collect()) == 59_980
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

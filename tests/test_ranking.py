@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outagelens.operators import ranking
+from outagelens.operators.lookups import cohort_of_top
 from outagelens.operators.quantiles import grouped_quantiles
 from outagelens.operators.shape import canonical_order, compared, mean_of_columns, reindexed, with_percentage
 from outagelens.plans.kpis import outlier_groups
@@ -132,3 +133,12 @@ def test_value_counts(spark):
     rows = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
     assert [(r["k"], r["Pct"]) for r in ranking.value_counts(rows, "k").collect()] == [("a", 100.0)]
     assert ranking.value_counts(rows, "k", keep_missing=True).count() == 2
+
+
+def test_top_n_is_the_same_everywhere(spark):
+    names = spark.createDataFrame([(f"site {i:03d}", 1 + (i % 3 == 0)) for i in range(120)], "name string, n int")
+    rows = names.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    for n in (7, 40, 55):
+        top = {r["name"] for r in cohort_of_top(rows, "name", n).collect()}
+        ranked = ranking.pareto(names.select("name", "n"), [], "name", "n").where(F.col("Rank") <= n).collect()
+        assert {r["name"] for r in ranked} == top
