@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 from pathlib import Path
@@ -23,7 +24,9 @@ WINDOW = 64
 #: Consecutive tokens, with their places, that a window must share with a side to agree with it.
 AGREED = 4
 #: Distinct runs whose ids a worker remembers; beyond them it forgets all and begins again.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
+#: Bytes of text that are cut into runs at a time, a longer text alone.
+PORTION = 1 << 20
 #: ASCII punctuation but the apostrophe, which begins contractions.
 TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -53,7 +56,6 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pieces: dict[bytes, list[int]] = {}
         self.flat = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,25 +72,28 @@ class Codec:
         return before[np.concatenate(([0], np.cumsum([len(own) for own in runs], dtype=np.int64)))], ids
 
     def _learn(self, runs: set[bytes]) -> None:
-        """Remember the ids of these runs. The library encodes each distinct stem and tail once."""
+        """Remember the ids of these runs, and of the parts they are cut into. The library encodes each part once."""
         if not runs:
             return
         parts = {run: _parts(run) if self.splits else (run,) for run in runs}
-        pieces = list(set(chain.from_iterable(parts.values())).difference(self.pieces))
+        pieces = list(set(chain.from_iterable(parts.values())).difference(self.known))
         texts = [p.decode() for p in pieces]
         short = iter(self.tokenizer.encode_batch_fast([t for t in texts if len(t) <= self.leaf], add_special_tokens=False))
-        for piece, text in zip(pieces, texts):
-            self.pieces[piece] = next(short).ids if len(text) <= self.leaf else self.tree(text).tolist()
-        lengths, found = [], []
-        for number, (run, own) in enumerate(parts.items(), len(self.known)):
-            self.known[run] = number
-            before = len(found)
-            for piece in own:
-                found += self.pieces[piece]
-            lengths.append(len(found) - before)
-        ends = len(self.flat[2]) + np.cumsum(np.array(lengths, np.int64))
-        self.flat = tuple(np.concatenate(pair) for pair in zip(
-            self.flat, (ends - np.array(lengths, np.int64), ends, np.array(found, np.int32))))
+        found = {piece: next(short).ids if len(text) <= self.leaf else self.tree(text).tolist()
+                 for piece, text in zip(pieces, texts)}
+        for run, own in parts.items():
+            if run not in found:
+                found[run] = [k for piece in own for k in (found[piece] if piece in found else self._ids(piece))]
+        self.known.update(zip(found, range(len(self.known), len(self.known) + len(found))))
+        lengths = np.fromiter(map(len, found.values()), np.int64, len(found))
+        ends = len(self.flat[2]) + np.cumsum(lengths)
+        ids = np.fromiter(chain.from_iterable(found.values()), np.int32)
+        self.flat = tuple(np.concatenate(pair) for pair in zip(self.flat, (ends - lengths, ends, ids)))
+
+    def _ids(self, run: bytes) -> list[int]:
+        starts, ends, flat = self.flat
+        place = self.known[run]
+        return flat[starts[place]:ends[place]].tolist()
 
     def tree(self, text: str) -> np.ndarray:
         """The ids of a long text: leaves encoded in parallel, then joined in pairs, level by level."""
@@ -182,6 +187,17 @@ def _agreement(seen: list, side: list, end: int, from_end: bool):
     return None
 
 
+def _portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in portions of PORTION bytes or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PORTION, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def _codec(definition, splits: bool) -> Codec:
     return per_process(f"codec-{hashlib.sha256(definition.value.encode()).hexdigest()}-{splits}", lambda: Codec(definition.value, splits))
 
@@ -196,9 +212,11 @@ def encode_column(text: Column, path: str, spark, splits: bool = True) -> Column
     definition = _shared(path, spark)
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        offsets, ids = _codec(definition, splits).encode(texts.to_pylist())
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(definition, splits)
+        for texts in chain.from_iterable(map(_portions, batches)):
+            offsets, ids = codec.encode(texts.to_pylist())
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
 
     return encode(text)
 
@@ -231,13 +249,14 @@ def report(docs: DataFrame, path: str) -> DataFrame:
     definition = _shared(path, docs.sparkSession)
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(texts: pa.Array) -> pa.Array:
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(definition, True)
-        offsets, ids = codec.encode(texts.to_pylist())
-        joined = spaced(offsets, pc.cast(pa.array(ids), pa.string()))
-        return pa.StructArray.from_arrays(
-            [pa.array(np.diff(offsets)), _digests(joined), _digests(codec.decode(offsets, ids))],
-            ["n_tokens", "ids_sha256", "decoded_sha256"])
+        for texts in chain.from_iterable(map(_portions, batches)):
+            offsets, ids = codec.encode(texts.to_pylist())
+            joined = spaced(offsets, pc.cast(pa.array(ids), pa.string()))
+            yield pa.StructArray.from_arrays(
+                [pa.array(np.diff(offsets)), _digests(joined), _digests(codec.decode(offsets, ids))],
+                ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     found = docs.select("doc_id", F.explode(F.array(digests(F.col("text")))).alias("found"))
     return found.select("doc_id", "found.*")
