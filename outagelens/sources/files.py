@@ -44,28 +44,35 @@ RECORD = "_record"
 
 
 def _records(spark: SparkSession, path: str, separator: str, multiline: bool) -> tuple[DataFrame, list[str]]:
-    """All columns as text, named by the header, and the raw text of a record with another number of cells.
+    """All columns as text, named by the header, with `_bad` and the raw text of bad records.
 
-    `bad` marks a record with more cells than the header, or with a quote that
-    nothing closes.  Whole records are parsed whichever columns a job reads
-    later, so a record is judged the same way each time.
+    A record is bad with more cells than the header, or with a quote that
+    nothing closes.  Whole records are judged, whichever columns a job reads later.
     """
     options = {**_options(separator), "header": "true", "columnPruning": "false"}
     names = spark.read.options(**options).csv(path).columns
-    schema = ", ".join(f"{named(name)} STRING" for name in [*names, RECORD])
-    rows = (
-        spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD)
-        .option("multiLine", multiline)
-        .schema(schema)
-        .csv(path)
-    )
+    columns = ", ".join(f"{named(name)} STRING" for name in names)
+    if multiline:
+        # The parser gives the raw text of records whose number of cells is not the header's.
+        rows = (
+            spark.read.options(**options, mode="PERMISSIVE", multiLine="true", columnNameOfCorruptRecord=RECORD)
+            .schema(f"{columns}, {RECORD} STRING")
+            .csv(path)
+        )
+    else:
+        text = spark.read.text(path)
+        lines = text.where((F.col("value") != text.limit(1).scalar()) & (F.trim("value") != ""))
+        parsed = F.from_csv("value", columns, _options(separator)).alias("row")
+        rows = lines.select(parsed, F.col("value").alias(RECORD)).select("row.*", RECORD)
     record = F.coalesce(RECORD, F.lit(""))
     unquoted = F.regexp_replace(record, '"([^"]|"")*"', "")
     cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
+    bad = (cells > len(names)) | (_quotes(record) % 2 == 1)
     cell = F.array(*[named(name) for name in names])
-    opened = F.exists(cell, lambda x: x.startswith('"') & ((_quotes(x) % 2 == 1) | (record != "")))
+    if multiline:
+        opened = F.exists(cell, lambda x: x.startswith('"') & ((_quotes(x) % 2 == 1) | (record != "")))
+        bad = bad | F.coalesce(opened, F.lit(False))
     blank = F.forall(cell, lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
-    bad = (cells > len(names)) | (_quotes(record) % 2 == 1) | F.coalesce(opened, F.lit(False))
     return rows.where(~blank).withColumn("_bad", bad), names
 
 

@@ -43,13 +43,13 @@ def test_initial_quality(sample_raw):
 def test_missing_values_count_as_invalid_and_as_one_key(sample_raw):
     rows = sample_raw.withColumns({name: F.lit(None).cast("string") for name in ("TICKETID", "FT Status")})
     found = report(rows)
-    assert (found["duplicate_tickets"], found["invalid_status"]) == (19, 20)
+    assert (found["duplicate_tickets"], found["invalid_status"]) == (12, 13)
 
 
 def test_validation(sample_clean):
     assert status(sample_clean) == "PASS"
     assert list(checks(sample_clean)) == fixed.VALIDATION_CHECKS
-    first = F.col("TICKETID") == "IC-10000"
+    first = F.col("TICKETID") == "TK400"
     assert status(sample_clean.unionByName(sample_clean.limit(3))) == "FAIL"
     assert status(sample_clean.withColumn("Region", F.when(~first, F.col("Region")).otherwise("Region 99"))) == "FAIL"
     assert status(sample_clean.withColumn("OUTAGEDURATION", F.when(~first, 1.0).otherwise(-1.0))) == "FAIL"
@@ -79,13 +79,13 @@ def test_funnel_adds_up(spark, sample_raw):
     funnel = cleaning_funnel(rows, ["TICKETID"], ["seq"], cleaning.structural_steps()).orderBy("step").collect()
     survivors = cleaning.keep_structural(rows, ["seq"]).count()
     assert funnel[0]["dropped"] == 3
-    assert sum(r["dropped"] for r in funnel) + survivors == 23
-    assert funnel[-1]["remaining"] == survivors == 15
+    assert sum(r["dropped"] for r in funnel) + survivors == 16
+    assert funnel[-1]["remaining"] == survivors == 7
 
 
 def test_a_ticket_whose_first_copy_fails_is_dropped(spark, sample_raw):
-    bad = sample_raw.limit(1).withColumns({"Priority": F.lit(4.0), "seq": F.lit("0")})
-    good = sample_raw.limit(1).withColumn("seq", F.lit("1"))
+    bad = sample_raw.where("TICKETID = 'W02'").withColumns({"Priority": F.lit(4.0), "seq": F.lit("0")})
+    good = sample_raw.where("TICKETID = 'W02'").withColumn("seq", F.lit("1"))
     assert cleaning.keep_structural(good.unionByName(bad), ["seq"]).count() == 0
 
 
@@ -95,14 +95,19 @@ def test_whole_plan(spark, sample_raw, sample_sites):
     kinds = {f.name: f.dataType for f in CLEAN_TICKETS.fields}
     assert {f.name: f.dataType for f in cleaned.schema.fields} == kinds
     rows = {r["TICKETID"]: r for r in cleaned.collect()}
-    assert len(rows) == 15
-    one = rows["IC-20000"]
-    assert (one["ZONE"], one["CITY"], one["Standardized RFO"]) == ("ZONE 1", "CITY A", "FOC CUT - LINEAR")
-    assert (one["DISPATCH_DELAY_HOURS"], one["FIELD_TIME_HOURS"], one["Timestamp_Integrity"]) == (1.0, 1.0, True)
+    assert set(rows) == {f"W0{k}" for k in range(1, 8)}
+    one = rows["W01"]
+    assert (one["ZONE"], one["CITY"], one["Standardized RFO"]) == ("ZONE 4", "TAGUIG", "FOC CUT - LINEAR")
+    assert (one["DISPATCH_DELAY_HOURS"], one["FIELD_TIME_HOURS"], one["Timestamp_Integrity"]) == (0.5, 2.5, True)
+    assert one["SLA_Compliant"] == 1 and one["Priority_Urgency"] == "1.1"  # exactly at its three hours
     assert one["Resolution_Path"] == "Field_Dispatch_Restored" and one["Field_Lead_ID"].startswith("ENG_")
     assert one["WOOwnerGroup"] == "Unknown" and one["Issuer_Team"] == "NOC"
-    assert rows["IC-20001"]["Resolution_Path"] == "NOC_Remote_Restored"
-    assert rows["IC-20002"]["ZONE"] == "Unknown"
+    assert rows["W02"]["Resolution_Path"] == "NOC_Remote_Restored"
+    assert rows["W03"]["Resolution_Path"] == "Auto_Self_Restored" and rows["W03"]["ZONE"] == "Unknown"
+    assert rows["W04"]["NEType"] == "BTS" and rows["W04"]["CITY"] == "MANILA"
+    assert rows["W05"]["Standardized RFO"] == "FOC CUT WITH REDUNDANCY"
+    assert rows["W06"]["DISPATCH_DELAY_HOURS"] == -0.5 and not rows["W06"]["Timestamp_Integrity"]
+    assert rows["W02"]["Standardized RFO"] == rows["W07"]["Standardized RFO"] == "FACILITIES-Power Failure"
     sound = [r for r in rows.values() if r["Timestamp_Integrity"]]
     assert all(r["DISPATCH_DELAY_HOURS"] + r["FIELD_TIME_HOURS"] == r["OUTAGEDURATION"] for r in sound)
     assert status(cleaned) == "PASS"
@@ -112,9 +117,12 @@ def test_a_given_verdict_is_used_only_when_complete(sample_raw, sample_sites):
     given = sample_raw.withColumn("SLA_Compliant", F.lit(0))
     used = clean_tickets(given, sample_sites, ["TICKETID"], infer=False)
     assert {r["SLA_Compliant"] for r in used.select("SLA_Compliant").collect()} == {0}
-    partial = sample_raw.withColumn("SLA_Compliant", F.when(F.col("TICKETID") != "IC-20000", 0))
+    written = sample_raw.withColumn("SLA_Compliant", F.when(F.col("TICKETID") == "W01", "1.0").otherwise("0.0"))
+    shown = clean_tickets(written, sample_sites, ["TICKETID"], infer=False).select("TICKETID", "SLA_Compliant").collect()
+    assert {r["TICKETID"] for r in shown if r["SLA_Compliant"] == 1} == {"W01"} and len(shown) == 7
+    partial = sample_raw.withColumn("SLA_Compliant", F.when(F.col("TICKETID") != "W01", 0))
     own = clean_tickets(partial, sample_sites, ["TICKETID"], infer=False)
-    assert own.where("TICKETID = 'IC-20000'").collect()[0]["SLA_Compliant"] == 1
+    assert own.where("TICKETID = 'W01'").collect()[0]["SLA_Compliant"] == 1
 
 
 def test_blank_start_becomes_the_report_time(sample_raw, sample_sites):
@@ -144,10 +152,20 @@ def test_audit_extracts(sample_raw, sample_sites):
     run = Cleaning(sample_raw, sample_sites, ["TICKETID"], stop_words=WORDS)
     audits = audit_extracts(run)
     assert len(audits) == 20
-    assert audits["snapshot_pre_cleaning"].count() == 20
-    assert {r["Area"] for r in audits["unmatched_areas_region3"].collect()} == {"NCR_003"}
+    assert audits["snapshot_pre_cleaning"].count() == 13
+    assert {r["Area"] for r in audits["unmatched_areas_region3"].collect()} == {"QZN-9"}
     assert audits["wo_lead_anonymization_map"].count() == 2
     assert audits["data_validation_report"].count() == 7
-    assert audits["foc_categorization_log"].count() == 5
+    assert audits["foc_categorization_log"].count() == 2
+    assert [r["TICKETID"] for r in audits["inferred_netype_scores"].collect()] == ["W04"]
+    assert [(r["TICKETID"], r["NEType"]) for r in audits["generated_ne_type_tickets"].collect()] == [("W04", "BTS")]
     for table in audits.values():
         table.schema
+
+
+def test_reclassified_causes(spark):
+    """Rows whose recorded unknown cause another label replaced."""
+    rows = [("a", "UNKNOWN Under Investigation", "OTHERS-Force Majeure"), ("b", "unknown under investigation", fixed.UNKNOWN_CAUSE),
+            ("c", "power", "FACILITIES-Power Failure"), ("d", None, None), ("e", "Unknown Under Investigation", None)]
+    table = spark.createDataFrame(rows, "TICKETID string, Original_RFO string, `Standardized RFO` string")
+    assert {r["TICKETID"] for r in cleaning.reclassified(table).collect()} == {"a", "e"}

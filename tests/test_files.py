@@ -88,16 +88,16 @@ def test_read_sites(spark, tmp_path):
 
 def test_write_and_read_back(spark, sample_clean, tmp_path):
     path = str(tmp_path / "clean")
-    assert files.write_table(sample_clean, path, partition_by=["ZONE"]) == 30
+    assert files.write_table(sample_clean, path, partition_by=["ZONE"]) == 22
     back = files.read_clean(spark, path)
-    assert back.count() == 30 and dict(back.dtypes)["Priority_Urgency"] == "string"
+    assert back.count() == 22 and dict(back.dtypes)["Priority_Urgency"] == "string"
     assert files.write_table(sample_clean.limit(3), str(tmp_path / "csv"), "csv") == 3
 
 
 def test_audits_are_written(spark, sample_raw, sample_sites, tmp_path):
     run = Cleaning(sample_raw, sample_sites, ["TICKETID"], infer=False)
     counts = files.write_audits(audit_extracts(run), str(tmp_path))
-    assert counts["snapshot_pre_cleaning"] == 20 and counts["data_validation_report"] == 7
+    assert counts["snapshot_pre_cleaning"] == 13 and counts["data_validation_report"] == 7
     assert files.read_clean(spark, str(tmp_path / "resolution_path_analysis")).count() == 3
 
 
@@ -109,7 +109,7 @@ def test_file_to_clean_table(spark, ticket_file, sample_sites):
 
 def test_stored_and_checkpointed_tables_have_no_lineage(spark, sample_clean):
     for table in (stored(sample_clean, "t"), checkpointed(sample_clean)):
-        assert table.count() == 30
+        assert table.count() == 22
         plan = table._jdf.queryExecution().optimizedPlan().toString()
         assert "LocalRelation" not in plan
 
@@ -117,4 +117,4 @@ def test_stored_and_checkpointed_tables_have_no_lineage(spark, sample_clean):
 def test_regions_with_volume(spark, sample_clean):
     areas = spark.createDataFrame([("1300000000", 1), ("9999", 7), ("100000000", 5), ("9999", 99)], "adm1_psgc string, file_number int")
     got = {r["Region Name"]: (r["Areas"], r["Ticket Volume"]) for r in regions_with_volume(areas, sample_clean).collect()}
-    assert got == {"Region 3": (1, 30), "Region 4": (1, 0), "Region 1": (1, 0)}
+    assert got == {"Region 3": (1, 22), "Region 4": (1, 0), "Region 1": (1, 0)}

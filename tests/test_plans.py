@@ -1,6 +1,6 @@
 import pytest
 
-import __spark_entry__ as entry
+from outagelens.registry import load
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -11,7 +11,7 @@ def physical(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: physical(run(spark, FOLDER)) for name, run in entry.queries().items()}
+    return {name: physical(query.run(spark, FOLDER)) for name, query in load().items()}
 
 
 def test_no_cross_joins_and_no_python_rows(plans):
@@ -25,7 +25,7 @@ def test_reports_read_only_the_columns_they_use(plans):
 
 
 def test_filters_reach_the_scan(spark, capsys):
-    entry.queries()["slow_causes"](spark, FOLDER).explain(mode="formatted")
+    load()["slow_causes"].run(spark, FOLDER).explain(mode="formatted")
     scan = next(line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line)
     assert "In(ZONE" in scan and "Field_Dispatch_Restored" in scan
 
