@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,7 +58,16 @@ def with_cohort_flag(df: DataFrame, cohort: DataFrame, name: str, flag: str) ->
 
 
 def with_group_average(df: DataFrame, by: list[str], column: str, into: str) -> DataFrame:
-    return df.withColumn(into, F.avg(column).over(Window.partitionBy(*by)))
+    """Every row with the average of its group; a missing key is a group.
+
+    Groups are aggregated and joined back, so no task holds the rows of a group.
+    Spark broadcasts the averages when their measured size is small.
+    """
+    means = df.groupBy(*[F.col(key).alias(f"_of_{key}") for key in by]).agg(F.avg(column).alias(into))
+    same = F.lit(True)
+    for key in by:
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    return df.join(means, same).drop(*[f"_of_{key}" for key in by])
 
 
 def settled(df: DataFrame, name: str, rules: Column) -> DataFrame:

@@ -5,13 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS_PER_OCTAVE = 256
+STEPS_PER_OCTAVE = 128
+OCTAVES = 40
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """Coarse position of a number: 256 buckets per doubling, in value order."""
-    size = F.floor(F.log2(1.0 + F.abs(value)) * STEPS_PER_OCTAVE)
-    return F.when(value < 0, -size - 1).otherwise(size)
+def with_bucket(counted: DataFrame, keys: list[str], value: str = "_value", into: str = "_bucket") -> DataFrame:
+    """Add a coarse position of each value within its own group's range, in value order.
+
+    Steps are fine at both ends of the range (128 per doubling of the distance
+    to the nearer end, over 40 doublings), so neither a common offset, nor a
+    small scale, nor a long tail puts many values into one bucket.  Missing
+    values have no bucket.
+    """
+    ends = counted.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    share = F.when(F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    share = F.coalesce(share, F.when(F.col(value).isNotNull(), F.lit(0.0)))
+
+    def steps(distance: Column) -> Column:
+        return F.floor(F.log2(1.0 + distance * 2.0**OCTAVES) * STEPS_PER_OCTAVE)
+
+    place = F.when(share <= 0.5, steps(share)).otherwise(2 * OCTAVES * STEPS_PER_OCTAVE - steps(1.0 - share))
+    return _with_ends(counted, ends, keys).withColumn(into, place).drop("_low", "_high")
+
+
+def _with_ends(counted: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on all keys; a missing key is a group like any other."""
+    renamed = ends.select(*[F.col(key).alias(f"_end_{key}") for key in keys], "_low", "_high")
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_end_{key}"))
+    return counted.join(renamed, same).drop(*[f"_end_{key}" for key in keys])
 
 
 def value_table(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -36,11 +59,11 @@ def quantiles_of(counted: DataFrame, keys: list[str], quantiles: dict[str, float
     """Quantiles of a value table.
 
     1. Count equal values (combined before the shuffle).
-    2. Add the counts up per magnitude bucket: a few thousand rows per group, so
+    2. Add the counts up per bucket of the group's range: some thousand rows per group, so
        the running count that locates each wanted rank stays small.
     3. Only the values in a located bucket are ranked one by one.
     """
-    values = counted.withColumn("_bucket", magnitude_bucket(F.col("_value")))
+    values = with_bucket(counted, keys)
     in_order = Window.partitionBy(*keys).orderBy("_bucket")
     buckets = (
         values.groupBy(*keys, "_bucket")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outagelens.operators.quantiles import magnitude_bucket
+from outagelens.operators.quantiles import with_bucket
 
 EVERYTHING_BEFORE = (Window.unboundedPreceding, 0)
 
@@ -132,10 +132,8 @@ def value_ranks(df: DataFrame, by: list[str], row: list[str], ranks: dict[str, s
     )
     long = df.select(*dict.fromkeys([*by, *row]), F.inline(measures))
     group = [*by, "_measure"]
-    counted = (
-        long.groupBy(*group, "_value")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_bucket", F.coalesce(magnitude_bucket(F.col("_value")), F.lit(2**40)))
+    counted = with_bucket(long.groupBy(*group, "_value").agg(F.count("*").alias("_n")), group).withColumn(
+        "_bucket", F.coalesce("_bucket", F.lit(2**40))
     )
     placed = running_sums(counted, group, ["_bucket"], [F.col("_value").asc_nulls_last()], {"_n": "_upto"})
     sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_size"))

@@ -41,14 +41,23 @@ def structural_steps() -> list[tuple[str, Column]]:
 
 
 def keep_structural(raw: DataFrame, order: list[str]) -> DataFrame:
-    """First row per ticket, then the filters.
+    """First row per ticket, if it passes the filters.
 
-    The filters stay behind the duplicate step: a ticket whose first row fails is
-    dropped even if a later copy would pass.
+    The filters are judged before the duplicate step, but act behind it: a ticket
+    whose first row fails is dropped even if a later copy would pass.  A failing
+    row competes for first with its key, its order and a mark only; its texts are
+    not shuffled.
     """
-    kept = keep_first(raw, ["TICKETID"], order)
+    passes = F.lit(True)
     for _, keep in structural_steps():
-        kept = kept.where(present_and(keep))
+        passes = passes & present_and(keep)
+    judged = settled(raw, "_passes", passes)
+    competing = ["TICKETID", *order]
+    narrowed = judged.select(
+        *[F.col(f"`{c}`") if c in competing else F.when(F.col("_passes"), F.col(f"`{c}`")).alias(c) for c in raw.columns],
+        "_passes",
+    )
+    kept = keep_first(narrowed, ["TICKETID"], order).where("_passes").drop("_passes")
     return kept.withColumn("Urgency", F.col("Urgency").try_cast("double"))
 
 

@@ -125,16 +125,24 @@ def outside_by_zone(df: DataFrame, group: str = "Field Operations") -> DataFrame
 
 
 def account_stats(df: DataFrame, shared_account: str) -> DataFrame:
-    """Load, compliance, unresolved share, zones and modal team per operator account."""
-    rows = df.where(F.col("Engineer_ID") != "Unknown")
-    unresolved = F.count_if(F.col(CAUSE) == fixed.UNKNOWN_CAUSE)
-    stats = rows.groupBy("Engineer_ID").agg(
-        F.count("SLA_Compliant").alias("Tickets"),
-        (F.avg("SLA_Compliant") * 100).alias("SLA_pct"),
-        (unresolved / F.count("*") * 100).alias("Unknown_pct"),
+    """Load, compliance, unresolved share, zones and modal team per operator account.
+
+    Rows are counted once per account, zone and team; all else reads those counts.
+    """
+    counts = df.where(F.col("Engineer_ID") != "Unknown").groupBy("Engineer_ID", "ZONE", "Issuer_Team").agg(
+        F.count("*").alias("_rows"),
+        F.count("SLA_Compliant").alias("_judged"),
+        F.sum("SLA_Compliant").alias("_met"),
+        F.count_if(F.col(CAUSE) == fixed.UNKNOWN_CAUSE).alias("_unresolved"),
+    )
+    stats = counts.groupBy("Engineer_ID").agg(
+        F.sum("_judged").alias("Tickets"),
+        (F.try_divide(F.sum("_met"), F.sum("_judged")) * 100).alias("SLA_pct"),
+        (F.sum("_unresolved") / F.sum("_rows") * 100).alias("Unknown_pct"),
         F.array_join(F.sort_array(F.collect_set("ZONE")), ", ").alias("Zones"),
     )
-    return stats.join(modal_value(rows, ["Engineer_ID"], "Issuer_Team", "Team"), "Engineer_ID").withColumn(
+    modal = modal_value(counts, ["Engineer_ID"], "Issuer_Team", "Team", weight="_rows")
+    return stats.join(modal, "Engineer_ID").withColumn(
         "Is_Shared", F.col("Engineer_ID") == shared_account
     )
 

@@ -9,10 +9,11 @@ from outagelens import fixed_values as fixed
 from outagelens.functions.rules import case_when, is_any, literal, named
 from outagelens.functions.service import hours_between, moment_or_missing, sla_hours
 from outagelens.functions.text import month_label
+from outagelens.operators.quantiles import grouped_quantiles
 from outagelens.operators.shape import canonical_order
 
 MEAN_NAMES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max,
-              "median": F.median, "std": F.stddev_samp, "nunique": F.count_distinct}
+              "std": F.stddev_samp, "nunique": F.count_distinct}
 
 
 # --- subsets ---------------------------------------------------------------------
@@ -251,10 +252,13 @@ def aggregate_by_region(
     df: DataFrame, metric: str, how: str = "mean", region: str = "Region", titled: bool = False
 ) -> DataFrame:
     """One named aggregate per region in canonical order, under either naming style."""
-    if how not in MEAN_NAMES:
+    if how not in (*MEAN_NAMES, "median"):
         raise ValueError(f"Unknown aggregate: {how}")
     name = f"{metric.title()} ({how.title()})" if titled else f"{metric}_{how}"
-    grouped = _grouped(df, region).agg(MEAN_NAMES[how](metric).alias(name))
+    if how == "median":
+        grouped = grouped_quantiles(df, [region], metric, {name: 0.5})
+    else:
+        grouped = _grouped(df, region).agg(MEAN_NAMES[how](metric).alias(name))
     return canonical_order(grouped, region, fixed.REGION_ORDER)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from outagelens.operators import ranking
 from outagelens.operators.lookups import cohort_of_top
-from outagelens.operators.quantiles import grouped_quantiles
+from outagelens.operators.quantiles import grouped_quantiles, with_bucket
 from outagelens.operators.shape import canonical_order, compared, mean_of_columns, reindexed, with_percentage
 from outagelens.plans.kpis import outlier_groups
 from outagelens.plans.sites import pareto_marks
@@ -142,3 +142,15 @@ def test_top_n_is_the_same_everywhere(spark):
         top = {r["name"] for r in cohort_of_top(rows, "name", n).collect()}
         ranked = ranking.pareto(names.select("name", "n"), [], "name", "n").where(F.col("Rank") <= n).collect()
         assert {r["name"] for r in ranked} == top
+
+
+def test_buckets_follow_each_groups_own_range(spark):
+    """Neither a large offset, nor a small scale, nor a long tail fills one bucket."""
+    rows = spark.range(20_000).selectExpr(
+        "inline(array(struct('offset' AS g, 1.7e9D + id * 500 AS _value), struct('small' AS g, id * 5e-8D AS _value), "
+        "struct('tail' AS g, exp(id / 800D) AS _value), struct('negative' AS g, -1e12D + id AS _value)))")
+    found = with_bucket(rows, ["g"]).groupBy("g", "_bucket").agg(
+        F.count("*").alias("n"), F.min("_value").alias("low"), F.max("_value").alias("high")).orderBy("g", "_bucket").collect()
+    assert max(r["n"] for r in found) <= 200
+    for before, after in zip(found, found[1:]):
+        assert before["g"] != after["g"] or before["high"] < after["low"]
