@@ -491,3 +491,7 @@ CLEAN_COLUMNS = {
     "Engineer_ID": "FT_Owner_Anonymized", "Field_Lead_ID": "WOLeadName_Anonymized",
     "WOOwnerGroup": "WOOwnerGroup_Category",
 }
+
+# --- fixed outputs: columns that the inference logs carry next to the id ------------
+
+INFERENCE_CONTEXT = ["DESCRIPTION", "NEType"]

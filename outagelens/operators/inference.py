@@ -104,22 +104,34 @@ def similar_categories(counts: DataFrame, id_col: str, keep: Keep = as_is) -> Da
     )
 
 
+Compared = tuple[DataFrame, DataFrame]
+
+
+def compare(
+    df: DataFrame, id_col: str, target: str, text: str, stop_words: Iterable[str], keep: Keep = as_is
+) -> Compared:
+    """The term counts of a table, and the best category of every row with a missing target; both kept."""
+    counts = keep(term_counts(df, id_col, target, text, stop_words))
+    return counts, keep(similar_categories(counts, id_col, keep))
+
+
 def fill_from_text(
-    df: DataFrame, id_col: str, target: str, text: str, constant: str, stop_words: Iterable[str], keep: Keep = as_is
+    df: DataFrame, id_col: str, target: str, text: str, constant: str, stop_words: Iterable[str], keep: Keep = as_is,
+    compared: Compared | None = None,
 ) -> DataFrame:
     """The table with missing targets filled.
 
     Without any known category, or when no row with a missing target has usable
     text, the constant is filled in.  Otherwise a row without usable text stays
-    missing.  `keep` may store the term counts, which several branches read.
+    missing.  `keep` may store what several branches read; `compared` brings it along.
     """
     for column in (text, target):
         if column not in df.columns:
             raise ValueError(f"Missing required column: '{column}'")
-    counts = keep(term_counts(df, id_col, target, text, stop_words))
+    counts, best = compared or compare(df, id_col, target, text, stop_words, keep)
     sides = counts.agg(F.count_if("known").alias("known"), F.count_if(~F.col("known")).alias("unknown"))
     nothing_to_compare = sides.select((F.col("known") == 0) | (F.col("unknown") == 0)).scalar()
-    found = similar_categories(counts, id_col, keep).select(
+    found = best.select(
         F.col(id_col).alias("_row"), F.col("assigned").alias("_assigned")
     )
     filled = F.coalesce(F.col(target), F.col("_assigned"), F.when(nothing_to_compare, F.lit(constant)))
@@ -129,10 +141,14 @@ def fill_from_text(
 
 def inference_log(
     df: DataFrame, id_col: str, target: str, text: str, stop_words: Iterable[str], keep: Keep = as_is,
-    context: Iterable[str] = (),
+    context: Iterable[str] = (), compared: Compared | None = None,
 ) -> DataFrame:
-    """Assigned value, score and confidence tier of every inferred row, behind its own `context` columns."""
-    found = similar_categories(keep(term_counts(df, id_col, target, text, stop_words)), id_col, keep).select(
+    """Assigned value, score and confidence tier of every inferred row, behind its own `context` columns.
+
+    The target, when it is among them, shows the assigned value.
+    """
+    _, best = compared or compare(df, id_col, target, text, stop_words, keep)
+    found = best.select(
         F.col(id_col).alias("_row"),
         F.col("assigned").alias("Raw Inferred Value"),
         F.col("score").alias("Similarity_Score"),
@@ -142,7 +158,8 @@ def inference_log(
     if not shown:
         return found.withColumnRenamed("_row", id_col)
     rows = df.where(F.col(target).isNull()).select(id_col, *shown)
-    return rows.join(found, F.col(id_col).cast("string") == F.col("_row")).drop("_row")
+    joined = rows.join(found, F.col(id_col).cast("string") == F.col("_row")).drop("_row")
+    return joined.withColumn(target, F.col("Raw Inferred Value")) if target in shown else joined
 
 
 def low_confidence(log: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ from outagelens.functions.rules import (
 from outagelens.functions.text import clean_text, closest_label
 from outagelens.operators.dedupe import keep_first
 from outagelens.operators.inference import (
-    Keep, as_is, default_stop_words, fill_from_text, inference_log, low_confidence,
+    Compared, Keep, as_is, compare, default_stop_words, fill_from_text, inference_log, low_confidence,
 )
 from outagelens.operators.lookups import lookup_left, settled, unmatched
+from outagelens.sources.checkpoints import stored
 from outagelens.sources.files import require_columns
 
 CAUSE = "RFODescription"
@@ -271,7 +272,13 @@ def protect_people(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Cleaning:
-    """The stages of one cleaning plan, for the result and its audit extracts."""
+    """The stages of one cleaning plan, for the result and its audit extracts.
+
+    With the text inference, the stages that several branches read, the term
+    counts and the comparisons are written once below the session's shared
+    folder, while the plan is built; `cut` names another way to keep them.
+    Without it the plan is lazy.
+    """
 
     raw: DataFrame
     sites: DataFrame
@@ -279,8 +286,9 @@ class Cleaning:
     region_scope: str | None = None
     infer: bool = True
     stop_words: Iterable[str] | None = None
-    cut: Keep = as_is
+    cut: Keep | None = None
     stages: dict[str, DataFrame] = field(default_factory=dict)
+    compared: dict[str, Compared] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         require_columns(self.raw, fixed.REQUIRED_COLUMNS)
@@ -288,14 +296,11 @@ class Cleaning:
         stage["filtered"] = keep_structural(self.raw, self.order)
         if self.infer:
             self.stop_words = list(self.stop_words if self.stop_words is not None else default_stop_words())
-            stage["filtered"] = self.cut(stage["filtered"])
-            stage["typed"] = fill_from_text(
-                stage["filtered"], "TICKETID", "NEType", "DESCRIPTION", "UNKNOWN", self.stop_words, self.cut
-            )
-            stage["repaired"] = self.cut(repair_texts(stage["typed"]))
-            stage["caused"] = fill_from_text(
-                stage["repaired"], "TICKETID", CAUSE, "DESCRIPTION", fixed.UNKNOWN_CAUSE, self.stop_words, self.cut
-            )
+            cut = self.cut or (lambda df: stored(df, "cleaning"))
+            stage["filtered"] = cut(stage["filtered"])
+            stage["typed"] = cut(self._inferred("filtered", "NEType", "UNKNOWN", cut))
+            stage["repaired"] = cut(repair_texts(stage["typed"]))
+            stage["caused"] = cut(self._inferred("repaired", CAUSE, fixed.UNKNOWN_CAUSE, cut))
         else:
             stage["typed"] = stage["filtered"]
             stage["repaired"] = stage["caused"] = repair_texts(stage["typed"])
@@ -310,6 +315,13 @@ class Cleaning:
         stage["scoped"] = scoped
         stage["clean"] = protect_people(scoped)
 
+    def _inferred(self, source: str, target: str, constant: str, cut: Keep) -> DataFrame:
+        rows = self.stages[source]
+        self.compared[target] = compare(rows, "TICKETID", target, "DESCRIPTION", self.stop_words, cut)
+        return fill_from_text(
+            rows, "TICKETID", target, "DESCRIPTION", constant, self.stop_words, cut, self.compared[target]
+        )
+
     @property
     def clean(self) -> DataFrame:
         return self.stages["clean"]
@@ -366,7 +378,7 @@ def reclassified(standard: DataFrame) -> DataFrame:
 
 
 def audit_extracts(cleaning: Cleaning) -> dict[str, DataFrame]:
-    """All audit extracts, each a lazy table that costs nothing until it is written."""
+    """All audit extracts, each a lazy table over the plan's stages; writing one runs what it reads of them."""
     stage = cleaning.stages
     cause_columns = ["TICKETID", CAUSE, "RootCause", "ActionTaken", "Urgency", "NEType"]
     missing_type = stage["filtered"].where(F.col("NEType").isNull())
@@ -407,7 +419,10 @@ def audit_extracts(cleaning: Cleaning) -> dict[str, DataFrame]:
             audits[f"{label}_anonymization_map"] = pseudonym_map(stage["scoped"], name)
     if cleaning.infer:
         for label, source, target in (("netype", "filtered", "NEType"), ("rfodescription", "repaired", CAUSE)):
-            log = inference_log(stage[source], "TICKETID", target, "DESCRIPTION", cleaning.stop_words, cleaning.cut)
+            log = inference_log(
+                stage[source], "TICKETID", target, "DESCRIPTION", cleaning.stop_words,
+                context=dict.fromkeys([*fixed.INFERENCE_CONTEXT, target]), compared=cleaning.compared[target],
+            )
             audits[f"inferred_{label}_scores"] = log
             audits[f"low_confidence_{label}"] = low_confidence(log)
         scores = audits["inferred_rfodescription_scores"].select("TICKETID", "Similarity_Score")

@@ -15,14 +15,14 @@ from outagelens.operators.ranking import (
 )
 from outagelens.operators.shape import compared, pivot, row_percentages, share_of_parent
 from outagelens.plans import kpis, zones
-from outagelens.plans.cleaning import Cleaning
+from outagelens.plans.cleaning import Cleaning, audit_extracts
 from outagelens.plans.snapshots import extreme_rows
 from outagelens.registry import base_sql
 from outagelens.registry.base_sql import q, r, values
 from outagelens.registry.cleaning import STOP_WORDS
 from outagelens.registry.core import query
 from outagelens.registry.kpis import SCORECARD
-from outagelens.sources.checkpoints import checkpointed, kept, stored
+from outagelens.sources.checkpoints import kept, stored
 from outagelens.sources.star_tickets import (
     ARRIVAL_ORDER, clean_table, cleaning_view, raw_tickets, sites, table,
 )
@@ -445,19 +445,37 @@ caused AS MATERIALIZED (
 CAUSES = """SELECT "TICKETID" AS id, "RFODescription" AS target, "DESCRIPTION" AS text FROM repaired"""
 
 
-@query("clean_tickets_inferred", "WITH " + ",".join([
+INFERRED = [
     base_sql.RAW, base_sql.FILTERED, inference_ctes(TICKETS, "t_"), TYPED,
     base_sql.REPAIRED.replace("FROM filtered", "FROM typed"), inference_ctes(CAUSES, "c_"), CAUSED,
-    base_sql.STANDARD.replace("FROM repaired", "FROM caused"), base_sql.SITED, base_sql.CLEAN,
-]) + f"""
+    base_sql.STANDARD.replace("FROM repaired", "FROM caused"),
+]
+
+
+def inferred_cleaning(spark, folder):
+    """The cleaning plan with both inferences, through its default entry, built once in a session."""
+    return kept(spark, folder, "inferred-cleaning", lambda: Cleaning(
+        raw_tickets(spark, folder), sites(spark, folder), ARRIVAL_ORDER, stop_words=STOP_WORDS
+    ))
+
+
+@query("unknown_cause_scores", "WITH " + ",".join(INFERRED) + f"""
+SELECT "TICKETID", "RFODescription", "Urgency", "NEType", {r('score')} AS "Similarity_Score"
+FROM standard LEFT JOIN c_found ON id = "TICKETID"
+WHERE "Standardized RFO" = 'UNKNOWN-Under Investigation'""", base=False)
+def unknown_cause_scores(spark, folder):
+    """The audit of tickets whose cause stays unknown, with the score of an inferred one."""
+    audits = audit_extracts(inferred_cleaning(spark, folder))
+    return audits["unknown_rfo_analysis"].select("TICKETID", "RFODescription", "Urgency", "NEType", "Similarity_Score")
+
+
+@query("clean_tickets_inferred", "WITH " + ",".join([*INFERRED, base_sql.SITED, base_sql.CLEAN]) + f"""
 SELECT * REPLACE ({r('"DISPATCH_DELAY_HOURS"')} AS "DISPATCH_DELAY_HOURS",
                   {r('"FIELD_TIME_HOURS"')} AS "FIELD_TIME_HOURS")
 FROM clean""", base=False)
 def clean_tickets_inferred(spark, folder):
-    """All 26 steps with both text inferences; lineage is cut before each of them."""
-    return Cleaning(
-        raw_tickets(spark, folder), sites(spark, folder), ARRIVAL_ORDER, stop_words=STOP_WORDS, cut=checkpointed
-    ).clean
+    """All 26 steps with both text inferences; the stages that branches share are stored."""
+    return inferred_cleaning(spark, folder).clean
 
 
 @query("sla_tiers", f"""

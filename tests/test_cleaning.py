@@ -169,3 +169,10 @@ def test_reclassified_causes(spark):
             ("c", "power", "FACILITIES-Power Failure"), ("d", None, None), ("e", "Unknown Under Investigation", None)]
     table = spark.createDataFrame(rows, "TICKETID string, Original_RFO string, `Standardized RFO` string")
     assert {r["TICKETID"] for r in cleaning.reclassified(table).collect()} == {"a", "e"}
+
+
+def test_the_inferred_plan_is_short(sample_raw, sample_sites):
+    """Shared stages are stored: the clean table's own plan reads a stored stage and the sites."""
+    run = Cleaning(sample_raw, sample_sites, ["TICKETID"], stop_words=WORDS)
+    plan = run.clean._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 3 and plan.count("Join") <= 1
