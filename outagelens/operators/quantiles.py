@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 STEPS_PER_OCTAVE = 128
 OCTAVES = 40
+#: The key of a table that is one group.
+EVERYTHING = "_all"
 
 
 def with_bucket(counted: DataFrame, keys: list[str], value: str = "_value", into: str = "_bucket") -> DataFrame:
@@ -17,7 +19,12 @@ def with_bucket(counted: DataFrame, keys: list[str], value: str = "_value", into
     small scale, nor a long tail puts many values into one bucket.  Missing
     values have no bucket.
     """
-    ends = counted.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    low, high = F.min(value), F.max(value)
+    if keys == [EVERYTHING]:  # one group: two scalars, no join
+        ranged = counted.withColumns({"_low": counted.agg(low).scalar(), "_high": counted.agg(high).scalar()})
+    else:
+        ends = counted.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"))
+        ranged = _with_ends(counted, ends, keys)
     share = F.when(F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")))
     share = F.coalesce(share, F.when(F.col(value).isNotNull(), F.lit(0.0)))
 
@@ -25,7 +32,7 @@ def with_bucket(counted: DataFrame, keys: list[str], value: str = "_value", into
         return F.floor(F.log2(1.0 + distance * 2.0**OCTAVES) * STEPS_PER_OCTAVE)
 
     place = F.when(share <= 0.5, steps(share)).otherwise(2 * OCTAVES * STEPS_PER_OCTAVE - steps(1.0 - share))
-    return _with_ends(counted, ends, keys).withColumn(into, place).drop("_low", "_high")
+    return ranged.withColumn(into, place).drop("_low", "_high")
 
 
 def _with_ends(counted: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,10 +56,10 @@ def value_table(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def grouped_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """One row per group with one column per requested quantile (linear interpolation)."""
-    keys = by or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(1))
+    keys = by or [EVERYTHING]
+    source = df if by else df.withColumn(EVERYTHING, F.lit(1))
     result = quantiles_of(value_table(source, keys, value), keys, quantiles)
-    return result if by else result.drop("_all")
+    return result if by else result.drop(EVERYTHING)
 
 
 def quantiles_of(counted: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
