@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outagelens.llm.shared import per_process
+from outagelens.llm.shared import bounded_batches, per_process
 
 #: Code points that are encoded as one piece; a longer run without white space is halved until its parts are no longer.
 LEAF = 2048
@@ -204,7 +204,7 @@ def _codec(definition, splits: bool) -> Codec:
 
 def _shared(path: str, spark):
     """The tokenizer's file, read on the driver and broadcast: one vocabulary, whatever the corpus."""
-    return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+    return bounded_batches(spark).sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
 def encode_column(text: Column, path: str, spark, splits: bool = True) -> Column:

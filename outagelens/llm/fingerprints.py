@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outagelens.llm.shared import per_process
+from outagelens.llm.shared import bounded_batches, per_process
 
 #: A Mersenne prime: products of two residues fit 64 bits, and reduction is a shift and an addition.
 PRIME = (1 << 31) - 1
@@ -197,7 +197,7 @@ def edits(docs: DataFrame) -> DataFrame:
     document of the next range as a guest. So texts are shuffled once, a task reads its range as a stream and holds
     two documents, and the driver holds two ids for each range.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     lowest = -(1 << 63)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "key", F.coalesce("doc_id", F.lit(lowest)))

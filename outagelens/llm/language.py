@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outagelens.llm.shared import carried, fold, per_process
+from outagelens.llm.shared import bounded_batches, carried, fold, per_process
 
 #: Hashed n-grams: code points in one, and how many buckets they share.
 GRAM, BUCKETS = 3, 1 << 15
@@ -127,6 +127,7 @@ def learned(docs: DataFrame) -> Model:
 
     Tasks send one row per language and bucket; the driver gets the sums, a table bounded by languages x BUCKETS.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
     sums = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toArrow()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outagelens.llm.shared import carried, labelled_sample, sample_arrays
+from outagelens.llm.shared import bounded_batches, carried, labelled_sample, sample_arrays
 
 #: Hashed features.
 BUCKETS = 1 << 16
@@ -127,6 +127,7 @@ def _slopes(score: np.ndarray, grades: np.ndarray, thresholds: np.ndarray) -> tu
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of rated documents, learned on the driver from the hashed features of at most LEARN_ROWS rows."""
+    bounded_batches(docs.sparkSession)
     rated = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
     sample = labelled_sample(docs, rated, "grade", LEARN_ROWS)
 

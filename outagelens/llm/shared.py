@@ -95,6 +95,19 @@ def sample_arrays(lists) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, sending texts to Python in small Arrow batches, unless it names a size of its own.
+
+    The usual 64 MB are held several times over, by the JVM and by each Python worker.
+    """
+    if spark.conf.get(BATCH_SETTING) == "67108864b":
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return spark
+
+
 def per_process(name: str, make):
     """make(), once in each Python worker: a worker unpickles functions anew for every task, but keeps its modules."""
     held = sys.modules.setdefault("llm_worker_state", types.ModuleType("llm_worker_state")).__dict__
@@ -108,7 +121,7 @@ def carried(spark: SparkSession, value):
 
     For models of a bounded size only.
     """
-    held, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    held, key = bounded_batches(spark).sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
 
     def found():
         last = per_process("carried", dict)

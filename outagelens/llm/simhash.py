@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outagelens.llm.shared import spread, stored
+from outagelens.llm.shared import bounded_batches, spread, stored
 
 SHINGLE = 3
 RADIUS = 2
@@ -134,6 +134,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     Python works out fingerprints, once; they are stored, 16 bytes a row. All else runs on distinct fingerprints,
     so a group of exact copies is one node whatever its size.
     """
+    bounded_batches(docs.sparkSession)
     prints = stored(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fingerprint")), "fingerprints")
     return prints.join(_resolved(prints, F.col("doc_id"), radius), "fingerprint").select(
         "doc_id", "fingerprint", F.col("first").alias("component_id"))
@@ -153,6 +154,7 @@ def kept(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataF
     Null ids come last; rows that share an id are told apart by hashed text, and of rows equal in both one stays.
     Other columns travel within a struct, so their names cannot clash.
     """
+    bounded_batches(docs.sparkSession)
     number = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
     prints = stored(docs.select(number.alias("number"), fingerprint_column(F.col("text"), shingle).alias("fingerprint")),
                     "fingerprints")
