@@ -69,7 +69,9 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     (65 for radius 2), whatever the input. Empty input gives no link.
     """
     masks = F.array(*[F.lit(m) for m in ball((radius + 1) // 2)])
-    member = fingerprints.select("fingerprint", F.explode(masks).alias("mask")).select(
+    # Each row becomes a whole ball, so Spark's estimate from the small input must not merge these partitions.
+    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    member = fingerprints.repartition(parts).select("fingerprint", F.explode(masks).alias("mask")).select(
         "fingerprint", F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"))
     members = member.groupBy("variant").agg(F.sort_array(F.collect_list("fingerprint")).alias("members"))
     shared = members.filter(F.size("members") > 1)
