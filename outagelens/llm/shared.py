@@ -84,7 +84,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """
     chosen = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.max(label).alias(label)))
-    there = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    there = chosen.join(docs.select("doc_id"), "doc_id", "left_semi")
     return docs.join(F.broadcast(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)), "doc_id")
 
 
