@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outagelens.llm.shared import bounded_batches
+
 #: Strings with a meaning to the template; inside texts they are broken up by the escape character.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ESCAPE = "\\"
@@ -48,12 +50,14 @@ def events_of(turns: DataFrame) -> DataFrame:
     """A log (conv_id, message, seq, kind, role, text) that whole turns (conv_id, turn, role, text) amount to.
 
     Each turn opens a message and streams its text in deltas. Null texts are empty, null roles too. A turn without a
-    number comes before all others; rows that repeat a turn's number are messages of their own, ordered by role and text.
+    number comes before all others. Every row is a message of its own: rows of one number follow a hash of role and
+    text, and equal rows, which nothing tells apart, a number that Spark gives each row.
     """
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
     pieces = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
-    twin = F.sha2(F.concat_ws("\n", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256)
-    streamed = turns.select("conv_id", F.col("turn").alias("message"), twin.alias("twin"),
+    digest = F.sha2(F.concat_ws("\n", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    twin = F.concat(digest, F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    streamed = turns.withColumn("twin", twin).select("conv_id", F.col("turn").alias("message"), "twin",
                             F.coalesce("role", F.lit("")).alias("role"), F.posexplode(pieces).alias("piece", "text"))
     seq = F.coalesce("message", F.lit(0)) * (1 << 32) + F.col("piece")
     return streamed.select("conv_id", "message", "twin", seq.cast("long").alias("seq"),
@@ -81,6 +85,7 @@ def formatted(events: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("message").cast("long").alias("message"),
         F.coalesce("twin", F.lit("")).alias("twin"), F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"),
         F.col("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    bounded_batches(events.sparkSession)
     dealt = log.repartition("conv_id").sortWithinPartitions("conv_id", "message", "twin", "seq", "kind", "text")
     return dealt.mapInArrow(_fold, "conv_id long, message long, place long, role string, text string, "
                                    "formatted string, loss_start long, loss_length long")
