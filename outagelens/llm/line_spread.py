@@ -63,7 +63,8 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     numbered = found.select(_id(F.col("doc_id")).alias("id"), "doc_id", "line")
     hits = numbered.join(spread, "line").filter(F.col("first_doc").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     removed = stored(hits.groupBy("id").agg(F.collect_set("line").alias("gone")), "hits")
-    rows = docs.select(F.struct("*").alias("row"), _id(F.col("doc_id")).alias("id")).join(removed, "id", "left")
+    # One plan at every size: the documents that lose lines grow with the input, so they are never broadcast.
+    rows = docs.select(F.struct("*").alias("row"), _id(F.col("doc_id")).alias("id")).join(removed.hint("merge"), "id", "left")
     text = F.col("row.text")
     split = F.arrays_zip(F.split(text, "\n").alias("line"), line_keys(text).alias("key"))
     stay = F.filter(split, lambda x: x["key"].isNull() | ~F.array_contains(F.col("gone"), x["key"]))
