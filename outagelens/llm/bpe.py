@@ -6,7 +6,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from itertools import chain
+from itertools import chain, takewhile
 from pathlib import Path
 
 import numpy as np
@@ -126,12 +126,10 @@ class Codec:
         while True:
             a, b = max(lo, at - half), min(hi, at + half)
             _, _, seen = self._tokens(text, a, b)
-            first = (0, 0) if a == lo else _agreement(seen, [t for t in one if a <= t[0] and t[1] < at], b, False)
-            last = (len(seen), 0) if b == hi else _agreement(seen, [t for t in two if t[1] <= b], b, True)
+            first = (0, 0) if a == lo else _agreement(seen, one, a, at, False)
+            last = (len(seen), len(two)) if b == hi else _agreement(seen, two, a, b, True)
             if first and last and first[0] <= last[0]:
-                head = [] if a == lo else one[:_place(one, seen[first[0] - 1]) + 1]
-                tail = [] if b == hi else two[_place(two, seen[last[0]]):]
-                return lo, hi, head + seen[first[0]:last[0]] + tail
+                return lo, hi, one[:first[1]] + seen[first[0]:last[0]] + two[last[1]:]
             half *= 2
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
@@ -166,24 +164,27 @@ def _parts(run: bytes) -> tuple[bytes, ...]:
     return (stem, low[len(stem):]) if len(stem) < len(low) and stem[-1:].isalnum() else (low,)
 
 
-def _place(tokens: list, token) -> int:
-    """Where the token is, counted from the nearer end."""
-    return tokens.index(token)
-
-
-def _agreement(seen: list, side: list, end: int, from_end: bool):
-    """Where the window's tokens `seen` may pass over to those of `side`, as a place in `seen`; None if nowhere.
+def _agreement(seen: list, side: list, begin: int, end: int, from_end: bool):
+    """Where the window's tokens `seen` may pass over to those of `side`: the places in `seen` and in `side`, or None.
 
     From the left side the window takes over after the first AGREED shared tokens; to the right side it hands over
-    before the last ones.
+    before the last ones. Tokens count from `begin` and if they end before `end`. One character can give equal tokens,
+    so each place of a token is tried, and shared tokens of a single character don't count: only those that begin at
+    two characters or more are found once at most in `seen` and once in `side`.
     """
-    places = {token: k for k, token in enumerate(side)}
-    usable = [k for k, token in enumerate(seen) if token[1] < end]
-    starts = range(len(usable) - AGREED, -1, -1) if from_end else range(len(usable) - AGREED + 1)
+    near = range(len(side)) if from_end else range(len(side) - 1, -1, -1)
+    inside = (lambda t: t[1] <= end) if from_end else (lambda t: begin <= t[0])
+    places: dict[tuple, list[int]] = {}
+    for at in takewhile(lambda k: inside(side[k]), near):
+        places.setdefault(side[at], []).append(at)
+    starts = range(len(seen) - AGREED, -1, -1) if from_end else range(len(seen) - AGREED + 1)
     for k in starts:
-        first = places.get(seen[k])
-        if first is not None and side[first:first + AGREED] == seen[k:k + AGREED]:
-            return (k, 0) if from_end else (k + AGREED, 0)
+        shared = seen[k:k + AGREED]
+        if shared[0][0] == shared[-1][0] or any(t[1] >= end for t in shared):
+            continue
+        for at in places.get(shared[0], ()):
+            if side[at:at + AGREED] == shared:
+                return (k, at) if from_end else (k + AGREED, at + AGREED)
     return None
 
 

@@ -233,6 +233,24 @@ def test_tree_of_unsplit_text_equals_one_piece(tokenizer):
         assert codec.tree(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+#: Characters whose bytes stay separate tokens, two equal ones in a row or near each other.
+TWINS = ["把游达盛议", "파됐", "把游a", "盛达é日", "\U0001f7df\U0001f61f", "\U0001d160\U0001d15e把"]
+
+
+def test_tree_of_characters_with_equal_tokens(tokenizer):
+    codec = bpe.Codec(open(tokenizer_path(), encoding="utf-8").read(), leaf=40, window=4)
+    for char in "把游达盛议파됐":
+        found = tokenizer.encode(char * 3, add_special_tokens=False)
+        tokens = list(zip(found.offsets, found.ids))
+        assert any(one == two for one, two in zip(tokens, tokens[1:]))
+    rng = random.Random(9)
+    for _ in range(600):
+        letters = "".join(rng.sample([*TWINS, *ALPHABETS], rng.randint(0, 2))) + rng.choice(TWINS)
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(41, 400)))
+        text = "".join(text.split())
+        assert codec.tree(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_runs_and_their_tails_equal_whole_texts(tokenizer):
     codec = bpe.Codec(open(tokenizer_path(), encoding="utf-8").read())
     rng = random.Random(4)
