@@ -251,6 +251,22 @@ def test_tree_of_characters_with_equal_tokens(tokenizer):
         assert codec.tree(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_bpe_query_joins_runs_of_several_leaves(spark, tokenizer, monkeypatch):
+    rng = random.Random(12)
+    texts = {k: "".join(rng.choice(letters) for _ in range(3 * bpe.LEAF + 77 * k)) for k, letters in enumerate(TWINS)}
+    texts[len(texts)] = "short words " + texts[0] + " and " + "abcdefghij!" * 700
+    whole = {k: tokenizer.encode(text, add_special_tokens=False).ids for k, text in texts.items()}
+    table = spark.createDataFrame([(k, t, "zh", "s", len(t)) for k, t in texts.items()], DOCS)
+    wanted = [(k, len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))) for k, ids in whole.items()]
+    assert multiset(bpe.report(table, tokenizer_path()).collect()) == multiset(wanted)
+    called = []
+    codec = bpe.Codec(open(tokenizer_path(), encoding="utf-8").read())
+    monkeypatch.setattr(codec, "tree", lambda text: called.append(text) or bpe.Codec.tree(codec, text))
+    offsets, ids = codec.encode(list(texts.values()))
+    assert len(called) >= len(texts)
+    assert all(ids[a:b].tolist() == whole[k] for k, (a, b) in enumerate(zip(offsets, offsets[1:])))
+
+
 def test_runs_and_their_tails_equal_whole_texts(tokenizer):
     codec = bpe.Codec(open(tokenizer_path(), encoding="utf-8").read())
     rng = random.Random(4)
