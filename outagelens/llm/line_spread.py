@@ -23,10 +23,15 @@ def line_keys(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, line) for the distinct lines of every document that hold a word. A null source is a site of its own."""
+    """(doc_id, text_hash, site, line) for the distinct lines of every document that hold a word.
+
+    A null source is a site of its own.
+    """
     site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("none"))
     keys = F.filter(F.array_distinct(line_keys(F.col("text"))), lambda x: x.isNotNull())
-    return docs.select("doc_id", site.alias("site"), F.explode(keys).alias("line"))
+    # Two steps, so that a text is hashed once and not for each of its lines.
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), site.alias("site"), keys.alias("keys"))
+    return hashed.select("doc_id", "text_hash", "site", F.explode("keys").alias("line"))
 
 
 def boilerplate(found: DataFrame, sites: int = SITES) -> DataFrame:
@@ -60,11 +65,12 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """
     found = stored(lines(docs.select("doc_id", "source", "text")), "lines")
     spread = stored(boilerplate(found, sites), "boilerplate")
-    numbered = found.select(_id(F.col("doc_id")).alias("id"), "doc_id", "line")
+    numbered = found.select("doc_id", "text_hash", "line")
     hits = numbered.join(spread, "line").filter(F.col("first_doc").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    removed = stored(hits.groupBy("id").agg(F.collect_set("line").alias("gone")), "hits")
+    own = hits.select(_id(F.col("doc_id"), F.col("text_hash")).alias("id"), "line")
+    removed = stored(own.groupBy("id").agg(F.collect_set("line").alias("gone")), "hits")
     # One plan at every size: the documents that lose lines grow with the input, so they are never broadcast.
-    rows = docs.select(F.struct("*").alias("row"), _id(F.col("doc_id")).alias("id")).join(removed.hint("merge"), "id", "left")
+    rows = docs.select(F.struct("*").alias("row"), _id(F.col("doc_id"), F.xxhash64("text")).alias("id")).join(removed.hint("merge"), "id", "left")
     text = F.col("row.text")
     split = F.arrays_zip(F.split(text, "\n").alias("line"), line_keys(text).alias("key"))
     stay = F.filter(split, lambda x: x["key"].isNull() | ~F.array_contains(F.col("gone"), x["key"]))
@@ -73,8 +79,12 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
         F.when(F.col("stay").isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n")) - F.size("stay")).cast("long").alias("lines_removed"))
 
 
-def _id(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit("none"))
+def _id(doc_id: Column, text_hash: Column) -> Column:
+    """A key of the rows with one id, or none, and one text: what it loses are lines of that text only.
+
+    Which lines go depends on the id and the line, so texts whose hashes collide still lose the right ones.
+    """
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("none")), F.lit(" "), text_hash.cast("string"))
 
 
 def deduplicated(docs: DataFrame, sites: int = SITES) -> DataFrame:

@@ -95,6 +95,17 @@ def test_line_dedup_counts_exactly_near_the_threshold(spark):
     assert {r.first_doc // 1000 for r in found} == set(range(50, 71))
 
 
+def test_line_dedup_gathers_the_lines_of_one_text_only(spark, monkeypatch):
+    rows = [(k if k < 20 else None if k < 60 else 99, f"menu {k % 20}\nown {k}\nmenu {(k + 1) % 20}", "en", f"s{k % 9}", 0) for k in range(90)]
+    kept = {}
+    keep = line_spread.stored
+    monkeypatch.setattr(line_spread, "stored", lambda table, label: kept.setdefault(label, keep(table, label)))
+    found = line_spread.without_boilerplate(spark.createDataFrame(rows, DOCS), 2).select("row.doc_id", "text").collect()
+    wanted = zip([row[0] for row in rows], without_shared_lines(rows, 2))
+    assert multiset(found) == multiset(wanted)
+    assert kept["hits"].agg(F.max(F.size("gone"))).first()[0] == 2
+
+
 def test_line_dedup_keeps_columns_and_takes_empty_tables(clashing, empty):
     done = line_spread.deduplicated(clashing, 5)
     assert done.columns == clashing.columns and done.filter("gone != 'own gone'").count() == 0
