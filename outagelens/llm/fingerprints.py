@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,6 +185,39 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RESULT)], schema=_RESULT)
 
 
+class _Ranges:
+    """Numbered ranges of rows (key, hash), keys descending and hashes ascending."""
+
+    def __init__(self, cuts: list[int], inner: dict[int, list[int]]):
+        """cuts begin a range each, the rows up to that key; inner are hashes that begin further ranges within a key."""
+        self.bounds = np.array(sorted(set(cuts)), np.int64)
+        self.inner = {key: np.array(sorted(set(hashes)), np.int64) for key, hashes in inner.items()}
+        more = [len(self.inner.get(key, ())) for key in self.bounds[::-1].tolist()]
+        #: By the number of bounds that a key is not above: the range of lower keys, which follow the last bound's own rows.
+        self.lower = np.arange(len(self.bounds) + 1) + np.concatenate(([0], np.cumsum(more, dtype=np.int64)))
+
+    def __len__(self) -> int:
+        return int(self.lower[-1]) + 1
+
+    def parts(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        found = self.lower[len(self.bounds) - np.searchsorted(self.bounds, keys, side="left")]
+        for key, begins in self.inner.items():
+            own = np.flatnonzero(keys == key)
+            found[own] += np.searchsorted(begins, hashes[own], side="right") - len(begins)
+        return found
+
+
+def _inner(keyed: DataFrame, times: Counter, parts: int) -> dict[int, list[int]]:
+    """For each key that is there more than once among the cuts: the hashes that divide its rows into as many ranges."""
+    hot = {key: n for key, n in times.items() if n > 1}
+    if not hot:
+        return {}
+    at = [k / parts for k in range(1, parts)]
+    rows = keyed.filter(F.col("key").isin(list(hot))).groupBy("key").agg(
+        F.percentile_approx("hash", at, max(10_000, 10 * parts)).alias("hashes")).collect()
+    return {key: [hashes[k * parts // hot[key] - 1] for k in range(1, hot[key])] for key, hashes in rows}
+
+
 def edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text; the columns are those of the schema below.
 
@@ -194,37 +228,41 @@ def edits(docs: DataFrame) -> DataFrame:
     starts.
 
     Documents are dealt over ranges of their ids, at quantiles of all ids, and each range also gets the first
-    document of the next range as a guest. So texts are shuffled once, a task reads its range as a stream and holds
-    two documents, and the driver holds two ids for each range.
+    document of the next range as a guest. An id, or none, that several quantiles fall on is cut further at quantiles
+    of its hashed texts, so its rows span as many ranges; only rows with one id and one text stay together. So texts are
+    shuffled once, a task reads its range as a stream and holds two documents, and the driver holds a few numbers for
+    each range.
     """
     spark = bounded_batches(docs.sparkSession)
     lowest = -(1 << 63)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "key", F.coalesce("doc_id", F.lit(lowest)))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(
+        {"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)), "hash": F.xxhash64("text")})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = [k / parts for k in range(1, parts)]
     cuts = keyed.select("key").agg(F.percentile_approx("key", at, max(10_000, 10 * parts))).first()[0] if at else []
-    bounds = np.array(sorted(set(cuts or [])), np.int64)
+    dealing = _Ranges(cuts or [], _inner(keyed, Counter(cuts or []), parts))
 
     @F.pandas_udf("int")
-    def part_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, keys.to_numpy(np.int64), side="left"), dtype="int32")
+    def part_of(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(dealing.parts(keys.to_numpy(np.int64), hashes.to_numpy(np.int64)), dtype="int32")
 
-    firsts = dict(keyed.select("key", part_of("key").alias("part")).groupBy("part").agg(F.max("key")).collect())
+    # ~key orders as the descending key does, and fits a long for every key.
+    starts = keyed.select(F.struct(F.bitwise_not("key").alias("down"), "hash").alias("start"), part_of("key", "hash").alias("part"))
+    firsts = {part: (~start.down, start.hash) for part, start in starts.groupBy("part").agg(F.min("start")).collect()}
     order = sorted(firsts)
     hosts = {firsts[part]: order[k - 1] for k, part in enumerate(order)}
 
     @F.pandas_udf("int")
-    def host_of(keys: pd.Series) -> pd.Series:
-        return keys.map(hosts).fillna(-1).astype("int32")
+    def host_of(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([hosts.get(row, -1) for row in zip(keys.tolist(), hashes.tolist())], dtype="int32")
 
-    dealt = keyed.withColumn("part", part_of("key")).withColumn("host", host_of("key"))
+    dealt = keyed.withColumn("part", part_of("key", "hash")).withColumn("host", host_of("key", "hash"))
     places = F.array_compact(F.array(
         F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")),
         F.when(F.col("host") >= 0, F.struct(F.col("host").alias("part"), F.lit(True).alias("guest")))))
-    rows = dealt.select("doc_id", "text", "key", F.explode(places).alias("place"))
-    ordered = rows.repartitionById(len(bounds) + 1, F.col("place.part")).sortWithinPartitions(
-        "place.part", "place.guest", F.col("key").desc(), F.xxhash64("text"))
+    rows = dealt.select("doc_id", "text", "key", "hash", F.explode(places).alias("place"))
+    ordered = rows.repartitionById(len(dealing), F.col("place.part")).sortWithinPartitions(
+        "place.part", "place.guest", F.col("key").desc(), "hash")
     return ordered.select("place.part", "place.guest", "doc_id", "text").mapInArrow(
         _pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                 "near_edited double, near_next double, common_chars long")

@@ -139,6 +139,27 @@ def test_edits_equal_plain_ones(spark, docs, empty, parts):
     assert alone[0].near_next == 1 and len(alone) == 1
 
 
+def test_ids_with_many_rows_span_several_ranges(spark):
+    rng = random.Random(8)
+    ids = [*range(30), *[None] * 120, *[7] * 60]
+    rows = [(k, "".join(rng.choice("abc") for _ in range(rng.randint(20, 60))), "en", "s", 0) for k in ids]
+    rows += [(None, "twice and more", "en", "s", 0)] * 5 + [(7, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        found = fingerprints.edits(docs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = [(r.doc_id, r.text or "", r.h) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    order.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    wanted = [(k, len(text), sha(text[:len(text) - len(text) // 3] + after[:len(text) // 3]))
+              for (k, text, _), (_, after, _) in zip(order, [*order[1:], order[0]])]
+    assert sorted(map(repr, (tuple(r)[:3] for r in found))) == sorted(map(repr, wanted))
+    tasks = [r.task for r in found]
+    assert max(map(tasks.count, tasks)) < len(rows) / 4
+
+
 # ---- language
 
 def test_counts_are_those_of_plain_trigrams():
