@@ -127,11 +127,12 @@ def verdict(rules: list[Rule], stats: Column) -> Column:
 def learning_rows(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
     """stats, bad (quality is 0) and grow (two thirds, by hashed id) of `rows` labelled documents, stored.
 
-    The chosen ids are at most `rows`, a proven bound, so they are broadcast: no text is shuffled.
+    Only ids that docs has are chosen. They are at most `rows`, a proven bound, so they are broadcast: no text is shuffled.
     """
-    chosen = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-              .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    graded = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    there = graded.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return stored(found.select(
         statistics(F.col("text")).alias("stats"), (F.col("quality") == 0).alias("bad"),

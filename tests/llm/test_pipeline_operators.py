@@ -74,6 +74,13 @@ def test_rules_without_labels_leave_the_base_rules(spark, docs, empty):
     assert quality_rules.report(empty, labels).count() == 0
 
 
+def test_rules_learn_from_labels_of_documents_that_are_there(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", "en", "s", 6) for k in range(40)], DOCS)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(2000)], "doc_id long, quality int, toxic int")
+    assert quality_rules.learning_rows(docs, labels, rows=40).count() == 40
+    assert quality_rules.learning_rows(docs, labels, rows=25).count() == 25
+
+
 def test_rules_of_a_verdict_apply_in_order(spark):
     one = (quality_rules.Literal("n_words", True, 5.0),)
     two = (quality_rules.Literal("n_words", True, 2.0),)
