@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from outagelens.llm import bpe, chat, fingerprints, language, line_spread, mixing, quality_grades, quality_rules, simhash, toxicity
+from outagelens.llm import (
+    bpe, chat, collocations, fingerprints, language, line_spread, mixing, quality_grades, quality_rules, simhash, toxicity,
+)
 from outagelens.llm.shared import read_table, tokenizer_path
 
 
@@ -46,7 +48,12 @@ def op10_mixing(spark, folder):
     return mixing.report(read_table(spark, folder, "documents"))
 
 
+def op12_collocations(spark, folder):
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_quality_grades, op4_quality_rules, op5_line_dedup, op6_toxicity, op7_language, op8_fingerprints,
-                                 op9_simhash, op10_mixing)}
+                                 op9_simhash, op10_mixing, op12_collocations)}
 
-ORACLE_SQL = {"op5_line_dedup": line_spread.REPORT_SQL, "op10_mixing": mixing.REPORT_SQL}
+ORACLE_SQL = {"op5_line_dedup": line_spread.REPORT_SQL, "op10_mixing": mixing.REPORT_SQL,
+              "op12_collocations": collocations.REPORT_SQL}
