@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from outagelens.llm import (
-    bpe, chat, collocations, fingerprints, language, line_spread, mixing, quality_grades, quality_rules, simhash, toxicity,
+    bpe, chat, collocations, fingerprints, language, line_spread, mixing, prefix_trie, quality_grades, quality_rules,
+    simhash, toxicity,
 )
 from outagelens.llm.shared import read_table, tokenizer_path
 
@@ -52,8 +53,12 @@ def op12_collocations(spark, folder):
     return collocations.collocations(read_table(spark, folder, "documents"))
 
 
+def op13_prefix_trie(spark, folder):
+    return prefix_trie.report(read_table(spark, folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_quality_grades, op4_quality_rules, op5_line_dedup, op6_toxicity, op7_language, op8_fingerprints,
-                                 op9_simhash, op10_mixing, op12_collocations)}
+                                 op9_simhash, op10_mixing, op12_collocations, op13_prefix_trie)}
 
 ORACLE_SQL = {"op5_line_dedup": line_spread.REPORT_SQL, "op10_mixing": mixing.REPORT_SQL,
               "op12_collocations": collocations.REPORT_SQL}
