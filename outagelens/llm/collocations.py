@@ -12,15 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from outagelens.llm.shared import bounded_batches, carried, stored
+from outagelens.llm.shared import Filter, bounded_batches, carried, stored
 
 LONGEST = 5
 LEAST = 100
 TOP = 2000
 #: Phrases of one length that get dense ids, by frequency; the rest are named by a hash. Bounds what is broadcast.
 HEAD = 1 << 18
-#: Bits of the filter that says which of the rest may be frequent; bounds its broadcast, too.
-FILTER_BITS = 1 << 26
 #: Ids on a side of a tile, and the share of its cells that its pairs must reach for it to be counted as an array.
 TILE, DENSE = 256, 0.25
 #: Pairs that a task counts at a time, and distinct words that it holds.
@@ -100,27 +98,6 @@ def hashed_code(number: np.ndarray) -> np.ndarray:
     return number & (HASHED - 1) | HASHED
 
 
-class Filter:
-    """Which hashes may be those of frequent phrases without a rank: a bit per slot, of a fixed number of slots.
-
-    A slot that is set by chance costs counting only: no phrase is frequent unless its parts are.
-    """
-
-    def __init__(self, hashes: DataFrame):
-        slot = F.pmod("hash", F.lit(FILTER_BITS))
-        found = hashes.select(F.floor(slot / 32768).alias("part"), (slot % 32768).alias("bit")).groupBy("part").agg(
-            F.bitmap_construct_agg("bit").alias("bits")).collect()
-        self.bits = np.zeros(FILTER_BITS // 8, np.uint8) if found else None
-        for part, bits in found:
-            self.bits[part * 4096:(part + 1) * 4096] = np.frombuffer(bits, np.uint8)
-
-    def has(self, numbers: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            return np.zeros(len(numbers), bool)
-        slots = np.mod(numbers, FILTER_BITS)
-        return (self.bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
-
-
 def ranked(frequent: DataFrame, names: list[str], number: Column, head: int = HEAD) -> DataFrame:
     """`frequent` with code: the rank within its language of the `head` most frequent rows, from 1, else a marked hash.
 
@@ -145,6 +122,8 @@ def _pair_hashes(p: pa.Array, w: pa.Array) -> pa.Array:
 
 
 def _filter(coded: DataFrame) -> Filter:
+    """Hashes that may be those of frequent phrases without a rank. One that passes by chance costs counting only: no
+    phrase is frequent unless its parts are."""
     return Filter(coded.filter("rank is null").select("hash"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from outagelens.llm import (
     bpe, chat, collocations, fingerprints, language, line_spread, mixing, prefix_trie, quality_grades, quality_rules,
-    simhash, toxicity,
+    simhash, substrings, toxicity,
 )
 from outagelens.llm.shared import read_table, tokenizer_path
 
@@ -49,6 +49,10 @@ def op10_mixing(spark, folder):
     return mixing.report(read_table(spark, folder, "documents"))
 
 
+def op11_substrings(spark, folder):
+    return substrings.report(read_table(spark, folder, "documents"))
+
+
 def op12_collocations(spark, folder):
     return collocations.collocations(read_table(spark, folder, "documents"))
 
@@ -58,7 +62,7 @@ def op13_prefix_trie(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_quality_grades, op4_quality_rules, op5_line_dedup, op6_toxicity, op7_language, op8_fingerprints,
-                                 op9_simhash, op10_mixing, op12_collocations, op13_prefix_trie)}
+                                 op9_simhash, op10_mixing, op11_substrings, op12_collocations, op13_prefix_trie)}
 
 ORACLE_SQL = {"op5_line_dedup": line_spread.REPORT_SQL, "op10_mixing": mixing.REPORT_SQL,
               "op12_collocations": collocations.REPORT_SQL}

@@ -131,3 +131,28 @@ def carried(spark: SparkSession, value):
         return last[key]
 
     return found
+
+
+#: Bits of a filter.
+FILTER_BITS = 1 << 26
+
+
+class Filter:
+    """Which numbers may be among the `hash` column's: a bit per slot, of a fixed number of slots.
+
+    8 MB, whatever the table holds, so it may be broadcast; the fuller it is, the more others it lets pass.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        slot = F.pmod("hash", F.lit(FILTER_BITS))
+        found = hashes.select(F.floor(slot / 32768).alias("part"), (slot % 32768).alias("bit")).groupBy("part").agg(
+            F.bitmap_construct_agg("bit").alias("bits")).collect()
+        self.bits = np.zeros(FILTER_BITS // 8, np.uint8) if found else None
+        for part, bits in found:
+            self.bits[part * 4096:(part + 1) * 4096] = np.frombuffer(bits, np.uint8)
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.zeros(len(numbers), bool)
+        slots = np.mod(numbers, FILTER_BITS)
+        return (self.bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
