@@ -1,9 +1,12 @@
-"""BPE encoding and decoding: texts split at white space, long unsplit runs joined as a tree of re-encoded windows."""
+"""BPE encoding and decoding: the halves of a long text are encoded on their own, then joined as a tree of windows."""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import chain, takewhile
@@ -17,12 +20,14 @@ from pyspark.sql import functions as F
 
 from outagelens.llm.shared import bounded_batches, per_process
 
-#: Code points that are encoded as one piece; a longer run without white space is halved until its parts are no longer.
-LEAF = 2048
+#: Code points that are encoded as one piece; a longer text is halved until its parts are no longer.
+LEAF = 4096
 #: Code points on either side of a join that the first window holds; a window that doesn't agree is doubled.
 WINDOW = 64
 #: Consecutive tokens, with their places, that a window must share with a side to agree with it.
 AGREED = 4
+#: Leaves from which on a text's leaves are encoded by several threads.
+THREADED = 64
 #: Distinct runs whose ids a worker remembers; beyond them it forgets all and begins again.
 REMEMBERED = 500_000
 #: Bytes of text that are cut into runs at a time, a longer text alone.
@@ -30,22 +35,42 @@ PORTION = 1 << 20
 #: ASCII punctuation but the apostrophe, which begins contractions.
 TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
+# The normaliser and the pre-tokenizer under which runs between white space are independent.
+SPLITTING_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING_PATTERN = {"type": "Split", "pattern": {
+    "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+#: What a key of a run begins with, if not the run as given: no text's bytes begin so. A normalised run; plain ids.
+NORMALISED, IDS = b"\xfe", b"\xff"
+
 
 class Codec:
     """Encodes and decodes as the tokenizer of a `tokenizers` library file does, without its truncation and padding.
 
-    White space of one byte always ends a token and is dropped by this kind of tokenizer, and its normaliser composes
-    nothing across it. So a text's ids are those of its runs, one after the other, and a run met before is looked up.
-    `splits` says so; for a tokenizer that keeps white space, pass False, and whole texts are the runs.
+    Two things are read from the definition. `splits`: the tokenizer drops white space and joins nothing across it, so
+    the ids of a text are those of the runs between, and a run met before is looked up. `local`: what a piece becomes
+    depends on its neighbourhood only, so that long texts can be encoded in parts and joined. Where either does not
+    hold, whole texts go to the library.
+
+    Long texts are cut at special tokens, which are looked for in the raw text, and normalised as a whole before they
+    are halved: a normaliser may reorder any number of marks. Parts of them go to a tokenizer without normaliser and
+    without special tokens.
     """
 
-    def __init__(self, definition: str, splits: bool = True, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, definition: str, leaf: int = LEAF, window: int = WINDOW):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.splits, self.leaf, self.window = splits, leaf, window
+        found = json.loads(definition)
+        plain = found | {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "post_processor": None}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.added = {t["content"]: t["id"] for t in found.get("added_tokens") or []}
+        self.splits, self.local = _splits(found), _local(found)
+        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.leaf, self.window = leaf, window
         self.pool = ThreadPoolExecutor(max_workers=max(2, min(4, os.cpu_count() or 2)))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         names: list[str | None] = [None] * (max(vocabulary.values()) + 1)
@@ -60,8 +85,8 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets, one more than texts, into the ids of all texts."""
-        runs = [_runs(t, self.splits) for t in texts]
-        if len(self.known) > REMEMBERED:
+        runs = [self._runs(t) for t in texts]
+        if len(self.known) > REMEMBERED or len(self.flat[2]) > 40 * REMEMBERED:
             self._forget()
         self._learn(set().union(*runs).difference(self.known))
         places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(runs)), np.int64)
@@ -71,19 +96,29 @@ class Codec:
         ids = flat[np.repeat(starts[places] - before[:-1], lengths) + np.arange(before[-1])]
         return before[np.concatenate(([0], np.cumsum([len(own) for own in runs], dtype=np.int64)))], ids
 
+    def _runs(self, text: str | None) -> list[bytes]:
+        """The keys of the runs that a text is made of."""
+        if not text:
+            return []
+        if len(text) > self.leaf and self.local:
+            return self.tree(text)
+        return text.encode().split() if self.splits else [text.encode()]
+
     def _learn(self, runs: set[bytes]) -> None:
         """Remember the ids of these runs, and of the parts they are cut into. The library encodes each part once."""
         if not runs:
             return
-        parts = {run: _parts(run) if self.splits else (run,) for run in runs}
+        parts = {run: _parts(run) if self.splits else (run,) for run in runs if run[:1] != IDS}
+        found = {run: np.frombuffer(run[1:], np.int32).tolist() for run in runs if run[:1] == IDS}
         pieces = list(set(chain.from_iterable(parts.values())).difference(self.known))
-        texts = [p.decode() for p in pieces]
-        short = iter(self.tokenizer.encode_batch_fast([t for t in texts if len(t) <= self.leaf], add_special_tokens=False))
-        found = {piece: next(short).ids if len(text) <= self.leaf else self.tree(text).tolist()
-                 for piece, text in zip(pieces, texts)}
-        for run, own in parts.items():
+        raw = [p for p in pieces if p[:1] != NORMALISED]
+        own = [p for p in pieces if p[:1] == NORMALISED]
+        for some, tokenizer, skip in ((raw, self.tokenizer, 0), (own, self.plain, 1)):
+            encoded = tokenizer.encode_batch_fast([p[skip:].decode() for p in some], add_special_tokens=False)
+            found.update((piece, e.ids) for piece, e in zip(some, encoded))
+        for run, cut in parts.items():
             if run not in found:
-                found[run] = [k for piece in own for k in (found[piece] if piece in found else self._ids(piece))]
+                found[run] = [k for piece in cut for k in (found[piece] if piece in found else self._ids(piece))]
         self.known.update(zip(found, range(len(self.known), len(self.known) + len(found))))
         lengths = np.fromiter(map(len, found.values()), np.int64, len(found))
         ends = len(self.flat[2]) + np.cumsum(lengths)
@@ -95,41 +130,89 @@ class Codec:
         place = self.known[run]
         return flat[starts[place]:ends[place]].tolist()
 
-    def tree(self, text: str) -> np.ndarray:
-        """The ids of a long text: leaves encoded in parallel, then joined in pairs, level by level."""
+    def tree(self, text: str) -> list[bytes]:
+        """The keys of a long text's runs, special tokens between."""
+        out, at = [], 0
+        for special in self.special.finditer(text) if self.special else ():
+            out += self._joined_keys(text[at:special.start()])
+            out.append(IDS + np.array([self.added[special[0]]], np.int32).tobytes())
+            at = special.end()
+        return out + self._joined_keys(text[at:])
+
+    def _joined_keys(self, raw: str) -> list[bytes]:
+        """The keys of a stretch without special tokens: leaves, joined in pairs, level by level."""
+        text = self.tokenizer.normalizer.normalize_str(raw) if raw and self.tokenizer.normalizer else raw
         parts = max(1, 1 << (max(1, -(-len(text) // self.leaf)) - 1).bit_length())
         cuts = [len(text) * k // parts for k in range(parts + 1)]
-        spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
-        nodes = list(self.pool.map(lambda span: self._tokens(text, *span), spans))
+        each = self.pool.map if parts >= THREADED else map
+        nodes = list(each(lambda span: self._leaf(text, *span), [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]))
         while len(nodes) > 1:
             pairs = list(zip(nodes[::2], nodes[1::2]))
-            joined = list(self.pool.map(lambda pair: self._joined(text, *pair), pairs))
-            nodes = joined + nodes[len(pairs) * 2:]
-        return np.array([number for _, _, number in nodes[0][2]], np.int32)
-
-    def _tokens(self, text: str, a: int, b: int):
-        """a, b and the tokens (start, end, id) of text[a:b], placed in the whole text."""
-        found = self.tokenizer.encode(text[a:b], add_special_tokens=False)
-        return a, b, [(s + a, e + a, number) for (s, e), number in zip(found.offsets, found.ids)]
+            nodes = list(each(lambda pair: self._joined(text, *pair), pairs)) + nodes[len(pairs) * 2:]
+        return list(chain.from_iterable(map(self._keys, nodes[0][3]))) if nodes else []
+
+    def _keys(self, item) -> list[bytes]:
+        """The keys of a run, or of tokens."""
+        if isinstance(item, list):
+            return [IDS + np.array([number for _, _, number in item], np.int32).tobytes()] if item else []
+        key = item.encode()
+        return [key if self.splits and item.isascii() and b"<|" not in key else NORMALISED + key] if item else []
+
+    def _leaf(self, text: str, a: int, b: int):
+        """a, b, and where the runs of text[a:b] begin, with the runs: text not encoded yet."""
+        if not self.splits:
+            return a, b, [a], [text[a:b]]
+        runs = text[a:b].split(" ")
+        starts = (a + np.cumsum([0, *[len(run) + 1 for run in runs[:-1]]])).tolist()
+        return a, b, starts, runs
+
+    def _tokens(self, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
+        """The tokens (start, end, id) of text[a:b], placed in the whole text."""
+        found = self.plain.encode(text[a:b], add_special_tokens=False)
+        return [(s + a, e + a, number) for (s, e), number in zip(found.offsets, found.ids)]
+
+    def _near(self, text: str, node, first: int, last: int) -> list[tuple[int, int, int]]:
+        """The tokens of the items `first` up to `last` of a node: runs are encoded here, joins hold their tokens."""
+        _, hi, starts, items = node
+        out, at = [], first
+        while at < last:
+            if isinstance(items[at], list):
+                out += items[at]
+                at += 1
+                continue
+            to = at + 1
+            while to < last and not isinstance(items[to], list):
+                to += 1
+            out += self._tokens(text, starts[at], starts[to] if to < len(starts) else hi)
+            at = to
+        return out
 
     def _joined(self, text: str, left, right):
-        """The tokens of both sides' text, exactly as of one piece.
+        """Both sides' items, with the tokens around the join exactly as of one piece.
 
         A window around the join is encoded anew. Where AGREED tokens in a row are the same in it and in a side, the
         side goes on as it was: whether a token sequence is the encoding depends on neighbouring tokens only, and all
         neighbours then come from one encoding. Tokens that touch a cut don't count, as the cut may have changed them.
         The window doubles until it agrees with both sides, or it holds a side whole.
         """
-        lo, at, one = left
-        _, hi, two = right
+        lo, at, one_starts, one_items = left
+        _, hi, two_starts, two_items = right
         half = self.window
         while True:
             a, b = max(lo, at - half), min(hi, at + half)
-            _, _, seen = self._tokens(text, a, b)
-            first = (0, 0) if a == lo else _agreement(seen, one, a, at, False)
-            last = (len(seen), len(two)) if b == hi else _agreement(seen, two, a, b, True)
-            if first and last and first[0] <= last[0]:
-                return lo, hi, one[:first[1]] + seen[first[0]:last[0]] + two[last[1]:]
+            first = max(0, bisect_right(one_starts, a) - 1)
+            last = max(1, bisect_left(two_starts, b))
+            seen = self._tokens(text, a, b)
+            one, two = self._near(text, left, first, len(one_items)), self._near(text, right, 0, last)
+            enter = (0, 0) if a == lo else _agreement(seen, one, a, at, False)
+            leave = (len(seen), len(two)) if b == hi else _agreement(seen, two, a, b, True)
+            if enter and leave and enter[0] <= leave[0]:
+                if a == lo:
+                    first = 0
+                if b == hi:
+                    last = len(two_items)
+                middle = one[:enter[1]] + seen[enter[0]:leave[0]] + two[leave[1]:]
+                return lo, hi, one_starts[:first] + [one_starts[first]] + two_starts[last:], one_items[:first] + [middle] + two_items[last:]
             half *= 2
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
@@ -145,19 +228,34 @@ def spaced(offsets: np.ndarray, words: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), " ")
 
 
-def _runs(text: str | None, splits: bool) -> list[bytes]:
-    if not text:
-        return []
-    return text.encode().split() if splits else [text.encode()]
+def _splits(definition: dict) -> bool:
+    """Whether white space ends a token and is dropped, and nothing is normalised across it."""
+    before = definition.get("pre_tokenizer") or {}
+    return (definition.get("normalizer") == SPLITTING_NORMALIZER and before.get("type") == "Sequence"
+            and before["pretokenizers"][0] == SPLITTING_PATTERN and _local(definition))
+
+
+def _local(definition: dict) -> bool:
+    """Whether what a normalised piece becomes depends on its neighbourhood only: byte-level pieces cut by a pattern,
+    merged without chance, and special tokens that are looked for in the raw text, just as they are."""
+    before = definition.get("pre_tokenizer") or {}
+    steps = before["pretokenizers"] if before.get("type") == "Sequence" else [before]
+    cut = all(s.get("type") == "Split" or s.get("type") == "ByteLevel" and not s["add_prefix_space"] for s in steps)
+    model = definition["model"]
+    merges = model.get("type") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    odd = any(t.get(k) for t in definition.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return cut and merges and not odd
 
 
 def _parts(run: bytes) -> tuple[bytes, ...]:
-    """The run lower-cased in ASCII, cut before its last ASCII punctuation where a letter or digit comes before.
+    """A run of ASCII lower-cased, cut before its last punctuation where a letter or digit comes before.
 
     The tokenizer lower-cases anyway and never joins a letter or digit with punctuation other than the apostrophe.
-    Runs that may hold a special token's name stay whole, as those names are looked for first, with their case.
+    Other runs stay whole with their case, as letters are composed before they are lower-cased, and so do those that
+    may hold a special token's name.
     """
-    if b"<|" in run:
+    if b"<|" in run or not run.isascii():
         return (run,)
     low = run.lower()
     stem = low.rstrip(TAIL)
@@ -199,8 +297,8 @@ def _portions(texts: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
-def _codec(definition, splits: bool) -> Codec:
-    return per_process(f"codec-{hashlib.sha256(definition.value.encode()).hexdigest()}-{splits}", lambda: Codec(definition.value, splits))
+def _codec(definition) -> Codec:
+    return per_process(f"codec-{hashlib.sha256(definition.value.encode()).hexdigest()}", lambda: Codec(definition.value))
 
 
 def _shared(path: str, spark):
@@ -208,13 +306,13 @@ def _shared(path: str, spark):
     return bounded_batches(spark).sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
-def encode_column(text: Column, path: str, spark, splits: bool = True) -> Column:
+def encode_column(text: Column, path: str, spark) -> Column:
     """array<int>: the ids of each text; none for null or empty text."""
     definition = _shared(path, spark)
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(definition, splits)
+        codec = _codec(definition)
         for texts in chain.from_iterable(map(_portions, batches)):
             offsets, ids = codec.encode(texts.to_pylist())
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
@@ -230,7 +328,7 @@ def decode_column(ids: Column, path: str, spark) -> Column:
     def decode(lists: pa.Array) -> pa.Array:
         filled = pc.fill_null(lists.cast(pa.large_list(pa.int32())), pa.scalar([], pa.large_list(pa.int32())))
         offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(filled).to_numpy(zero_copy_only=False))))
-        return _codec(definition, True).decode(offsets.astype(np.int64), pc.list_flatten(filled).to_numpy())
+        return _codec(definition).decode(offsets.astype(np.int64), pc.list_flatten(filled).to_numpy())
 
     return decode(ids)
 
@@ -251,7 +349,7 @@ def report(docs: DataFrame, path: str) -> DataFrame:
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(definition, True)
+        codec = _codec(definition)
         for texts in chain.from_iterable(map(_portions, batches)):
             offsets, ids = codec.encode(texts.to_pylist())
             joined = spaced(offsets, pc.cast(pa.array(ids), pa.string()))

@@ -234,65 +234,103 @@ def test_bpe_columns_encode_and_decode(spark, docs, tokenizer):
         assert row.ids == ids and row.back == tokenizer.decode(ids, skip_special_tokens=False)
 
 
-ALPHABETS = ["abcdefghij", "aab", "thereinger", "'sretvmld!?.-", "0123ab", "éàüßeá", "日本語",
-             "\U0001f600ab‍", "<|endoftext|>a", "ΣςσİIıſK", "각가"]
+#: Letters of many kinds; those in the last two strings are composed, decomposed or reordered by normalisation.
+ALPHABETS = ["abcdefghij", "aab", "thereinger", "'sretvmld!?.-", "0123ab", "éàüßeá", "日本語",
+             "\U0001f600ab\u200d", "<|endoftext|>a", "ΣςσİIıſK", "각가", "THJYWAthjywa\u0308\u0331\u030c\u030a", "\u0323\u0302\u0301\u0344\u1100\u1161aE"]
+#: Characters whose bytes stay separate tokens, two equal ones in a row or near each other.
+TWINS = ["把游达盛议", "파됐", "把游a", "盛达é日", "\U0001f7df\U0001f61f", "\U0001d160\U0001d15e把"]
 
 
-def test_tree_of_unsplit_text_equals_one_piece(tokenizer):
-    codec = bpe.Codec(open(tokenizer_path(), encoding="utf-8").read(), leaf=40, window=4)
-    rng = random.Random(1)
-    for _ in range(600):
-        letters = "".join(rng.sample(ALPHABETS, rng.randint(1, 3)))
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(41, 400)))
-        if rng.random() < 0.2:
-            at = rng.randint(0, len(text))
-            text = text[:at] + "<|endoftext|>" + text[at:]
-        text = "".join(text.split())
-        assert codec.tree(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+def definition(name="word_bpe_49k.json"):
+    return open(tokenizer_path(name), encoding="utf-8").read()
 
 
-#: Characters whose bytes stay separate tokens, two equal ones in a row or near each other.
-TWINS = ["把游达盛议", "파됐", "把游a", "盛达é日", "\U0001f7df\U0001f61f", "\U0001d160\U0001d15e把"]
+def held_against(codec, tokenizer, texts):
+    offsets, ids = codec.encode(texts)
+    for text, a, b in zip(texts, offsets, offsets[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def random_text(rng, letters, most):
+    text = "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    if rng.random() < 0.2:
+        at = rng.randint(0, len(text))
+        text = text[:at] + "<|endoftext|>" + text[at:]
+    return text
+
+
+@pytest.mark.parametrize("spaces", ["", " ", " \n\u3000\x85"])
+def test_tree_of_any_text_equals_one_piece(tokenizer, spaces):
+    codec = bpe.Codec(definition(), leaf=40, window=4)
+    rng = random.Random(len(spaces))
+    texts = []
+    for _ in range(1500):
+        letters = "".join(rng.sample([*ALPHABETS, *TWINS], rng.randint(1, 3))) + spaces
+        texts.append(random_text(rng, letters, 400))
+    held_against(codec, tokenizer, texts)
+
+
+def test_long_texts_go_through_the_tree(tokenizer, monkeypatch):
+    codec = bpe.Codec(definition(), leaf=40, window=4)
+    joins = []
+    monkeypatch.setattr(codec, "_joined", lambda *node: joins.append(1) or bpe.Codec._joined(codec, *node))
+    held_against(codec, tokenizer, ["a few words of a text that has more than forty letters in several leaves, and some more " * 3])
+    assert len(joins) == 7
 
 
 def test_tree_of_characters_with_equal_tokens(tokenizer):
-    codec = bpe.Codec(open(tokenizer_path(), encoding="utf-8").read(), leaf=40, window=4)
+    codec = bpe.Codec(definition(), leaf=40, window=4)
     for char in "把游达盛议파됐":
         found = tokenizer.encode(char * 3, add_special_tokens=False)
         tokens = list(zip(found.offsets, found.ids))
         assert any(one == two for one, two in zip(tokens, tokens[1:]))
     rng = random.Random(9)
+    texts = []
     for _ in range(600):
         letters = "".join(rng.sample([*TWINS, *ALPHABETS], rng.randint(0, 2))) + rng.choice(TWINS)
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(41, 400)))
-        text = "".join(text.split())
-        assert codec.tree(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        texts.append("".join(rng.choice(letters) for _ in range(rng.randint(41, 400))))
+    held_against(codec, tokenizer, texts)
+
+
+def test_marks_are_normalised_before_a_text_is_cut(tokenizer):
+    """Marks are reordered over any distance, and letters composed before they are lower-cased."""
+    rng = random.Random(5)
+    texts = ["café T\u0308est of H\u0331ebrew", "\u0323\u0323\u0302" * 3000, "T\u0308", "x" * 5000 + "T\u0308" * 4000]
+    texts += ["".join(rng.choice("ab\u0323\u0302\u0301\u0308\u0331") for _ in range(5000)) for _ in range(40)]
+    held_against(bpe.Codec(definition()), tokenizer, texts)
 
 
-def test_bpe_query_joins_runs_of_several_leaves(spark, tokenizer, monkeypatch):
+@pytest.mark.parametrize("leaf", [40, bpe.LEAF])
+def test_another_tokenizer_that_keeps_white_space(leaf):
+    from tokenizers import Tokenizer
+
+    codec = bpe.Codec(definition("byte_bpe_50k.json"), leaf=leaf, window=8)
+    assert codec.local and not codec.splits
+    whole = Tokenizer.from_str(definition("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    texts = [random_text(rng, "".join(rng.sample([*ALPHABETS, *TWINS], 2)) + rng.choice(["", " ", "  \n\t", "\u3000  "]), 300) for _ in range(1500)]
+    held_against(codec, whole, ["A first text.", "  two  spaces \n\n end ", " " * 500 + "x", *texts])
+    offsets, ids = codec.encode(texts)
+    assert codec.decode(offsets, ids).to_pylist() == [whole.decode(whole.encode(t).ids, skip_special_tokens=False) for t in texts]
+
+
+def test_bpe_query_joins_runs_of_several_leaves(spark, tokenizer):
     rng = random.Random(12)
-    texts = {k: "".join(rng.choice(letters) for _ in range(3 * bpe.LEAF + 77 * k)) for k, letters in enumerate(TWINS)}
+    texts = {k: "".join(rng.choice(letters) for _ in range(3 * bpe.LEAF + 77 * k)) for k, letters in enumerate([*TWINS, *ALPHABETS])}
     texts[len(texts)] = "short words " + texts[0] + " and " + "abcdefghij!" * 700
+    texts[len(texts)] = "Café T\u0308est of words " * 2000
     whole = {k: tokenizer.encode(text, add_special_tokens=False).ids for k, text in texts.items()}
     table = spark.createDataFrame([(k, t, "zh", "s", len(t)) for k, t in texts.items()], DOCS)
     wanted = [(k, len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))) for k, ids in whole.items()]
     assert multiset(bpe.report(table, tokenizer_path()).collect()) == multiset(wanted)
-    called = []
-    codec = bpe.Codec(open(tokenizer_path(), encoding="utf-8").read())
-    monkeypatch.setattr(codec, "tree", lambda text: called.append(text) or bpe.Codec.tree(codec, text))
-    offsets, ids = codec.encode(list(texts.values()))
-    assert len(called) >= len(texts)
-    assert all(ids[a:b].tolist() == whole[k] for k, (a, b) in enumerate(zip(offsets, offsets[1:])))
 
 
 def test_runs_and_their_tails_equal_whole_texts(tokenizer):
-    codec = bpe.Codec(open(tokenizer_path(), encoding="utf-8").read())
+    codec = bpe.Codec(definition())
     rng = random.Random(4)
-    odd = [*ALPHABETS, "ab c'", "DEF.'s ", "!?.,-' x", " \n\t　\x85\x1c", "—. a"]
-    texts = ["".join(rng.choice("".join(rng.sample(odd, 2))) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
-    offsets, ids = codec.encode(texts)
-    for text, a, b in zip(texts, offsets, offsets[1:]):
-        assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    odd = [*ALPHABETS, "ab c'", "DEF.'s ", "!?.,-' x", " \n\t\u3000\x85\x1c", "\u2014. a"]
+    texts = ["".join(rng.choice("".join(rng.sample(odd, 2))) for _ in range(rng.randint(0, 60))) for _ in range(20_000)]
+    held_against(codec, tokenizer, texts)
 
 
 def test_pipeline_equals_plain_stages(spark, tokenizer):
