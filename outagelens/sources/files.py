@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from outagelens import fixed_values as fixed
 from outagelens.functions.rules import case_when, is_any, named
 from outagelens.operators.dedupe import keep_first
 from outagelens.schemas import SITES
+from outagelens.sources import records
+from outagelens.sources.records import PLACE, RECORD
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -40,64 +42,46 @@ def _options(separator: str) -> dict[str, str]:
     return {"sep": separator, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true"}
 
 
-RECORD = "_record"
-
-
 def _records(spark: SparkSession, path: str, separator: str, multiline: bool) -> tuple[DataFrame, list[str]]:
-    """All columns as text, named by the header, with `_bad` and the raw text of bad records.
+    """All columns as text, named by the header, with the record's place and text and `_bad`.
 
-    A record is bad with more cells than the header, or with a quote that
-    nothing closes.  Whole records are judged, whichever columns a job reads later.
+    A record is bad with more cells than the header, with a quote that nothing closes, or with another quote behind a
+    closing one. The text of whole records is judged, whichever columns a job reads later.
     """
-    options = {**_options(separator), "header": "true", "columnPruning": "false"}
-    names = spark.read.options(**options).csv(path).columns
+    names = spark.read.options(**_options(separator), header="true").csv(path).columns
     columns = ", ".join(f"{named(name)} STRING" for name in names)
     if multiline:
-        # The parser gives the raw text of records whose number of cells is not the header's.
-        rows = (
-            spark.read.options(**options, mode="PERMISSIVE", multiLine="true", columnNameOfCorruptRecord=RECORD)
-            .schema(f"{columns}, {RECORD} STRING")
-            .csv(path)
-        )
+        raw = records.raw_records(spark, path, separator)
     else:
-        text = spark.read.text(path)
-        lines = text.where((F.col("value") != text.limit(1).scalar()) & (F.trim("value") != ""))
-        parsed = F.from_csv("value", columns, _options(separator)).alias("row")
-        rows = lines.select(parsed, F.col("value").alias(RECORD)).select("row.*", RECORD)
-    record = F.coalesce(RECORD, F.lit(""))
-    unquoted = F.regexp_replace(record, '"([^"]|"")*"', "")
-    cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
-    bad = (cells > len(names)) | (_quotes(record) % 2 == 1)
+        raw = spark.read.text(path).select(F.lit(None).alias(PLACE), F.col("value").alias(RECORD), F.lit(False).alias("_open"))
+    header = spark.read.option("lineSep", "\n").text(path).limit(1).select(F.regexp_replace("value", "\r$", "")).scalar()
+    lines = raw.where((F.col(RECORD) != header) & (F.trim(RECORD) != ""))
+    parsed = F.from_csv(RECORD, columns, _options(separator)).alias("row")
+    rows = lines.select(parsed, RECORD, PLACE, "_open").select("row.*", RECORD, PLACE, "_open")
+    record = F.col(RECORD)
+    bad = F.col("_open") | (records.cells(record, separator) > len(names)) | records.malformed(record, separator)
     cell = F.array(*[named(name) for name in names])
-    if multiline:
-        opened = F.exists(cell, lambda x: x.startswith('"') & ((_quotes(x) % 2 == 1) | (record != "")))
-        bad = bad | F.coalesce(opened, F.lit(False))
     blank = F.forall(cell, lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
-    return rows.where(~blank).withColumn("_bad", bad), names
+    return rows.withColumn("_bad", bad).where(F.col("_bad") | ~blank), names
 
 
-def _quotes(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
-
-
-def _delimited(spark: SparkSession, path: str, separator: str, multiline: bool = True) -> DataFrame:
-    """The good records; a record with fewer cells than the header is padded."""
+def _delimited(spark: SparkSession, path: str, separator: str, multiline: bool = True, place: bool = False) -> DataFrame:
+    """The good records; a record with fewer cells than the header is padded. With `place`, where each began."""
     rows, names = _records(spark, path, separator, multiline)
-    return rows.where("NOT _bad").select(*[named(name) for name in names])
+    return rows.where("NOT _bad").select(*[named(name) for name in names], *[PLACE] * place)
 
 
 def bad_lines(spark: SparkSession, path: str, separator: str = "\t", multiline: bool = True) -> DataFrame:
-    """The records that the reader skips."""
-    rows, names = _records(spark, path, separator, multiline)
-    parsed = F.concat_ws(separator, *[named(name) for name in names])
-    return rows.where("_bad").select(F.coalesce(RECORD, parsed).alias("line"))
+    """The records that the reader skips; each line that an unclosed quote reaches is one."""
+    rows, _ = _records(spark, path, separator, multiline)
+    return rows.where("_bad").select(F.col(RECORD).alias("line"))
 
 
 def read_tickets(spark: SparkSession, paths: list[str], separator: str = "\t", multiline: bool = True) -> DataFrame:
     """Raw tickets of the first path that exists; extra columns are kept.
 
-    Quoted cells may hold line breaks, so one task reads one file.  For large
-    files without such cells pass multiline=False, and files are split.
+    Quoted cells may hold line breaks; files are split all the same.  Pass
+    multiline=False for files without such cells: every line is a record then.
     """
     lines = _delimited(spark, first_existing(spark, paths), separator, multiline)
     tickets = lines.select(
@@ -126,9 +110,9 @@ def read_sites(spark: SparkSession, paths: list[str], separator: str = ",") -> D
         path = first_existing(spark, paths)
     except FileNotFoundError:
         return spark.createDataFrame([], SITES)
-    lines = _delimited(spark, path, separator)
+    lines = _delimited(spark, path, separator, place=True)
     require_columns(lines, fixed.SITE_COLUMNS)
-    return site_dimension(lines.withColumn("_line", F.monotonically_increasing_id()), ["_line"])
+    return site_dimension(lines, [PLACE])
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 
 from outagelens import fixed_values as fixed
@@ -118,3 +121,53 @@ def test_regions_with_volume(spark, sample_clean):
     areas = spark.createDataFrame([("1300000000", 1), ("9999", 7), ("100000000", 5), ("9999", 99)], "adm1_psgc string, file_number int")
     got = {r["Region Name"]: (r["Areas"], r["Ticket Volume"]) for r in regions_with_volume(areas, sample_clean).collect()}
     assert got == {"Region 3": (1, 22), "Region 4": (1, 0), "Region 1": (1, 0)}
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of a few lines."""
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name in settings:
+        spark.conf.unset(name)
+
+
+def test_a_file_of_several_splits_reads_as_one(spark, tmp_path, small_splits):
+    """Line breaks, separators, doubled and stray quotes in cells, wherever the splits fall."""
+    rng = random.Random(2)
+    pieces = ["a", "b c", "\n", "\t", '"', "é", "\n\n", "", "x" * 40]
+    rows = [[str(k), *["".join(rng.choices(pieces, k=rng.randint(0, 5))).strip(" ") for _ in range(2)], "end"] for k in range(400)]
+    path = tmp_path / "cells.tsv"
+    with path.open("w", newline="", encoding="utf-8") as out:
+        writer = csv.writer(out, delimiter="\t", lineterminator="\n")
+        writer.writerow(["id", "one", "two", "last"])
+        writer.writerows(rows)
+        out.write('400\t5\'10" tall\t"closed"\tend\n')
+    read = files._delimited(spark, str(path), "\t")
+    assert spark.read.text(str(path)).rdd.getNumPartitions() > 20
+    found = {r["id"]: [r["one"] or "", r["two"] or "", r["last"]] for r in read.collect()}
+    assert found == {k: own for k, *own in rows} | {"400": ['5\'10" tall', "closed", "end"]}
+    assert files.bad_lines(spark, str(path)).count() == 0
+
+
+@pytest.mark.parametrize("lines, good, bad", [
+    (["1\ta", "2\tb", "3\tc", '4\t"open', "5\tx"], ["1", "2", "3"], ['4\t"open', "5\tx"]),
+    (["1\ta", '2\t"open', "3\tx", '4\t"fine"', "5\ty"], ["1", "5"], ['2\t"open\n3\tx\n4\t"fine"']),
+    (['1\t"a\nb"', '2\t"c', 'd"\r', "3\te\r"], ["1", "2", "3"], []),
+    (['1\t"a"', "", "2\tb\tc", '3\t"d" "e"'], ["1"], ["2\tb\tc", '3\t"d" "e"']),
+])
+def test_unclosed_quotes_and_what_they_reach_are_listed(spark, tmp_path, lines, good, bad):
+    path = tmp_path / "open.tsv"
+    path.write_text("\n".join(["id\tcell", *lines]) + "\n", newline="")
+    assert sorted(r["id"] for r in files._delimited(spark, str(path), "\t").collect()) == good
+    assert sorted(r["line"] for r in files.bad_lines(spark, str(path)).collect()) == bad
+
+
+def test_a_cell_of_too_many_lines_is_listed_line_by_line(spark, tmp_path, monkeypatch, small_splits):
+    monkeypatch.setattr(files.records, "MOST_LINES", 20)
+    path = tmp_path / "long.tsv"
+    path.write_text("\n".join(["id\tcell", '1\t"a', *["more of it"] * 30, 'end"', '2\t"b', 'c"', "3\td"]))
+    assert sorted(r["id"] for r in files._delimited(spark, str(path), "\t").collect()) == ["2", "3"]
+    assert files.bad_lines(spark, str(path)).count() == 32
