@@ -2,48 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS_PER_OCTAVE = 128
-OCTAVES = 40
+from outagelens.operators.scans import range_starts, ranged
+
 #: The key of a table that is one group.
 EVERYTHING = "_all"
 
 
-def with_bucket(counted: DataFrame, keys: list[str], value: str = "_value", into: str = "_bucket") -> DataFrame:
-    """Add a coarse position of each value within its own group's range, in value order.
-
-    Steps are fine at both ends of the range (128 per doubling of the distance
-    to the nearer end, over 40 doublings), so neither a common offset, nor a
-    small scale, nor a long tail puts many values into one bucket.  Missing
-    values have no bucket.
-    """
-    low, high = F.min(value), F.max(value)
-    if keys == [EVERYTHING]:  # one group: two scalars, no join
-        ranged = counted.withColumns({"_low": counted.agg(low).scalar(), "_high": counted.agg(high).scalar()})
-    else:
-        ends = counted.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"))
-        ranged = _with_ends(counted, ends, keys)
-    share = F.when(F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")))
-    share = F.coalesce(share, F.when(F.col(value).isNotNull(), F.lit(0.0)))
-
-    def steps(distance: Column) -> Column:
-        return F.floor(F.log2(1.0 + distance * 2.0**OCTAVES) * STEPS_PER_OCTAVE)
-
-    place = F.when(share <= 0.5, steps(share)).otherwise(2 * OCTAVES * STEPS_PER_OCTAVE - steps(1.0 - share))
-    return ranged.withColumn(into, place).drop("_low", "_high")
-
-
-def _with_ends(counted: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
-    """Join on all keys; a missing key is a group like any other."""
-    renamed = ends.select(*[F.col(key).alias(f"_end_{key}") for key in keys], "_low", "_high")
-    same = F.lit(True)
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_end_{key}"))
-    return counted.join(renamed, same).drop(*[f"_end_{key}" for key in keys])
-
-
 def value_table(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """How often each value of a number column occurs per group: columns `by`, _value, _n."""
     return (
@@ -63,52 +30,49 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[
 
 
 def quantiles_of(counted: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Quantiles of a value table.
+    """Quantiles of a value table; infinities are values like others, and NaN is one value above them.
 
-    1. Count equal values (combined before the shuffle).
-    2. Add the counts up per bucket of the group's range: some thousand rows per group, so
-       the running count that locates each wanted rank stays small.
-    3. Only the values in a located bucket are ranked one by one.
+    1. Equal values have been counted (combined before the shuffle).
+    2. They are dealt over ranges of (group, value) whose borders Spark samples, so no range is much larger than
+       another, however the values are spread; counts per range say which range holds each wanted rank.
+    3. Only those ranges are ranked value by value.
     """
-    values = with_bucket(counted, keys)
-    in_order = Window.partitionBy(*keys).orderBy("_bucket")
-    buckets = (
-        values.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
-    )
+    placed = ranged(counted, [*[F.col(key) for key in keys], F.col("_value")])
+    ranges = range_starts(placed, keys, ["_n"])
+    sizes = ranges.groupBy(*keys).agg(F.sum("_sum__n").alias("_total"))
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), F.lit(float(share)).alias("share")) for name, share in quantiles.items()]
     )
     position = (F.col("_total") - 1) * F.col("_want.share")
     located = (
-        buckets.withColumn("_want", F.explode(wanted))
+        ranges.join(sizes, keys)
+        .withColumn("_want", F.explode(wanted))
         .withColumn("_position", position)
         .withColumn("_side", F.explode(F.array(F.lit("low"), F.lit("high"))))
         .withColumn(
             "_rank",
             F.when(F.col("_side") == "low", F.floor("_position")).otherwise(F.ceil("_position")),
         )
-        .where((F.col("_rank") >= F.col("_upto") - F.col("_n")) & (F.col("_rank") < F.col("_upto")))
+        .where((F.col("_rank") >= F.col("_start__n")) & (F.col("_rank") < F.col("_start__n") + F.col("_sum__n")))
         .select(
-            *keys, "_bucket", "_side",
+            "_range", *keys, "_side",
             F.col("_want.name").alias("_name"),
             (F.col("_position") - F.floor("_position")).alias("_fraction"),
-            (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"),
+            (F.col("_rank") - F.col("_start__n")).alias("_rank"),
         )
     )
-
-    within = Window.partitionBy(*keys, "_name", "_side").orderBy("_value")
-    picked = (
-        values.join(located, [*keys, "_bucket"])
-        .withColumn("_upto", F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .where((F.col("_rank") >= F.col("_upto") - F.col("_n")) & (F.col("_rank") < F.col("_upto")))
-    )
+    # One running count for all ranks wanted of a range; a row is kept where it holds one.
+    searched = placed.join(located.select("_range", *keys).distinct(), ["_range", *keys], "left_semi")
+    within = Window.partitionBy("_range", *keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    counts = searched.withColumn("_upto", F.sum("_n").over(within))
+    wants = located.groupBy("_range", *keys).agg(F.collect_list(F.struct("_name", "_side", "_fraction", "_rank")).alias("_wants"))
+    held = F.filter("_wants", lambda w: (w["_rank"] >= F.col("_upto") - F.col("_n")) & (w["_rank"] < F.col("_upto")))
+    picked = counts.join(wants, ["_range", *keys]).select(*keys, "_value", F.inline(held))
     columns = []
     for name in quantiles:
         low = F.max(F.when((F.col("_name") == name) & (F.col("_side") == "low"), F.col("_value")))
         high = F.max(F.when((F.col("_name") == name) & (F.col("_side") == "high"), F.col("_value")))
         fraction = F.max(F.when(F.col("_name") == name, F.col("_fraction")))
-        columns.append((low + (high - low) * fraction).alias(name))
+        # Between a value and itself there is nothing to interpolate, whether it is a number, infinite or NaN.
+        columns.append(F.when((low == high) | (fraction == 0), low).otherwise(low + (high - low) * fraction).alias(name))
     return picked.groupBy(*keys).agg(*columns)

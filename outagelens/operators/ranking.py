@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outagelens.operators.quantiles import with_bucket
+from outagelens.operators.scans import running_sums
 
 EVERYTHING_BEFORE = (Window.unboundedPreceding, 0)
 
@@ -54,89 +54,38 @@ def value_counts(df: DataFrame, column: str, keep_missing: bool = False) -> Data
 
 # --- running sums over many rows -------------------------------------------------------
 
-def running_sums(
-    df: DataFrame, by: list[str], levels: list[str], order: list[Column], amounts: dict[str, str]
-) -> DataFrame:
-    """Running sums inside each group, in the order levels then `order`.
-
-    `amounts` maps a number column to its running column.  A level is a column
-    that cuts the order into consecutive blocks, coarse to fine.  Block totals
-    are summed per level first, so every window sees either the blocks of one
-    level or the rows of one finest block, never a whole group.
-    """
-    leaf = [*by, *levels]
-    blocks = df.groupBy(*leaf).agg(*[F.sum(amount).alias(f"_sum_{amount}") for amount in amounts])
-    offsets = {amount: F.lit(0) for amount in amounts}
-    for depth, level in enumerate(levels):
-        parent = [*by, *levels[:depth]]
-        before = Window.partitionBy(*parent).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        totals = blocks.groupBy(*parent, level).agg(
-            *[F.sum(f"_sum_{amount}").alias(f"_total_{amount}") for amount in amounts]
-        )
-        starts = totals.select(
-            *parent, level,
-            *[
-                F.coalesce(F.sum(f"_total_{amount}").over(before), F.lit(0)).alias(f"_start_{depth}_{amount}")
-                for amount in amounts
-            ],
-        )
-        blocks = blocks.join(starts, [*parent, level])
-        offsets = {amount: total + F.col(f"_start_{depth}_{amount}") for amount, total in offsets.items()}
-    located = blocks.select(*leaf, *[total.alias(f"_offset_{amount}") for amount, total in offsets.items()])
-    inside = Window.partitionBy(*leaf).orderBy(*order).rowsBetween(*EVERYTHING_BEFORE)
-    joined = df.join(located, leaf)
-    return joined.withColumns(
-        {into: F.col(f"_offset_{amount}") + F.sum(amount).over(inside) for amount, into in amounts.items()}
-    ).drop(*[f"_offset_{amount}" for amount in amounts])
-
-
-TIE_LEVELS = {"_at_4": 4, "_at_8": 8}
-
-
-def with_tie_levels(df: DataFrame, name: str) -> DataFrame:
-    """Beginnings of the name: consecutive blocks in name order, so rows that tie on a count split by ranges of names."""
-    return df.withColumns({level: F.substring(name, 1, length) for level, length in TIE_LEVELS.items()})
-
-
 def pareto(df: DataFrame, by: list[str], name: str, count: str) -> DataFrame:
     """Rank, running count and running share, largest first.
 
     Equal counts follow the name, as in every top-n.
     """
-    keys = by or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(1))
-    ordered = with_tie_levels(source, name).withColumns({"_largest": -F.col(count), "_one": F.lit(1)})
     summed = running_sums(
-        ordered, keys, ["_largest", *TIE_LEVELS], [F.col(name)], {"_one": "Rank", count: "Running_Count"}
+        df.withColumn("_one", F.lit(1)), by, [F.desc(count), F.col(name)], {"_one": "Rank", count: "Running_Count"}
     )
     if by:
-        summed = summed.join(source.groupBy(*by).agg(F.sum(count).alias("_total")), by)
+        summed = summed.join(df.groupBy(*by).agg(F.sum(count).alias("_total")), by)
         total = F.col("_total")
     else:
-        total = source.agg(F.sum(count)).scalar()
-    result = summed.withColumn("Cumulative_Pct", F.col("Running_Count") / total * 100).drop(
-        "_largest", *TIE_LEVELS, "_one", "_total"
-    )
-    return result if by else result.drop("_all")
+        total = df.agg(F.sum(count)).scalar()
+    return summed.withColumn("Cumulative_Pct", F.col("Running_Count") / total * 100).drop("_one", "_total")
 
 
 def value_ranks(df: DataFrame, by: list[str], row: list[str], ranks: dict[str, str]) -> DataFrame:
     """Percentile ranks (0..100) of every row inside its group, for several measures at once.
 
     `row` names the columns that identify a row, and `ranks` maps a measure to
-    its rank column.  Equal values share the mean position; missing values come
-    last as one tie and count in the denominator.
+    its rank column.  Equal values share the mean position; NaN is one value,
+    above infinity; missing values come last as one tie and count in the
+    denominator.
     """
     measures = F.array(
         *[F.struct(F.lit(name).alias("_measure"), F.col(name).cast("double").alias("_value")) for name in ranks]
     )
     long = df.select(*dict.fromkeys([*by, *row]), F.inline(measures))
     group = [*by, "_measure"]
-    counted = with_bucket(long.groupBy(*group, "_value").agg(F.count("*").alias("_n")), group).withColumn(
-        "_bucket", F.coalesce("_bucket", F.lit(2**40))
-    )
-    placed = running_sums(counted, group, ["_bucket"], [F.col("_value").asc_nulls_last()], {"_n": "_upto"})
-    sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_size"))
+    counted = long.groupBy(*group, "_value").agg(F.count("*").alias("_n"))
+    placed = running_sums(counted, group, [F.col("_value").asc_nulls_last()], {"_n": "_upto"})
+    sizes = placed.groupBy(*group).agg(F.max("_upto").alias("_size"))
     mean_place = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)
     positions = placed.join(sizes, group).select(
         *[F.col(key).alias(f"_of_{key}") for key in [*group, "_value"]],
@@ -176,8 +125,7 @@ def gini(df: DataFrame, by: list[str], count: str, into: str = "Gini") -> DataFr
 
 def lorenz(df: DataFrame, by: list[str], name: str, count: str) -> DataFrame:
     """Cumulative share of members and of load, smallest load first, equal loads by name."""
-    ordered = with_tie_levels(df, name).withColumn("_one", F.lit(1))
-    summed = running_sums(ordered, by, [count, *TIE_LEVELS], [F.col(name)], {"_one": "_place", count: "_load"})
+    summed = running_sums(df.withColumn("_one", F.lit(1)), by, [F.col(count), F.col(name)], {"_one": "_place", count: "_load"})
     totals = df.groupBy(*by).agg(F.count("*").alias("_members"), F.sum(count).alias("_total"))
     return summed.join(totals, by).select(
         *by, name, count,

@@ -15,8 +15,17 @@ def ranged(df: DataFrame, keys: list[Column], parts: int | None = None) -> DataF
     Rows equal in all keys share a range: end the keys with a unique column. The rows are stored, so that a range
     stays the same however often it is read.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    return stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def range_starts(placed: DataFrame, by: list[str], amounts: list[str]) -> DataFrame:
+    """(_range, by, _start_<amount>, _sum_<amount>): what a group's earlier ranges add up to, and its own range."""
+    sums = placed.groupBy("_range", *by).agg(*[F.sum(amount).alias(f"_sum_{amount}") for amount in amounts])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumns(
+        {f"_start_{amount}": F.coalesce(F.sum(f"_sum_{amount}").over(before), F.lit(0)) for amount in amounts}
+    )
 
 
 def running_sums(
@@ -33,12 +42,7 @@ def running_sums(
     """
     present = df.dropna(subset=by) if by else df
     placed = ranged(present, [*[F.col(key) for key in by], *order], parts)
-    sums = placed.groupBy("_range", *by).agg(*[F.sum(amount).alias(f"_sum_{amount}") for amount in amounts])
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        "_range", *by,
-        *[F.coalesce(F.sum(f"_sum_{amount}").over(before), F.lit(0)).alias(f"_start_{amount}") for amount in amounts],
-    )
+    starts = range_starts(placed, by, list(amounts)).drop(*[f"_sum_{amount}" for amount in amounts])
     inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumns({into: F.sum(amount).over(inside) for amount, into in amounts.items()})
     return (

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from outagelens.operators import ranking
 from outagelens.operators.lookups import cohort_of_top
-from outagelens.operators.quantiles import grouped_quantiles, with_bucket
+from outagelens.operators.quantiles import grouped_quantiles, value_table
+from outagelens.operators.scans import ranged
 from outagelens.operators.shape import canonical_order, compared, mean_of_columns, reindexed, with_percentage
 from outagelens.plans.kpis import outlier_groups
 from outagelens.plans.sites import pareto_marks
@@ -144,13 +145,52 @@ def test_top_n_is_the_same_everywhere(spark):
         assert {r["name"] for r in ranked} == top
 
 
-def test_buckets_follow_each_groups_own_range(spark):
-    """Neither a large offset, nor a small scale, nor a long tail fills one bucket."""
+@pytest.fixture
+def many_ranges(spark):
+    """As on a cluster: 32 ranges, also of few rows."""
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def largest_range(rows, keys):
+    return max(r["n"] for r in ranged(rows, keys).groupBy("_range").agg(F.count("*").alias("n")).collect())
+
+
+def test_ties_with_a_common_beginning_are_split(spark, many_ranges):
+    names = spark.range(100_000).selectExpr("concat('Region3_Site_', lpad(id, 9, '0')) AS name", "1L AS n")
+    assert largest_range(names, [F.desc("n"), F.col("name")]) <= 10_000
+    found = ranking.pareto(names, [], "name", "n").where("Rank % 9999 = 1").orderBy("Rank").collect()
+    assert [(r["name"], r["Running_Count"]) for r in found] == [(f"Region3_Site_{r['Rank'] - 1:09d}", r["Rank"]) for r in found]
+    assert len(found) == 11
+    curve = ranking.lorenz(names.withColumn("g", F.lit("all")), ["g"], "name", "n").where("name like '%49999'").collect()
+    assert [(r["Pop_Share"], r["Cum_Share"]) for r in curve if r["name"] == "Region3_Site_000049999"] == [(0.5, 0.5)]
+
+
+def test_no_value_fills_a_range(spark, many_ranges):
+    """Neither infinities, nor a large offset, nor a small scale, nor a long tail puts many values into one range."""
     rows = spark.range(20_000).selectExpr(
-        "inline(array(struct('offset' AS g, 1.7e9D + id * 500 AS _value), struct('small' AS g, id * 5e-8D AS _value), "
-        "struct('tail' AS g, exp(id / 800D) AS _value), struct('negative' AS g, -1e12D + id AS _value)))")
-    found = with_bucket(rows, ["g"]).groupBy("g", "_bucket").agg(
-        F.count("*").alias("n"), F.min("_value").alias("low"), F.max("_value").alias("high")).orderBy("g", "_bucket").collect()
-    assert max(r["n"] for r in found) <= 200
-    for before, after in zip(found, found[1:]):
-        assert before["g"] != after["g"] or before["high"] < after["low"]
+        "inline(array(struct('offset' AS g, 1.7e9D + id * 500 AS x), struct('small' AS g, id * 5e-8D AS x), "
+        "struct('tail' AS g, exp(id / 800D) AS x), struct('infinite' AS g, if(id = 0, double('inf'), double(id)) AS x)))")
+    assert largest_range(value_table(rows, ["g"], "x"), [F.col("g"), F.col("_value")]) <= 8_000
+    found = {r["g"]: r for r in grouped_quantiles(rows, ["g"], "x", {"half": 0.5, "most": 0.9, "top": 1.0}).collect()}
+    wanted = {g: f.x.quantile([0.5, 0.9]).tolist() for g, f in rows.where("g != 'infinite'").toPandas().groupby("g")}
+    for group, values in wanted.items():
+        assert [found[group]["half"], found[group]["most"]] == pytest.approx(values, rel=1e-12)
+    own = np.sort([np.inf, *range(1, 20_000)])
+    assert found["infinite"]["half"] == np.quantile(own, 0.5) and found["infinite"]["top"] == np.inf
+    ranks = ranking.value_ranks(rows.where("g = 'infinite'").withColumn("id", F.monotonically_increasing_id()), ["g"], ["id"], {"x": "r"})
+    assert ranks.where("x = double('inf')").first()["r"] == 100.0
+
+
+def test_nan_is_one_value_above_infinity(spark):
+    rows = spark.createDataFrame([("a", v) for v in (1.0, float("nan"), float("inf"), float("nan"), 2.0)], "g string, x double")
+    found = grouped_quantiles(rows, ["g"], "x", {"low": 0.0, "half": 0.5, "top": 1.0, "between": 0.125}).first()
+    assert (found["low"], found["half"], found["between"]) == (1.0, float("inf"), 1.5) and np.isnan(found["top"])
+    ranks = {repr(r["x"]): r["r"] for r in ranking.value_ranks(
+        rows.withColumn("id", F.monotonically_increasing_id()), ["g"], ["id"], {"x": "r"}).collect()}
+    assert ranks == {"1.0": 20.0, "2.0": 40.0, "inf": 60.0, "nan": 90.0}
