@@ -199,9 +199,12 @@ def _own(df: DataFrame, name: str, derived: Callable[[str], Column]) -> Column:
     return derived(name) if name in df.columns else F.lit("Unknown")
 
 
-def model_service(df: DataFrame) -> DataFrame:
-    """Keys, times, verdicts, the resolution path, teams and the site key."""
-    verdict_source = df
+def model_service(df: DataFrame, among: Column | None = None) -> DataFrame:
+    """Keys, times, verdicts, the resolution path, teams and the site key.
+
+    Given verdicts count if all rows have one, or all rows `among` those named.
+    """
+    verdict_source = df if among is None else df.where(among)
     timed = df.withColumns(
         {
             "Priority_Urgency": service.priority_urgency(F.col("Priority"), F.col("Urgency")),

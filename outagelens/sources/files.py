@@ -129,8 +129,3 @@ def write_table(df: DataFrame, path: str, file_format: str = "parquet", partitio
         writer = writer.partitionBy(*partition_by)
     writer.format(file_format).save(path)
     return seen.get["rows"]
-
-
-def write_audits(audits: dict[str, DataFrame], folder: str, file_format: str = "parquet") -> dict[str, int]:
-    """Write every audit extract below the folder; returns the row counts by name."""
-    return {name: write_table(df, f"{folder}/{name}", file_format) for name, df in audits.items()}
