@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from outagelens.functions.nulls import present_and
 
 
+DUPLICATE_STEP = "Drop duplicate TICKETID"
+
+
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of every key in the declared order.
 
@@ -44,7 +47,7 @@ def cleaning_funnel(
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("_dropped_0"),
         *[F.count_if(F.col("_failed") == number).alias(f"_dropped_{number}") for number in range(1, len(steps) + 1)],
     )
-    names = ["Drop duplicate TICKETID"] + [name for name, _ in steps]
+    names = [DUPLICATE_STEP] + [name for name, _ in steps]
     entries, left = [], F.col("_rows")
     for number, name in enumerate(names):
         dropped = F.col(f"_dropped_{number}")

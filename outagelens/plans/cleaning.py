@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
@@ -16,7 +16,7 @@ from outagelens.functions.rules import (
     any_of, case_when, contains_any, first_containing, is_any, literal, lookup, named,
 )
 from outagelens.functions.text import clean_text, closest_label
-from outagelens.operators.dedupe import keep_first
+from outagelens.operators.dedupe import DUPLICATE_STEP, first_failed_step, keep_first
 from outagelens.operators.inference import (
     Compared, Keep, as_is, compare, default_stop_words, fill_from_text, inference_log, low_confidence,
 )
@@ -41,24 +41,26 @@ def structural_steps() -> list[tuple[str, Column]]:
     ]
 
 
-def keep_structural(raw: DataFrame, order: list[str]) -> DataFrame:
-    """First row per ticket, if it passes the filters.
+def keep_structural(raw: DataFrame, order: list[str], seen: Observation | None = None) -> DataFrame:
+    """First row per ticket, if it passes the filters; `seen` counts the first rows and those that each filter drops.
 
     The filters are judged before the duplicate step, but act behind it: a ticket
     whose first row fails is dropped even if a later copy would pass.  A failing
     row competes for first with its key, its order and a mark only; its texts are
     not shuffled.
     """
-    passes = F.lit(True)
-    for _, keep in structural_steps():
-        passes = passes & present_and(keep)
-    judged = settled(raw, "_passes", passes)
+    judged = settled(raw, "_failed", first_failed_step(structural_steps()))
     competing = ["TICKETID", *order]
+    passes = F.col("_failed").isNull()
     narrowed = judged.select(
-        *[F.col(f"`{c}`") if c in competing else F.when(F.col("_passes"), F.col(f"`{c}`")).alias(c) for c in raw.columns],
-        "_passes",
+        *[F.col(f"`{c}`") if c in competing else F.when(passes, F.col(f"`{c}`")).alias(c) for c in raw.columns],
+        "_failed",
     )
-    kept = keep_first(narrowed, ["TICKETID"], order).where("_passes").drop("_passes")
+    first = keep_first(narrowed, ["TICKETID"], order)
+    if seen is not None:
+        dropped = [F.count_if(F.col("_failed") == n).alias(f"dropped_{n}") for n in range(1, len(structural_steps()) + 1)]
+        first = first.observe(seen, F.count("*").alias("first_rows"), *dropped)
+    kept = first.where(passes).drop("_failed")
     return kept.withColumn("Urgency", F.col("Urgency").try_cast("double"))
 
 
@@ -280,7 +282,8 @@ class Cleaning:
     With the text inference, the stages that several branches read, the term
     counts and the comparisons are written once below the session's shared
     folder, while the plan is built; `cut` names another way to keep them.
-    Without it the plan is lazy.
+    Without it the plan is lazy.  `seen` (see `watched`) counts rows inside the
+    plan, while the clean table is written.
     """
 
     raw: DataFrame
@@ -290,13 +293,15 @@ class Cleaning:
     infer: bool = True
     stop_words: Iterable[str] | None = None
     cut: Keep | None = None
+    seen: dict[str, Observation] = field(default_factory=dict)
     stages: dict[str, DataFrame] = field(default_factory=dict)
     compared: dict[str, Compared] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         require_columns(self.raw, fixed.REQUIRED_COLUMNS)
         stage = self.stages
-        stage["filtered"] = keep_structural(self.raw, self.order)
+        raw = self.raw.observe(self.seen["raw"], F.count("*").alias("rows")) if self.seen else self.raw
+        stage["filtered"] = keep_structural(raw, self.order, self.seen.get("first"))
         if self.infer:
             self.stop_words = list(self.stop_words if self.stop_words is not None else default_stop_words())
             cut = self.cut or (lambda df: stored(df, "cleaning"))
@@ -316,7 +321,8 @@ class Cleaning:
         if self.region_scope:
             scoped = scoped.where(F.col("Region") == self.region_scope)
         stage["scoped"] = scoped
-        stage["clean"] = protect_people(scoped)
+        clean = protect_people(scoped)
+        stage["clean"] = clean.observe(self.seen["clean"], F.count("*").alias("rows")) if self.seen else clean
 
     def _inferred(self, source: str, target: str, constant: str, cut: Keep) -> DataFrame:
         rows = self.stages[source]
@@ -335,6 +341,38 @@ def clean_tickets(raw: DataFrame, sites: DataFrame, order: list[str], **options)
     return Cleaning(raw, sites, order, **options).clean
 
 
+def watched() -> dict[str, Observation]:
+    """Observations for the `seen` of a cleaning that is run once, as its clean table is written."""
+    return {name: Observation(f"cleaning-{name}") for name in ("raw", "first", "clean")}
+
+
+def recorded(cleaning: Cleaning) -> dict[str, int]:
+    """What the observations of a written cleaning counted; waits for the write.
+
+    Counts behind the duplicate step are taken where the table is written.  The raw rows are counted as they are read:
+    should a lost executor make Spark read some again, they count again, and `dedupe.cleaning_funnel` and
+    `quality.retention` count exactly, with scans of their own.
+    """
+    raw, first, clean = (cleaning.seen[name].get for name in ("raw", "first", "clean"))
+    return {"initial_rows": raw["rows"], "final_rows": clean["rows"], **first}
+
+
+def recorded_funnel(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """The cleaning funnel from recorded counts."""
+    left, rows = counts["initial_rows"], []
+    dropped = [left - counts["first_rows"], *[counts[f"dropped_{n}"] for n in range(1, len(structural_steps()) + 1)]]
+    for step, (rule, gone) in enumerate(zip([DUPLICATE_STEP, *[name for name, _ in structural_steps()]], dropped)):
+        left -= gone
+        rows.append((step, rule, gone, left))
+    return spark.createDataFrame(rows, "step int, rule string, dropped long, remaining long")
+
+
+def recorded_retention(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """Rows before and after cleaning and the share kept, from recorded counts; no share of no rows."""
+    table = spark.createDataFrame([(counts["initial_rows"], counts["final_rows"])], "initial_rows long, final_rows long")
+    return table.withColumn("retained_pct", F.try_divide("final_rows", "initial_rows") * 100)
+
+
 def snapshot(df: DataFrame, key: list[str], rows: int = 1000) -> DataFrame:
     """A bounded extract of the key columns for eyeballing."""
     columns = [name for name in fixed.SNAPSHOT_COLUMNS if name in df.columns]

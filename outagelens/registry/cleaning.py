@@ -15,7 +15,7 @@ from outagelens.plans import cleaning
 from outagelens.registry.base_sql import q, r, values
 from outagelens.registry.core import query
 from outagelens.sources.star_tickets import (
-    ARRIVAL_ORDER, clean_view, cleaning_view, raw_tickets, sites, table,
+    ARRIVAL_ORDER, clean_view, cleaning_view, raw_tickets, sites, table, written_clean,
 )
 
 # A stated list, so that both engines drop the same words.
@@ -41,7 +41,7 @@ def dedupe_first(spark, folder):
     )
 
 
-@query("cleaning_funnel", """
+FUNNEL = """
 , failing AS (
   SELECT CASE WHEN "Priority" IS NULL THEN 1 WHEN "Priority" NOT IN (1, 2, 3) THEN 2
               WHEN "Urgency" IS NULL OR "Urgency" NOT IN (0, 1, 2, 3) THEN 3
@@ -58,8 +58,17 @@ drops AS (
   UNION ALL SELECT 5, 'Drop Fault Type INVALID', count(*) FROM failing WHERE failed = 5)
 SELECT CAST(step AS INT) AS step, rule, CAST(dropped AS BIGINT) AS dropped,
        CAST((SELECT count(*) FROM raw) - sum(dropped) OVER (ORDER BY step) AS BIGINT) AS remaining
-FROM drops""")
+FROM drops"""
+
+
+@query("cleaning_funnel", FUNNEL)
 def funnel(spark, folder):
+    """Recorded while the clean table was written."""
+    return cleaning.recorded_funnel(spark, written_clean(spark, folder)[1])
+
+
+@query("cleaning_funnel_counted", FUNNEL)
+def counted_funnel(spark, folder):
     return cleaning_funnel(raw_tickets(spark, folder), ["TICKETID"], ARRIVAL_ORDER, cleaning.structural_steps())
 
 
@@ -68,8 +77,8 @@ SELECT (SELECT count(*) FROM raw) AS initial_rows, count(*) AS final_rows,
        {r('count(*) / (SELECT count(*) FROM raw) * 100')} AS retained_pct
 FROM clean""")
 def retention(spark, folder):
-    view = cleaning_view(spark, folder)
-    return quality.retention(view.raw, view.clean)
+    """Recorded while the clean table was written."""
+    return cleaning.recorded_retention(spark, written_clean(spark, folder)[1])
 
 
 @query("raw_snapshot", """

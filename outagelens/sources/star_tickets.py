@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outagelens.functions.rules import case_when, literal, lookup
-from outagelens.plans.cleaning import Cleaning
+from outagelens.plans.cleaning import Cleaning, recorded, watched
 from outagelens.sources.checkpoints import kept, stored
 
 # The copy of a repeated ticket that counts as first.
@@ -186,6 +186,15 @@ def clean_view(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning_view(spark, folder).clean
 
 
+def written_clean(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, int]]:
+    """Clean tickets as a stored table and the counts of its cleaning, both from one run per session and state of the tables."""
+    def write():
+        run = Cleaning(raw_tickets(spark, folder), sites(spark, folder), ARRIVAL_ORDER, infer=False, seen=watched())
+        return stored(run.clean, "clean-tickets"), recorded(run)
+
+    return kept(spark, folder, "clean-tickets", write)
+
+
 def clean_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Clean tickets as a stored table, written once per session and state of the tables; the reports read this."""
-    return kept(spark, folder, "clean-tickets", lambda: stored(clean_view(spark, folder), "clean-tickets"))
+    """Clean tickets as a stored table; the reports read this."""
+    return written_clean(spark, folder)[0]

@@ -176,3 +176,16 @@ def test_the_inferred_plan_is_short(sample_raw, sample_sites):
     run = Cleaning(sample_raw, sample_sites, ["TICKETID"], stop_words=WORDS)
     plan = run.clean._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") <= 3 and plan.count("Join") <= 1
+
+
+def test_counts_are_recorded_while_the_table_is_written(spark, sample_raw, sample_sites, tmp_path):
+    raw = sample_raw.unionByName(sample_raw.where("TICKETID IN ('W01', 'X02')"))
+    run = Cleaning(raw, sample_sites, ["TICKETID"], infer=False, seen=cleaning.watched())
+    run.clean.write.parquet(str(tmp_path / "clean"))
+    counts = cleaning.recorded(run)
+    counted = cleaning_funnel(raw, ["TICKETID"], ["TICKETID"], cleaning.structural_steps()).collect()
+    assert cleaning.recorded_funnel(spark, counts).collect() == counted
+    share = quality.retention(raw, spark.read.parquet(str(tmp_path / "clean"))).collect()
+    assert cleaning.recorded_retention(spark, counts).collect() == share and share[0]["initial_rows"] == 15
+    nothing = dict.fromkeys(counts, 0)
+    assert cleaning.recorded_retention(spark, nothing).first()["retained_pct"] is None
