@@ -17,7 +17,7 @@ LENGTH = 200
 #: Bytes of an anchor, a multiple of 8; each string of LENGTH bytes holds one that its own bytes determine.
 GRAM = 40
 #: Bytes of text whose anchors are looked for at a time, and bytes that one transform holds.
-PORTION, POOL = 1 << 20, 1 << 20
+PORTION, POOL = 1 << 18, 1 << 18
 #: Different surroundings of one anchor that share a transform; more are dealt over several, compared by digests.
 BUCKET = 2000
 #: A byte that UTF-8 never holds.
@@ -117,7 +117,7 @@ def suffix_array(flat: np.ndarray, room: np.ndarray) -> np.ndarray:
     key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
     short = np.flatnonzero(room < 7)
     key[short] &= np.uint64(0xFFFFFFFFFFFFFFFF) << (56 - 8 * room[short]).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_ = key[order]
     new = np.append(True, sorted_[1:] != sorted_[:-1])
     rank = np.empty(n, np.int64)
@@ -128,7 +128,7 @@ def suffix_array(flat: np.ndarray, room: np.ndarray) -> np.ndarray:
         group = rank[at]
         ended = room[at] < reach
         second = np.where(ended, at, rank[np.minimum(at + reach, n - 1)])
-        inner = np.lexsort((second, group))
+        inner = np.argsort(group * n + second)
         at, group, second = at[inner], group[inner], second[inner]
         order[tied] = at
         new = np.append(True, (group[1:] != group[:-1]) | (second[1:] != second[:-1]))
@@ -309,16 +309,20 @@ def merged(spans: Column) -> Column:
     """The spans (start, end) of an array, in order, joined where they overlap or touch."""
     @F.arrow_udf(SPANS)
     def of(lists: pa.Array) -> pa.Array:
-        out = []
-        for own in lists.to_pylist():
-            joined: list[list[int]] = []
-            for a, b in sorted((s["start"], s["end"]) for s in own):
-                if joined and a <= joined[-1][1]:
-                    joined[-1][1] = max(b, joined[-1][1])
-                else:
-                    joined.append([a, b])
-            out.append([{"start": a, "end": b} for a, b in joined])
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        start, end = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in lists.flatten().flatten())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        # Rows follow one another with gaps between them, so that spans of two rows never touch.
+        base = row << 33
+        order = np.argsort(base + start)
+        start, end, row = (base + start)[order], (base + end)[order], row[order]
+        reach = np.maximum.accumulate(end)
+        new = np.flatnonzero(np.append(True, start[1:] > reach[:-1])) if len(start) else np.zeros(0, np.int64)
+        last = reach[np.append(new[1:] - 1, len(start) - 1)] if len(start) else new
+        own = row[new]
+        runs = pa.StructArray.from_arrays([pa.array((x - (own << 33)).astype(np.int32)) for x in (start[new], last)], ["start", "end"])
+        ends = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(sizes)))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)
 
     return of(spans)
 
