@@ -45,6 +45,11 @@ MISSING_MARKERS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
+# Month names in dates.
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+    "december",
+]
 BLANK_TOKENS = ["", " ", "N/A", "NA", "None", "NONE", "null", "NULL"]
 PERSONNEL_COLUMNS = [
     "FT_OwnerID", "FT_reportedById", "WOOwnerID", "WOLeadID", "CHANGEBY",

@@ -11,20 +11,10 @@ from outagelens.functions.rules import (
     case_when, first_containing, first_prefix, is_any, label_lookup, literal, lookup, named,
 )
 
-TIMESTAMP_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"]
-
-
 def number_or_missing(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def moment_or_missing(text: Column, formats: list[str] = TIMESTAMP_FORMATS) -> Column:
-    """ISO text (with T, fractions or a zone offset), else the first format that reads it; missing when none does."""
-    trimmed = F.trim(text.cast("string"))
-    iso = F.when(trimmed.rlike(r"^\d{4}-\d"), trimmed.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(trimmed, F.lit(pattern)) for pattern in formats])
-
-
 def plus_hours(moment: Column, hours: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(moment) + F.round(hours * 3.6e9).cast("long"))
 

@@ -54,7 +54,7 @@ def judged(cleaning: Cleaning) -> DataFrame:
         *[rows[c] for c in rows.columns], F.coalesce("_site", F.lit(False)).alias("_site"),
         *[F.coalesce(known[a], F.lit("Unknown")).alias(a) for a in ("AssignArea", "AssignCity")])
     places = F.struct("Area", "Urgency").alias("_place")
-    return model_service(hide_places(sited.withColumn("_place", places)), F.col("_kept"))
+    return model_service(hide_places(sited.withColumn("_place", places)), F.col("_kept"), cleaning.raw)
 
 
 def _tags(cleaning: Cleaning, columns: list[str]) -> dict[str, Tag]:

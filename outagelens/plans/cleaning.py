@@ -11,6 +11,7 @@ from pyspark.sql.types import TimestampType
 
 from outagelens import fixed_values as fixed
 from outagelens.functions import service
+from outagelens.functions.moments import day_comes_first, moment_or_missing
 from outagelens.functions.nulls import differs, present_and
 from outagelens.functions.rules import (
     any_of, case_when, contains_any, first_containing, is_any, literal, lookup, named,
@@ -182,10 +183,10 @@ def hide_places(df: DataFrame) -> DataFrame:
 
 # --- phase 4: service model -------------------------------------------------------------------
 
-def _moment(df: DataFrame, name: str) -> Column:
+def _moment(df: DataFrame, name: str, shown: DataFrame | None) -> Column:
     if isinstance(df.schema[name].dataType, TimestampType):
         return F.col(name)
-    return service.moment_or_missing(F.col(name))
+    return moment_or_missing(F.col(name), day_comes_first(df if shown is None else shown, name))
 
 
 def _verdict(df: DataFrame) -> Column:
@@ -201,10 +202,11 @@ def _own(df: DataFrame, name: str, derived: Callable[[str], Column]) -> Column:
     return derived(name) if name in df.columns else F.lit("Unknown")
 
 
-def model_service(df: DataFrame, among: Column | None = None) -> DataFrame:
+def model_service(df: DataFrame, among: Column | None = None, shown: DataFrame | None = None) -> DataFrame:
     """Keys, times, verdicts, the resolution path, teams and the site key.
 
-    Given verdicts count if all rows have one, or all rows `among` those named.
+    Given verdicts count if all rows have one, or all rows `among` those named.  Whether dates in text have the day in
+    front is inferred from the columns of `shown`, a table that costs less to read, or from the rows themselves.
     """
     verdict_source = df if among is None else df.where(among)
     timed = df.withColumns(
@@ -212,8 +214,8 @@ def model_service(df: DataFrame, among: Column | None = None) -> DataFrame:
             "Priority_Urgency": service.priority_urgency(F.col("Priority"), F.col("Urgency")),
             "Priority": F.col("Priority").cast("tinyint"),
             "Urgency": F.col("Urgency").cast("tinyint"),
-            "REPORTDATE": _moment(df, "REPORTDATE"),
-            "StartDateTime": _moment(df, "StartDateTime"),
+            "REPORTDATE": _moment(df, "REPORTDATE", shown),
+            "StartDateTime": _moment(df, "StartDateTime", shown),
             "OUTAGEDURATION": F.col("OUTAGEDURATION").try_cast("double"),
         }
     )
@@ -316,7 +318,7 @@ class Cleaning:
         stage["usable"] = drop_unusable(stage["standard"], STANDARD_CAUSE)
         stage["placed"] = with_region(stage["usable"])
         stage["sited"] = with_site(keep_regions(stage["placed"]), self.sites)
-        stage["modelled"] = model_service(hide_places(stage["sited"]))
+        stage["modelled"] = model_service(hide_places(stage["sited"]), shown=self.raw)
         scoped = stage["modelled"]
         if self.region_scope:
             scoped = scoped.where(F.col("Region") == self.region_scope)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from outagelens import fixed_values as fixed
 from outagelens.functions.rules import case_when, is_any, literal, named
-from outagelens.functions.service import hours_between, moment_or_missing, sla_hours
+from outagelens.functions.moments import inferred_moment
+from outagelens.functions.service import hours_between, sla_hours
 from outagelens.functions.text import month_label
 from outagelens.operators.quantiles import grouped_quantiles
 from outagelens.operators.shape import canonical_order
@@ -68,7 +69,7 @@ def _zero_per_group(df: DataFrame, by: str | None, name: str) -> DataFrame:
 
 
 def _moment(df: DataFrame, name: str) -> Column:
-    return moment_or_missing(F.col(name)) if dict(df.dtypes)[name] == "string" else F.col(name)
+    return inferred_moment(df, name) if dict(df.dtypes)[name] == "string" else F.col(name)
 
 
 def triage_time(df: DataFrame, by: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from outagelens import fixed_values as fixed
 from outagelens.functions import service
+from outagelens.functions import moments
 from outagelens.functions.text import clean_text, closest_label, prepared_text
 from outagelens.operators import quality
 from outagelens.operators.dedupe import cleaning_funnel, keep_first
@@ -302,30 +303,52 @@ def phase_times(spark, folder):
     )
 
 
-@query("lenient_parsing", """
-SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN form IN (3, 5) THEN date_trunc('minute', ts)
-                      WHEN form = 6 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS moment,
-       try_cast(number AS DOUBLE) AS number
-FROM (SELECT event_id, event_type, event_id % 7 AS form, ts,
+#: Spellings of a moment, and down to what they tell it.
+SPELLED = {
+    "'yyyy-MM-dd HH:mm:ss'": "second", "concat('yyyy-MM-dd', chr(39), 'T', chr(39), 'HH:mm:ss')": "second", "'yyyy-MM-dd HH:mm:ssXXX'": "second",
+    "'yyyy-MM-dd HH:mm'": "minute", "'yyyy-MM-dd HH:mm:ss.0'": "second", "'M/d/yyyy H:mm'": "minute", "'M/d/yyyy'": "day",
+    "'yyyy/MM/dd HH:mm'": "minute", "'dd-MMM-yyyy HH:mm'": "minute", "'MMM d, yyyy'": "day", "'yyyyMMdd'": "day", "'M/d/yy H:mm'": "minute",
+    "'M/d/yyyy h:mm:ss a'": "second", "'d MMMM yyyy HH:mm'": "minute",
+}
+_TOLD = " ".join(f"WHEN {form} THEN date_trunc('{unit}', ts)" for form, unit in enumerate(SPELLED.values()))
+
+
+@query("lenient_parsing", f"""
+SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CASE event_id % {len(SPELLED)} {_TOLD} END END AS moment,
+       date_trunc('minute', ts) AS day_first, try_cast(number AS DOUBLE) AS number
+FROM (SELECT event_id, event_type, ts,
              CASE WHEN event_type = 'view' THEN 'broken' ELSE CAST(user_id AS VARCHAR) END AS number FROM events)""",
        base=False)
 def lenient_parsing(spark, folder):
-    """The same moments in seven spellings: plain, T, offset, no seconds, fraction of zero, slashes, date alone."""
-    spelled = " ".join(f"WHEN {form} THEN date_format(ts, {pattern})" for form, pattern in enumerate([
-        "'yyyy-MM-dd HH:mm:ss'", "concat('yyyy-MM-dd', chr(39), 'T', chr(39), 'HH:mm:ss')", "'yyyy-MM-dd HH:mm:ssXXX'",
-        "'yyyy-MM-dd HH:mm'", "'yyyy-MM-dd HH:mm:ss.0'", "'M/d/yyyy H:mm'", "'M/d/yyyy'"]))
-    events = table(spark, folder, "events").selectExpr(
-        "event_id",
-        f"if(event_type = 'error', 'n/a', CASE event_id % 7 {spelled} END) AS text",
-        "if(event_type = 'view', 'broken', cast(user_id AS string)) AS number",
-    )
+    """The same moments in many spellings, and in a column whose values show that the day comes first."""
+    events = spelled_events(spark, folder)
     return events.select(
         "event_id",
-        service.moment_or_missing(F.col("text")).alias("moment"),
+        moments.inferred_moment(events, "text").alias("moment"),
+        moments.inferred_moment(events, "european").alias("day_first"),
         service.number_or_missing(F.col("number")).alias("number"),
     )
 
 
+def spelled_events(spark, folder):
+    spelled = " ".join(f"WHEN {form} THEN date_format(ts, {pattern})" for form, pattern in enumerate(SPELLED))
+    return table(spark, folder, "events").selectExpr(
+        "event_id",
+        f"if(event_type = 'error', 'n/a', CASE event_id % {len(SPELLED)} {spelled} END) AS text",
+        "date_format(ts, 'd/M/yyyy H:mm') AS european",
+        "if(event_type = 'view', 'broken', cast(user_id AS string)) AS number",
+    )
+
+
+@query("moment_spellings", f"""
+SELECT CASE WHEN event_type = 'error' THEN 'unread' WHEN form IN (0, 1, 2, 3, 4, 7) THEN 'year first' WHEN form IN (5, 6, 11, 12) THEN 'numbers'
+            WHEN form IN (8, 13) THEN 'day and month name' WHEN form = 9 THEN 'month name and day' ELSE 'compact' END AS spelling, count(*) AS rows
+FROM (SELECT event_type, event_id % {len(SPELLED)} AS form FROM events) GROUP BY 1""", base=False)
+def moment_spellings(spark, folder):
+    """How many values of a text column have each spelling, and how many none reads."""
+    return moments.spellings(spelled_events(spark, folder), "text")
+
+
 @query("path_summary", """
 SELECT "Resolution_Path", count("TICKETID") AS "Count",
        round_even(avg("OUTAGEDURATION"), 2) AS "Avg_Duration",

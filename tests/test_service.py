@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outagelens import fixed_values as fixed
-from outagelens.functions import service
+from outagelens.functions import moments, service
 from outagelens.functions.text import clean_text, fixed_point, magnitude, prepared_text, truncated
 
 
@@ -81,9 +81,9 @@ def test_person_code_and_site_name(spark):
 
 
 def test_timestamps_and_hours(spark):
-    assert one(spark, service.moment_or_missing(F.col("t")), t="nonsense") is None
-    assert str(one(spark, service.moment_or_missing(F.col("t")), t="2024-01-02 03:04:05")) == "2024-01-02 03:04:05"
-    assert str(one(spark, service.moment_or_missing(F.col("t")), t="1/2/2024 3:04")) == "2024-01-02 03:04:00"
+    assert one(spark, moments.moment_or_missing(F.col("t")), t="nonsense") is None
+    assert str(one(spark, moments.moment_or_missing(F.col("t")), t="2024-01-02 03:04:05")) == "2024-01-02 03:04:05"
+    assert str(one(spark, moments.moment_or_missing(F.col("t")), t="1/2/2024 3:04")) == "2024-01-02 03:04:00"
     hold = service.timestamps_hold(F.col("d"), F.col("f"), F.col("o"))
     assert one(spark, hold, d=1.0, f=1.0, o=2.0) is True
     assert one(spark, hold, d=3.0, f=-1.0, o=2.0) is False
@@ -113,3 +113,31 @@ def test_fixed_point_rounds_like_the_exact_binary_value(spark, number):
 def test_magnitude(spark):
     shown = [one(spark, magnitude(F.col("x")), x=n) for n in (999, 1200, 3_400_000, -2_000_000_000)]
     assert shown == ["999", "1.2K", "3.4M", "-2.0B"]
+
+
+@pytest.mark.parametrize("text, moment", [
+    ("2024/01/05 10:00", "2024-01-05 10:00:00"), ("13/02/2024 10:00", "2024-02-13 10:00:00"), ("01-Jan-2024 10:00", "2024-01-01 10:00:00"),
+    ("Jan 5, 2024", "2024-01-05 00:00:00"), ("20240105", "2024-01-05 00:00:00"), ("1/2/24 5:00", "2024-01-02 05:00:00"),
+    ("1/2/2024 5:00 PM", "2024-01-02 17:00:00"), ("1/2/2024 12:00 am", "2024-01-02 00:00:00"), ("1/2/2024 12:30 p.m.", "2024-01-02 12:30:00"),
+    ("5 September 2023, 7:08:09.250", "2023-09-05 07:08:09.250000"), ("Sept. 5th, 2023", "2023-09-05 00:00:00"), ("1.2.1999", "1999-01-02 00:00:00"),
+    ("1/2/69", "1969-01-02 00:00:00"), ("1/2/68", "2068-01-02 00:00:00"), ("2024-01-02T03:04:05+01:00", "2024-01-02 02:04:05"),
+    ("2/1/2024 3:04 +0130", "2024-02-01 01:34:00"), (" 2024-1-2 ", "2024-01-02 00:00:00"),
+    ("31/4/2024", None), ("14/14/2024", None), ("1/2/2024 13:00 PM", None), ("1/2/2024 25:00", None), ("Jon 5, 2024", None), ("2024", None),
+    ("12", None), ("", None), (None, None), ("20241301", None), ("1/2/024", None),
+])
+def test_spellings_of_moments(spark, text, moment):
+    found = one(spark, moments.moment_or_missing(F.col("t").cast("string")), t=text)
+    assert (None if found is None else str(found)) == moment
+
+
+def test_a_column_shows_whether_the_day_comes_first(spark):
+    def read(*texts):
+        table = spark.createDataFrame([(t,) for t in texts], "t string")
+        return [None if r[0] is None else str(r[0])[:10] for r in table.select(moments.inferred_moment(table, "t")).collect()]
+
+    assert read("1/2/2024", "3/4/2024") == ["2024-01-02", "2024-03-04"]
+    assert read("1/2/2024", "13/4/2024") == ["2024-02-01", "2024-04-13"]
+    assert read("1/2/2024", "13/4/2024", "4/13/2024") == ["2024-01-02", "2024-04-13", "2024-04-13"]
+    assert read(None, "x") == [None, None]
+    found = spark.createDataFrame([("1/2/2024",), ("Jan 5, 2024",), ("nonsense",), ("31/4/2024",), ("",), (None,)], "t string")
+    assert {r["spelling"]: r["rows"] for r in moments.spellings(found, "t").collect()} == {"numbers": 1, "month name and day": 1, "unread": 2}
