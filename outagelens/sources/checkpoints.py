@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; without that setting, a folder beside the warehouse's tables.
+    """The folder that spark.checkpoint.dir names, or that the session has been given; all executors must see it.
 
-    Both are shared by all executors of a cluster.
+    Only a local session, whose executors are the driver, gets a temporary folder where none is named.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    folder = folder or context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_outagelens"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="outagelens-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -46,7 +52,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_kept: dict[tuple, tuple] = {}
+_kept: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def source_state(spark: SparkSession, folder: str) -> tuple:
@@ -60,8 +66,8 @@ def source_state(spark: SparkSession, folder: str) -> tuple:
 
 
 def kept(spark: SparkSession, folder: str, name: str, make: Callable):
-    """make(), once in a session for each name and state of the folder's tables."""
-    key, state = (spark, folder, name), source_state(spark, folder)
-    if key not in _kept or _kept[key][0] != state:
-        _kept[key] = (state, make())
-    return _kept[key][1]
+    """make(), once in a session for each name and state of the folder's tables; forgotten with the session."""
+    held, key, state = _kept.setdefault(spark, {}), (folder, name), source_state(spark, folder)
+    if key not in held or held[key][0] != state:
+        held[key] = (state, make())
+    return held[key][1]

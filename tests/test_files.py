@@ -1,5 +1,7 @@
 import csv
+import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from outagelens import fixed_values as fixed
 from outagelens.plans import audits
 from outagelens.plans.cleaning import Cleaning, audit_extracts
 from outagelens.sources import files
-from outagelens.sources.checkpoints import checkpointed, stored
+from outagelens.sources.checkpoints import checkpointed, shared_folder, stored
 from outagelens.sources.regions import regions_with_volume
 
 HEADER = [*fixed.REQUIRED_COLUMNS, "Extra"]
@@ -192,3 +194,15 @@ def test_a_cell_of_too_many_lines_is_listed_line_by_line(spark, tmp_path, monkey
     path.write_text("\n".join(["id\tcell", '1\t"a', *["more of it"] * 30, 'end"', '2\t"b', 'c"', "3\td"]))
     assert sorted(r["id"] for r in files._delimited(spark, str(path), "\t").collect()) == ["2", "3"]
     assert files.bad_lines(spark, str(path)).count() == 32
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    def session(master, **named):
+        context = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: named.get("folder", default)))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+        assert shared_folder(session(master, folder="s3://bucket/shared")) == "s3://bucket/shared"
+    assert os.path.isdir(shared_folder(session("local[8]"))) and os.path.isdir(shared_folder(session("local")))
