@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outagelens.llm.shared import bounded_batches, carried, labelled_sample, sample_arrays
+from outagelens.llm.shared import bounded_batches, carried, first_rows, labelled_sample, sample_arrays
 
 #: Hashed features.
 BUCKETS = 1 << 16
 #: The grades that the two labels amount to: 0 poor, 1 fair (good text, but toxic), 2 good.
 GRADES = 3
-#: Rated rows that are learned from, at most, chosen by hashed id. One row has 3 x BUCKETS features at most.
-LEARN_ROWS = 8_000
+#: Rated rows that are learned from, at most, chosen by hashed id and text, and the features that one may have.
+LEARN_ROWS, LEARN_FEATURES = 8_000, 10_000
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.5, 1e-5
 #: Words that count as near for the repetition feature.
 NEAR = 8
@@ -126,7 +126,10 @@ def _slopes(score: np.ndarray, grades: np.ndarray, thresholds: np.ndarray) -> tu
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of rated documents, learned on the driver from the hashed features of at most LEARN_ROWS rows."""
+    """The model of rated documents, learned on the driver from a bounded sample.
+
+    At most LEARN_ROWS rows of up to LEARN_FEATURES hashed features: a bound of 8 bytes x both numbers.
+    """
     bounded_batches(docs.sparkSession)
     rated = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
     sample = labelled_sample(docs, rated, "grade", LEARN_ROWS)
@@ -138,8 +141,9 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
             [pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
             ["buckets", "shares"])
 
-    rows = sample.select("doc_id", "grade", F.explode(F.array(hashed(F.col("text")))).alias("found")).select(
-        "doc_id", "grade", "found.*").toArrow().sort_by([("doc_id", "ascending")])
+    found = sample.select("doc_id", "text_hash", "grade", F.explode(F.array(hashed(F.col("text")))).alias("found")).select(
+        "doc_id", "text_hash", "grade", "found.*")
+    rows = first_rows(found.filter(F.size("buckets") <= LEARN_FEATURES), LEARN_ROWS)
     return fitted(list(zip(sample_arrays(rows["buckets"]), sample_arrays(rows["shares"]))), rows["grade"].to_numpy().astype(np.int64))
 
 

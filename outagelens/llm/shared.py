@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import pickle
 import sys
-import tempfile
 import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outagelens.sources.checkpoints import shared_folder
+
 #: The characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -28,18 +30,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only a session that names none, as in tests, gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 def stored(table: DataFrame, label: str) -> DataFrame:
     """The table, written once to the shared folder and read back: its lineage ends there.
 
@@ -47,7 +37,7 @@ def stored(table: DataFrame, label: str) -> DataFrame:
     decides whether it is broadcast. The folder is removed when the session ends.
     """
     spark = table.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     table.write.parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -77,15 +67,22 @@ def fold(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """docs with the label, for at most `rows` documents that have one: the first by hashed id.
+    """docs with the label, and text_hash, for at most `rows` document ids that have one: the first by hashed id.
 
     Rows that repeat a label's id count once, with the larger label. The ids are a proven bound, so they are
-    broadcast and no text is shuffled. A document id that is there more than once gives as many rows.
+    broadcast and no text is shuffled. An id that is there more than once gives as many rows: `first_rows` bounds them.
     """
     chosen = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.max(label).alias(label)))
     there = chosen.join(docs.select("doc_id"), "doc_id", "left_semi")
-    return docs.join(F.broadcast(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)), "doc_id")
+    ids = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(ids), "doc_id")
+
+
+def first_rows(learning: DataFrame, rows: int) -> pa.Table:
+    """The first `rows` rows of features (doc_id, text_hash, ...) by hashed id and text, on the driver, in that order."""
+    order = [F.xxhash64("doc_id"), "doc_id", "text_hash"]
+    return learning.orderBy(*order).limit(rows).toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
 
 
 def sample_arrays(lists) -> list[np.ndarray]:
