@@ -19,6 +19,8 @@ ESCAPE = "\\"
 LEARNED = ("assistant",)
 #: Code points of one delta event, where whole texts are turned into a log.
 DELTA = 512
+#: The type of sequence numbers.
+SEQUENCE = "decimal(38,0)"
 
 _STARTS = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _TURN = re.compile(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", re.DOTALL)
@@ -59,8 +61,9 @@ def events_of(turns: DataFrame) -> DataFrame:
     twin = F.concat(digest, F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
     streamed = turns.withColumn("twin", twin).select("conv_id", F.col("turn").alias("message"), "twin",
                             F.coalesce("role", F.lit("")).alias("role"), F.posexplode(pieces).alias("piece", "text"))
-    seq = F.coalesce("message", F.lit(0)) * (1 << 32) + F.col("piece")
-    return streamed.select("conv_id", "message", "twin", seq.cast("long").alias("seq"),
+    # Any turn number times any number of pieces: more than 64 bits.
+    seq = F.coalesce("message", F.lit(0)).cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("piece")
+    return streamed.select("conv_id", "message", "twin", seq.cast(SEQUENCE).alias("seq"),
                            F.when(F.col("piece") == 0, "open").otherwise("delta").alias("kind"), "role", "text")
 
 
@@ -83,7 +86,7 @@ def formatted(events: DataFrame) -> DataFrame:
         events = events.withColumn("twin", F.lit(""))
     log = events.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("message").cast("long").alias("message"),
-        F.coalesce("twin", F.lit("")).alias("twin"), F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"),
+        F.coalesce("twin", F.lit("")).alias("twin"), F.coalesce(F.col("seq").cast(SEQUENCE), F.lit(-1).cast(SEQUENCE)).alias("seq"),
         F.col("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     bounded_batches(events.sparkSession)
     dealt = log.repartition("conv_id").sortWithinPartitions("conv_id", "message", "twin", "seq", "kind", "text")
