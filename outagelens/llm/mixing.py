@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outagelens.llm.shared import SPACES
+from outagelens.llm.shared import SPACES, stored
 
 #: Weights that the sources, in code point order with null last, take in turn.
 WEIGHTS = (5, 2, 1)
 #: A source's target stops at so many times its size.
 MOST = 3
-#: Blocks that one size class of one source is dealt over by document id.
+#: Blocks that one size class of one source is dealt over by document id and text.
 BLOCKS = 256
 
 
@@ -25,6 +25,12 @@ def unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("\0")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
+def own_hash(doc_id: Column, text: Column) -> Column:
+    """A hash of a row's id and text; rows equal in both share it."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))]
+    return F.md5(F.concat_ws("/", *parts).cast("binary"))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """A target for each row of `sizes` (source, source_size), one row per source.
 
@@ -54,29 +60,29 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame
     """row (all columns of docs), size, source_size, target and copies (long) of every row of docs (doc_id, text, source, ...).
 
     Every document of a source expects target / source size copies. Documents are ordered within their source by size
-    class, block, size, hashed id, id and hashed text, expected copies are summed along that order, and a document is
+    class, block, size and a hash of id and text, expected copies are summed along that order, and a document is
     emitted once for each integer that its interval crosses; one offset per source shifts all intervals. So a
     document gets the rounded-down or rounded-up expected number, never over `most`, and sizes are evenly covered.
     The order depends on values only, so reruns agree; rows that agree in all of these are interchangeable.
 
-    The prefix sum has two levels: positions within blocks (source, size class, hashed id), and totals of the blocks
-    before, from a table of counts. A source with a third of all rows is dealt over all its blocks.
+    The prefix sum has two levels: positions within blocks (source, size class, hashed id and text), and totals of the
+    blocks before, from a table of counts, stored once. A source with a third of all rows is dealt over all its blocks,
+    whether or not its rows have ids.
     Null text has size 0; a null source is a source of its own, the last. A source without words gets no copies.
     An empty table gives an empty one. Other columns travel within `row`, so their names cannot clash.
     """
     block = ["source_key", "size_class", "size_head", "block"]
-    order = ["size", "id_hash", "doc_id", "text_hash"]
+    order = ["size", "own_hash"]
     bits = F.bin(F.col("size"))
     sized = (
         docs.select(
             F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"),
-            F.xxhash64("text").alias("text_hash"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("id_hash"))
+            own_hash(F.col("doc_id"), F.col("text")).alias("own_hash"))
         .withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("none")))
         .withColumn("size_class", F.length(bits)).withColumn("size_head", F.substring(bits, 1, 4))
-        .withColumn("block", F.conv(F.substring("id_hash", 1, 4), 16, 10).cast("int") % BLOCKS)
+        .withColumn("block", F.conv(F.substring("own_hash", 1, 4), 16, 10).cast("int") % BLOCKS)
     )
-    counts = sized.groupBy("source", *block).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    counts = stored(sized.groupBy("source", *block).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "blocks")
     along = Window.partitionBy("source_key").orderBy(*block[1:])
     starts = counts.withColumn("before", F.sum("n").over(along) - F.col("n"))
     sizes = counts.groupBy("source_key", "source").agg(F.sum("words").cast("long").alias("source_size"))
@@ -106,7 +112,7 @@ def report(docs: DataFrame) -> DataFrame:
 REPORT_SQL = """
 WITH sized AS (
   SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS h
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
@@ -129,7 +135,7 @@ WITH sized AS (
 ), ranked AS (
   SELECT s.*, row_number() OVER (
            PARTITION BY source
-           ORDER BY length(bin(size)), substr(bin(size), 1, 4), CAST('0x' || substr(h, 1, 4) AS BIGINT) % 256, size, h, doc_id) AS r
+           ORDER BY length(bin(size)), substr(bin(size), 1, 4), CAST('0x' || substr(h, 1, 4) AS BIGINT) % 256, size, h) AS r
   FROM sized s
 )
 SELECT doc_id, size, targets.source_size, targets.target,
