@@ -23,15 +23,14 @@ def line_keys(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, site, line) for the distinct lines of every document that hold a word.
+    """(doc_id, text_hash, site, place, line) for the lines of every document that hold a word; places count from 0.
 
     A null source is a site of its own.
     """
     site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("none"))
-    keys = F.filter(F.array_distinct(line_keys(F.col("text"))), lambda x: x.isNotNull())
     # Two steps, so that a text is hashed once and not for each of its lines.
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), site.alias("site"), keys.alias("keys"))
-    return hashed.select("doc_id", "text_hash", "site", F.explode("keys").alias("line"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), site.alias("site"), line_keys(F.col("text")).alias("keys"))
+    return hashed.select("doc_id", "text_hash", "site", F.posexplode("keys").alias("place", "line")).filter(F.col("line").isNotNull())
 
 
 def boilerplate(found: DataFrame, sites: int = SITES) -> DataFrame:
@@ -65,18 +64,21 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """
     found = stored(lines(docs.select("doc_id", "source", "text")), "lines")
     spread = stored(boilerplate(found, sites), "boilerplate")
-    numbered = found.select("doc_id", "text_hash", "line")
+    numbered = found.select("doc_id", "text_hash", "place", "line")
     hits = numbered.join(spread, "line").filter(F.col("first_doc").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    own = hits.select(_id(F.col("doc_id"), F.col("text_hash")).alias("id"), "line")
-    removed = stored(own.groupBy("id").agg(F.collect_set("line").alias("gone")), "hits")
+    own = hits.select(_id(F.col("doc_id"), F.col("text_hash")).alias("id"), "place")
+    removed = stored(own.groupBy("id").agg(F.collect_set("place").alias("gone")), "hits")
     # One plan at every size: the documents that lose lines grow with the input, so they are never broadcast.
     rows = docs.select(F.struct("*").alias("row"), _id(F.col("doc_id"), F.xxhash64("text")).alias("id")).join(removed.hint("merge"), "id", "left")
     text = F.col("row.text")
-    split = F.arrays_zip(F.split(text, "\n").alias("line"), line_keys(text).alias("key"))
-    stay = F.filter(split, lambda x: x["key"].isNull() | ~F.array_contains(F.col("gone"), x["key"]))
-    return rows.withColumn("stay", F.when(F.col("gone").isNotNull(), stay["line"])).select(
-        "row", F.when(F.col("stay").isNull(), text).otherwise(F.array_join("stay", "\n")).alias("text"),
-        F.when(F.col("stay").isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n")) - F.size("stay")).cast("long").alias("lines_removed"))
+    # The difference of two arrays is hashed, so a document's work grows with its lines, however many of them go.
+    cut = rows.withColumn("split", F.when(F.col("gone").isNotNull(), F.split(text, "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))
+    stay = cut.withColumn("left", F.when(F.col("split").isNotNull(), left))
+    return stay.select(
+        "row", F.when(F.col("left").isNull(), text).otherwise(
+            F.array_join(F.transform("left", lambda place: F.get("split", place)), "\n")).alias("text"),
+        F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.size("split") - F.size("left")).cast("long").alias("lines_removed"))
 
 
 def _id(doc_id: Column, text_hash: Column) -> Column:
