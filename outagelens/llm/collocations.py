@@ -21,8 +21,8 @@ TOP = 2000
 HEAD = 1 << 18
 #: Ids on a side of a tile, and the share of its cells that its pairs must reach for it to be counted as an array.
 TILE, DENSE = 256, 0.25
-#: Pairs that a task counts at a time, and distinct words that it holds.
-PAIRS, WORDS = 3_000_000, 300_000
+#: Pairs that a task counts at a time, distinct words that it holds, and rows that it hands over at a time.
+PAIRS, WORDS, ROWS = 2_000_000, 200_000, 100_000
 #: Bytes of text that are cut into words at a time.
 PORTION = 1 << 20
 #: Codes from here on are hashes.
@@ -237,9 +237,11 @@ def longer(codes: DataFrame, levels: list[Level], least: int = LEAST) -> DataFra
         size: Counter = Counter()
 
         def rows(lang):
-            p, w, often = tiled(*(np.concatenate(x) for x in zip(*held.pop(lang))))
             del size[lang]
-            return pa.record_batch([pa.array([lang] * len(p), pa.string()), pa.array(p), pa.array(w), pa.array(often)], ["lang", "p", "w", "f"])
+            counts = tiled(*(np.concatenate(x) for x in zip(*held.pop(lang))))
+            for at in range(0, len(counts[0]), ROWS):
+                p, w, often = (x[at:at + ROWS] for x in counts)
+                yield pa.record_batch([pa.array([lang] * len(p), pa.string()), pa.array(p), pa.array(w), pa.array(often)], ["lang", "p", "w", "f"])
 
         for batch in batches:
             for lang, own in zip(batch.column("lang").to_pylist(), batch.column("codes")):
@@ -255,9 +257,9 @@ def longer(codes: DataFrame, levels: list[Level], least: int = LEAST) -> DataFra
                 size[lang] += int(some.sum())
                 if sum(size.values()) >= PAIRS:
                     for each in list(held):
-                        yield rows(each)
+                        yield from rows(each)
         for each in list(held):
-            yield rows(each)
+            yield from rows(each)
 
     return codes.mapInArrow(counted, "lang string, p long, w long, f long").groupBy("lang", "p", "w").agg(
         F.sum("f").alias("f")).filter(F.col("f") >= least)
