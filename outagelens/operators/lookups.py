@@ -19,6 +19,56 @@ def lookup_left(df: DataFrame, dimension: DataFrame, match: Column, attributes:
     )
 
 
+#: Keys that the sketch of frequent keys tracks, and those of them that it tells.
+TRACKED, TOLD = 10_000, 100
+
+
+def frequent_keys(df: DataFrame, key: str) -> Column:
+    """An array of the keys with so many rows that one of them alone fills a shuffle partition, or nearly so.
+
+    A frequent-items sketch of fixed size, merged from the tasks' own: no shuffle of rows and no count per key.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = f"`{key}`"
+    top = F.expr(f"approx_top_k(cast({named} AS string), {TOLD}, {TRACKED})")
+    found = df.where(F.col(named).isNotNull()).agg(top.alias("top"), F.count("*").alias("rows"))
+    often = F.filter("top", lambda one: one["count"] * parts >= F.col("rows"))
+    return found.select(F.transform(often, lambda one: one["item"])).scalar()
+
+
+def lookup_spread(
+    df: DataFrame, dimension: DataFrame, key: tuple[str, str], attributes: list[str], default: str, hot: Column, by: list[str],
+    among: Column | None = None,
+) -> DataFrame:
+    """Left lookup for a dimension too large to broadcast; rows without a match, or not `among` those looked up, get the default.
+
+    `key` names the key in df and in the dimension, `hot` is an array of frequent keys. Rows of a hot key are dealt over
+    all partitions by the columns `by`, and its few dimension rows are copied to each; other rows are joined as usual.
+    All in one join, so an ordinary key costs nothing.
+    """
+    own, other = key
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def is_hot(column: str) -> Column:
+        return F.coalesce(F.array_contains(hot, F.col(f"`{column}`").cast("string")), F.lit(False))
+
+    dealt = df.withColumn("_salt", F.when(is_hot(own), F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")).otherwise(0))
+    everywhere = F.when(is_hot(other), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    copies = dimension.select(
+        F.col(f"`{other}`").alias("_key"), F.explode(everywhere).alias("_part"), *[F.col(a).alias(f"_of_{a}") for a in attributes])
+    same = (F.col(f"`{own}`") == F.col("_key")) & (F.col("_salt") == F.col("_part"))
+    joined = dealt.join(copies, same if among is None else same & among, "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(F.col(f"_of_{a}"), F.lit(default)).alias(a) for a in attributes])
+
+
+def may_be_broadcast(df: DataFrame) -> bool:
+    """Whether Spark expects a table to be below the session's limit for broadcasts."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    expected = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(expected)) <= int(limit)
+
+
 def unmatched(df: DataFrame, dimension: DataFrame, match: Column, columns: list[str]) -> DataFrame:
     """Distinct rows that have no partner in the dimension."""
     return df.join(dimension, match, "left_anti").select(*columns).dropDuplicates()

@@ -21,7 +21,7 @@ from outagelens.operators.dedupe import DUPLICATE_STEP, first_failed_step, keep_
 from outagelens.operators.inference import (
     Compared, Keep, as_is, compare, default_stop_words, fill_from_text, inference_log, low_confidence,
 )
-from outagelens.operators.lookups import lookup_left, settled, unmatched
+from outagelens.operators.lookups import frequent_keys, lookup_left, lookup_spread, may_be_broadcast, settled, unmatched
 from outagelens.sources.checkpoints import stored
 from outagelens.sources.files import require_columns
 
@@ -173,8 +173,18 @@ def site_match(df: DataFrame, sites: DataFrame) -> Column:
     return (df["Area"] == sites["PLAID"]) & (df["Region"] == fixed.ZONED_REGION)
 
 
-def with_site(df: DataFrame, sites: DataFrame) -> DataFrame:
-    return lookup_left(df, sites, site_match(df, sites), ["AssignArea", "AssignCity"], "Unknown")
+def with_site(df: DataFrame, sites: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Zone and city of each ticket's site.
+
+    Where the sites are too many to broadcast, areas with very many tickets, as a sketch of the areas of `shown` finds
+    them, are dealt over all partitions; `shown` is a table that costs less to read than the tickets at hand.
+    """
+    attributes = ["AssignArea", "AssignCity"]
+    if may_be_broadcast(sites):
+        return lookup_left(df, sites, site_match(df, sites), attributes, "Unknown")
+    hot = frequent_keys(df if shown is None else shown, "Area")
+    zoned = F.col("Region") == fixed.ZONED_REGION
+    return lookup_spread(df, sites, ("Area", "PLAID"), attributes, "Unknown", hot, ["TICKETID"], zoned)
 
 
 def hide_places(df: DataFrame) -> DataFrame:
@@ -317,7 +327,7 @@ class Cleaning:
         stage["standard"] = standardise(stage["caused"])
         stage["usable"] = drop_unusable(stage["standard"], STANDARD_CAUSE)
         stage["placed"] = with_region(stage["usable"])
-        stage["sited"] = with_site(keep_regions(stage["placed"]), self.sites)
+        stage["sited"] = with_site(keep_regions(stage["placed"]), self.sites, self.raw)
         stage["modelled"] = model_service(hide_places(stage["sited"]), shown=self.raw)
         scoped = stage["modelled"]
         if self.region_scope:

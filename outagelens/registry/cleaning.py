@@ -222,6 +222,34 @@ def reclassified_unknowns(spark, folder):
     return rows.groupBy("Original_RFO", "Standardized RFO", "NEType").agg(F.count("*").alias("tickets"))
 
 
+@query("reclassified_labels", """
+SELECT "Standardized RFO", count(*) AS tickets FROM standard
+WHERE "Urgency" = 1 AND "Standardized RFO" IS DISTINCT FROM 'UNKNOWN-Under Investigation' GROUP BY ALL""")
+def reclassified_labels(spark, folder):
+    """The audit on tickets whose recorded cause was unknown, in one spelling or another, before the standard gave it a label."""
+    rows = cleaning_view(spark, folder).stages["standard"]
+    recorded = F.when(F.col("Urgency") == 1, F.when(F.col("Priority") == 1, "UNKNOWN Under Investigation").otherwise("unknown under investigation"))
+    found = cleaning.reclassified(rows.withColumn("Original_RFO", F.coalesce(recorded, F.lit("power"))))
+    return found.groupBy("Standardized RFO").agg(F.count("*").alias("tickets"))
+
+
+@query("given_verdicts", """
+SELECT verdicts, "Priority_Urgency", count(*) AS tickets,
+       CAST(sum(CASE verdicts WHEN 'complete' THEN CAST("OUTAGEDURATION" AS BIGINT) % 2 ELSE "SLA_Compliant" END) AS BIGINT) AS compliant
+FROM clean CROSS JOIN (VALUES ('complete'), ('incomplete')) AS given(verdicts) GROUP BY ALL""")
+def given_verdicts(spark, folder):
+    """Verdicts that the raw table brings, as text, count where every row has one; else all are worked out."""
+    odd = F.col("OUTAGEDURATION").cast("long") % 2
+    given = {"complete": odd.cast("double").cast("string"), "incomplete": F.when(odd == 1, "1")}
+    every = None
+    for name, verdict in given.items():
+        run = cleaning.Cleaning(raw_tickets(spark, folder).withColumn("SLA_Compliant", verdict), sites(spark, folder), ARRIVAL_ORDER, infer=False)
+        one = run.stages["modelled"].groupBy(F.lit(name).alias("verdicts"), "Priority_Urgency").agg(
+            F.count("*").alias("tickets"), F.sum("SLA_Compliant").alias("compliant"))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
 @query("fibre_audit", f"""
 SELECT "TICKETID", "RFODescription", "Urgency", "Standardized RFO" FROM standard
 WHERE "Standardized RFO" IN ({values(fixed.FIBRE_CAUSES)})""")

@@ -1,9 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from outagelens import fixed_values as fixed
 from outagelens.functions.nulls import absent_or, differs, not_in, present_and
 from outagelens.operators import quality
 from outagelens.operators.dedupe import cleaning_funnel, keep_first
+from outagelens.operators.lookups import frequent_keys
 from outagelens.plans import cleaning
 from outagelens.plans.cleaning import Cleaning, audit_extracts, clean_tickets
 from outagelens.schemas import CLEAN_TICKETS
@@ -189,3 +191,32 @@ def test_counts_are_recorded_while_the_table_is_written(spark, sample_raw, sampl
     assert cleaning.recorded_retention(spark, counts).collect() == share and share[0]["initial_rows"] == 15
     nothing = dict.fromkeys(counts, 0)
     assert cleaning.recorded_retention(spark, nothing).first()["retained_pct"] is None
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_an_area_with_a_third_of_all_tickets_is_dealt_over_the_partitions(spark, no_broadcast):
+    tickets = spark.range(30_000).selectExpr(
+        "concat('T', id) AS TICKETID", "if(id % 3 = 0, 'HOT', if(id % 97 = 1, NULL, concat('A', id % 500))) AS Area",
+        f"if(id % 7 = 0, 'Region 1', '{fixed.ZONED_REGION}') AS Region")
+    sites = spark.range(400).selectExpr("concat('A', id) AS PLAID", "concat('Z', id) AS AssignArea", "concat('C', id) AS AssignCity").union(
+        spark.createDataFrame([("HOT", "ZONE 9", "SPOT")], "PLAID string, AssignArea string, AssignCity string"))
+    assert tickets.select(frequent_keys(tickets, "Area").alias("hot")).first()["hot"] == ["HOT"]
+    found = cleaning.with_site(tickets, sites)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "_salt" in plan and "Broadcast" not in plan
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    plain = cleaning.lookup_left(tickets, sites, cleaning.site_match(tickets, sites), ["AssignArea", "AssignCity"], "Unknown")
+    unsplit = [r["count"] for r in plain.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 30_000 / 16 and max(unsplit) > 10_000
+    assert set(map(tuple, found.collect())) == set(map(tuple, plain.collect()))
+    assert found.count() == 30_000
