@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from outagelens import fixed_values as fixed
 from outagelens.functions import service
 from outagelens.functions import moments
-from outagelens.functions.text import clean_text, closest_label, prepared_text
+from outagelens.functions.text import clean_text, prepared_text
 from outagelens.operators import quality
 from outagelens.operators.dedupe import cleaning_funnel, keep_first
+from outagelens.operators.fuzzy import with_closest_label
 from outagelens.operators.lookups import unmatched
 from outagelens.operators.quantiles import grouped_quantiles
 from outagelens.plans import cleaning
@@ -280,7 +281,7 @@ SELECT c_custkey, CASE WHEN score >= 85 THEN label ELSE 'Uncategorized' END AS l
 def closest(spark, folder):
     text = "lower(substring(c_mktsegment, 1, length(c_mktsegment) - cast(c_custkey % 4 AS int)))"
     customers = table(spark, folder, "customer").selectExpr("c_custkey", f"{text} AS text")
-    return customers.select("c_custkey", F.expr(closest_label("text", SEGMENTS, 85, "Uncategorized")).alias("label"))
+    return with_closest_label(customers, "text", SEGMENTS, 85, "Uncategorized", "label").select("c_custkey", "label")
 
 
 @query("site_lookup", """

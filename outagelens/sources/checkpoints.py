@@ -39,17 +39,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """The table written once as Parquet below the shared folder, and read back with column pruning.
 
+    With `by`, files hold one value of that column each, and a filter on it reads only theirs.
     The folder goes when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     place, system = _path(spark, path)
     system.deleteOnExit(place)
-    return spark.read.parquet(path)
+    if by is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{name}`" for name in df.columns])
 
 
 _kept: WeakKeyDictionary = WeakKeyDictionary()

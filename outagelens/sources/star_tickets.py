@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from outagelens.functions.rules import case_when, literal, lookup
 from outagelens.plans.cleaning import Cleaning, recorded, watched
 from outagelens.sources.checkpoints import kept, stored
+from outagelens.sources.files import CLUSTERED, clustered
 
 # The copy of a repeated ticket that counts as first.
 ARRIVAL_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax"]
@@ -190,7 +191,7 @@ def written_clean(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str
     """Clean tickets as a stored table and the counts of its cleaning, both from one run per session and state of the tables."""
     def write():
         run = Cleaning(raw_tickets(spark, folder), sites(spark, folder), ARRIVAL_ORDER, infer=False, seen=watched())
-        return stored(run.clean, "clean-tickets"), recorded(run)
+        return stored(clustered(run.clean), "clean-tickets", by=CLUSTERED), recorded(run)
 
     return kept(spark, folder, "clean-tickets", write)
 

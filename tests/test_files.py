@@ -97,6 +97,9 @@ def test_write_and_read_back(spark, sample_clean, tmp_path):
     path = str(tmp_path / "clean")
     assert files.write_table(sample_clean, path, partition_by=["ZONE"]) == 22
     back = files.read_clean(spark, path)
+    assert files.write_clean(sample_clean, str(tmp_path / "clustered")) == 22
+    again = files.read_clean(spark, str(tmp_path / "clustered"))
+    assert again.columns == back.columns and sorted(map(repr, again.collect())) == sorted(map(repr, back.collect()))
     assert back.count() == 22 and dict(back.dtypes)["Priority_Urgency"] == "string"
     assert files.write_table(sample_clean.limit(3), str(tmp_path / "csv"), "csv") == 3
 
