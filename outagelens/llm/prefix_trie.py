@@ -193,3 +193,38 @@ def report(conversations: DataFrame) -> DataFrame:
     turns = stored(rebuilt(conversations), "turns")
     return trie(turns).select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+#: What DuckDB says of the same rows.
+REPORT_SQL = """
+WITH numbered AS (
+  SELECT conv_id, turn, coalesce(text, '') AS t, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(m ORDER BY turn NULLS FIRST, m) AS ms, list(length(t) ORDER BY turn NULLS FIRST, m) AS cs
+  FROM numbered GROUP BY conv_id
+), hashed AS (  -- crc32, bit by bit
+  SELECT *, CAST(xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                               lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 6 AS BIGINT) AS h
+  FROM own
+), built AS (
+  SELECT o.conv_id, list_concat(coalesce(b.ms[1:o.h], []), o.ms[o.h + 1:]) AS ms, list_concat(coalesce(b.cs[1:o.h], []), o.cs[o.h + 1:]) AS cs
+  FROM hashed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), placed AS (SELECT *, unnest(range(0, len(ms) + 1)) AS depth FROM built),
+members AS (
+  SELECT conv_id, depth, array_to_string(ms[1:depth], '') AS node, CASE WHEN depth > 0 THEN cs[depth] ELSE 0 END AS chars, depth = len(ms) AS ended
+  FROM placed
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM members GROUP BY node, depth
+), children AS (SELECT substr(node, 1, 32 * (depth - 1)) AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+up AS (
+  SELECT substr(n.node, 1, 32 * k) AS node, c.n IS NULL AS leaf, (n.n_convs - 1) * n.chars AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM nodes) n LEFT JOIN children c ON c.node = n.node
+), totals AS (SELECT node, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t ON t.node = n.node LEFT JOIN children c ON c.node = n.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.node = substr(n.node, 1, 32 * (n.depth - 1))
+"""

@@ -65,4 +65,4 @@ QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_quality_grades, op4_qu
                                  op9_simhash, op10_mixing, op11_substrings, op12_collocations, op13_prefix_trie)}
 
 ORACLE_SQL = {"op5_line_dedup": line_spread.REPORT_SQL, "op10_mixing": mixing.REPORT_SQL,
-              "op12_collocations": collocations.REPORT_SQL}
+              "op12_collocations": collocations.REPORT_SQL, "op13_prefix_trie": prefix_trie.REPORT_SQL}
