@@ -6,7 +6,6 @@ import hashlib
 import json
 import os
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import chain, takewhile
@@ -41,8 +40,8 @@ SPLITTING_NORMALIZER = {"type": "Sequence", "normalizers": [
 SPLITTING_PATTERN = {"type": "Split", "pattern": {
     "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
-#: What a key of a run begins with, if not the run as given: no text's bytes begin so. A normalised run; plain ids.
-NORMALISED, IDS = b"\xfe", b"\xff"
+#: What a key begins with that holds ids and not a run: no text's bytes begin so.
+IDS = b"\xff"
 
 
 class Codec:
@@ -53,9 +52,10 @@ class Codec:
     depends on its neighbourhood only, so that long texts can be encoded in parts and joined. Where either does not
     hold, whole texts go to the library.
 
-    Long texts are cut at special tokens, which are looked for in the raw text, and normalised as a whole before they
-    are halved: a normaliser may reorder any number of marks. Parts of them go to a tokenizer without normaliser and
-    without special tokens.
+    Long texts are halved between runs, and each join is held against a window that is encoded anew. What has no place
+    to cut, a long run or any long text of a tokenizer that keeps white space, is cut at special tokens, which are looked
+    for in the raw text, and normalised as a whole before it is halved: a normaliser may reorder any number of marks.
+    Its parts go to a tokenizer without normaliser and without special tokens.
     """
 
     def __init__(self, definition: str, leaf: int = LEAF, window: int = WINDOW):
@@ -85,10 +85,12 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets, one more than texts, into the ids of all texts."""
-        runs = [self._runs(t) for t in texts]
+        found = [self._runs(t) for t in texts]
+        runs = [own for own, _ in found]
         if len(self.known) > REMEMBERED or len(self.flat[2]) > 40 * REMEMBERED:
             self._forget()
         self._learn(set().union(*runs).difference(self.known))
+        self._join([(own, at) for own, joins in found for at in joins])
         places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(runs)), np.int64)
         starts, ends, flat = self.flat
         lengths = ends[places] - starts[places]
@@ -96,13 +98,39 @@ class Codec:
         ids = flat[np.repeat(starts[places] - before[:-1], lengths) + np.arange(before[-1])]
         return before[np.concatenate(([0], np.cumsum([len(own) for own in runs], dtype=np.int64)))], ids
 
-    def _runs(self, text: str | None) -> list[bytes]:
-        """The keys of the runs that a text is made of."""
+    def _runs(self, text: str | None) -> tuple[list[bytes], list[int]]:
+        """The keys of the runs that a text is made of, and the runs that a leaf of a long text begins with.
+
+        Where runs are independent, leaves are cut between them: no normaliser reaches across white space. A run that is
+        longer than a leaf has a tree of its own, and so has a long text of a tokenizer that keeps white space.
+        """
         if not text:
-            return []
-        if len(text) > self.leaf and self.local:
-            return self.tree(text)
-        return text.encode().split() if self.splits else [text.encode()]
+            return [], []
+        long = len(text) > self.leaf
+        if not self.splits:
+            return (self.tree(text) if long and self.local else [text.encode()]), []
+        runs = text.encode().split()
+        if not long:
+            return runs, []
+        if max(map(len, runs), default=0) > self.leaf:
+            runs = list(chain.from_iterable(self.tree(r.decode()) if len(r.decode()) > self.leaf else (r,) for r in runs))
+        parts = 1 << (-(-len(text) // self.leaf) - 1).bit_length()
+        return runs, sorted({len(runs) * k // parts for k in range(1, parts)} - {0})
+
+    def _join(self, joins: list[tuple[list[bytes], int]]) -> None:
+        """Hold a window around each join, encoded anew as one piece, against both sides; double it until they agree."""
+        window = self.window
+        while joins:
+            spans = [(own, _reach(own, at, -1, window), _reach(own, at, 1, window)) for own, at in joins]
+            texts = [b" ".join(own[a:b]).decode() for own, a, b in spans]
+            again = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            left = []
+            for join, (own, a, b), ids in zip(joins, spans, again):
+                if ids != list(chain.from_iterable(map(self._ids, own[a:b]))):
+                    left.append((join, own, a, b, ids))
+            joins, window = [join for join, *_ in left], 2 * window
+            if any(own[a:b] == own for _, own, a, b, _ in left):
+                raise ValueError("White space does not end the tokens of this tokenizer")
 
     def _learn(self, runs: set[bytes]) -> None:
         """Remember the ids of these runs, and of the parts they are cut into. The library encodes each part once."""
@@ -111,11 +139,8 @@ class Codec:
         parts = {run: _parts(run) if self.splits else (run,) for run in runs if run[:1] != IDS}
         found = {run: np.frombuffer(run[1:], np.int32).tolist() for run in runs if run[:1] == IDS}
         pieces = list(set(chain.from_iterable(parts.values())).difference(self.known))
-        raw = [p for p in pieces if p[:1] != NORMALISED]
-        own = [p for p in pieces if p[:1] == NORMALISED]
-        for some, tokenizer, skip in ((raw, self.tokenizer, 0), (own, self.plain, 1)):
-            encoded = tokenizer.encode_batch_fast([p[skip:].decode() for p in some], add_special_tokens=False)
-            found.update((piece, e.ids) for piece, e in zip(some, encoded))
+        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        found.update((piece, e.ids) for piece, e in zip(pieces, encoded))
         for run, cut in parts.items():
             if run not in found:
                 found[run] = [k for piece in cut for k in (found[piece] if piece in found else self._ids(piece))]
@@ -131,7 +156,7 @@ class Codec:
         return flat[starts[place]:ends[place]].tolist()
 
     def tree(self, text: str) -> list[bytes]:
-        """The keys of a long text's runs, special tokens between."""
+        """The keys of the parts of a long text between special tokens, and of those."""
         out, at = [], 0
         for special in self.special.finditer(text) if self.special else ():
             out += self._joined_keys(text[at:special.start()])
@@ -140,79 +165,40 @@ class Codec:
         return out + self._joined_keys(text[at:])
 
     def _joined_keys(self, raw: str) -> list[bytes]:
-        """The keys of a stretch without special tokens: leaves, joined in pairs, level by level."""
+        """The key of a stretch without special tokens: leaves, joined in pairs, level by level."""
         text = self.tokenizer.normalizer.normalize_str(raw) if raw and self.tokenizer.normalizer else raw
         parts = max(1, 1 << (max(1, -(-len(text) // self.leaf)) - 1).bit_length())
         cuts = [len(text) * k // parts for k in range(parts + 1)]
         each = self.pool.map if parts >= THREADED else map
-        nodes = list(each(lambda span: self._leaf(text, *span), [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]))
+        nodes = list(each(lambda span: self._tokens(text, *span), [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]))
         while len(nodes) > 1:
             pairs = list(zip(nodes[::2], nodes[1::2]))
             nodes = list(each(lambda pair: self._joined(text, *pair), pairs)) + nodes[len(pairs) * 2:]
-        return list(chain.from_iterable(map(self._keys, nodes[0][3]))) if nodes else []
-
-    def _keys(self, item) -> list[bytes]:
-        """The keys of a run, or of tokens."""
-        if isinstance(item, list):
-            return [IDS + np.array([number for _, _, number in item], np.int32).tobytes()] if item else []
-        key = item.encode()
-        return [key if self.splits and item.isascii() and b"<|" not in key else NORMALISED + key] if item else []
+        return [IDS + np.array([number for _, _, number in nodes[0][2]], np.int32).tobytes()] if nodes else []
 
-    def _leaf(self, text: str, a: int, b: int):
-        """a, b, and where the runs of text[a:b] begin, with the runs: text not encoded yet."""
-        if not self.splits:
-            return a, b, [a], [text[a:b]]
-        runs = text[a:b].split(" ")
-        starts = (a + np.cumsum([0, *[len(run) + 1 for run in runs[:-1]]])).tolist()
-        return a, b, starts, runs
-
-    def _tokens(self, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
-        """The tokens (start, end, id) of text[a:b], placed in the whole text."""
+    def _tokens(self, text: str, a: int, b: int):
+        """a, b and the tokens (start, end, id) of text[a:b], placed in the whole text."""
         found = self.plain.encode(text[a:b], add_special_tokens=False)
-        return [(s + a, e + a, number) for (s, e), number in zip(found.offsets, found.ids)]
-
-    def _near(self, text: str, node, first: int, last: int) -> list[tuple[int, int, int]]:
-        """The tokens of the items `first` up to `last` of a node: runs are encoded here, joins hold their tokens."""
-        _, hi, starts, items = node
-        out, at = [], first
-        while at < last:
-            if isinstance(items[at], list):
-                out += items[at]
-                at += 1
-                continue
-            to = at + 1
-            while to < last and not isinstance(items[to], list):
-                to += 1
-            out += self._tokens(text, starts[at], starts[to] if to < len(starts) else hi)
-            at = to
-        return out
+        return a, b, [(s + a, e + a, number) for (s, e), number in zip(found.offsets, found.ids)]
 
     def _joined(self, text: str, left, right):
-        """Both sides' items, with the tokens around the join exactly as of one piece.
+        """The tokens of both sides' text, exactly as of one piece.
 
         A window around the join is encoded anew. Where AGREED tokens in a row are the same in it and in a side, the
         side goes on as it was: whether a token sequence is the encoding depends on neighbouring tokens only, and all
         neighbours then come from one encoding. Tokens that touch a cut don't count, as the cut may have changed them.
         The window doubles until it agrees with both sides, or it holds a side whole.
         """
-        lo, at, one_starts, one_items = left
-        _, hi, two_starts, two_items = right
+        lo, at, one = left
+        _, hi, two = right
         half = self.window
         while True:
             a, b = max(lo, at - half), min(hi, at + half)
-            first = max(0, bisect_right(one_starts, a) - 1)
-            last = max(1, bisect_left(two_starts, b))
-            seen = self._tokens(text, a, b)
-            one, two = self._near(text, left, first, len(one_items)), self._near(text, right, 0, last)
-            enter = (0, 0) if a == lo else _agreement(seen, one, a, at, False)
-            leave = (len(seen), len(two)) if b == hi else _agreement(seen, two, a, b, True)
-            if enter and leave and enter[0] <= leave[0]:
-                if a == lo:
-                    first = 0
-                if b == hi:
-                    last = len(two_items)
-                middle = one[:enter[1]] + seen[enter[0]:leave[0]] + two[leave[1]:]
-                return lo, hi, one_starts[:first] + [one_starts[first]] + two_starts[last:], one_items[:first] + [middle] + two_items[last:]
+            _, _, seen = self._tokens(text, a, b)
+            first = (0, 0) if a == lo else _agreement(seen, one, a, at, False)
+            last = (len(seen), len(two)) if b == hi else _agreement(seen, two, a, b, True)
+            if first and last and first[0] <= last[0]:
+                return lo, hi, one[:first[1]] + seen[first[0]:last[0]] + two[last[1]:]
             half *= 2
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
@@ -248,6 +234,18 @@ def _local(definition: dict) -> bool:
     return cut and merges and not odd
 
 
+def _reach(runs: list[bytes], at: int, step: int, window: int) -> int:
+    """How far a window of so many bytes reaches from `at` to one side: whole runs, up to one that is ids."""
+    size = 0
+    while size < window and 0 <= (at - 1 if step < 0 else at) < len(runs):
+        run = runs[at - 1 if step < 0 else at]
+        if run[:1] == IDS:
+            break
+        size += len(run) + 1
+        at += step
+    return at
+
+
 def _parts(run: bytes) -> tuple[bytes, ...]:
     """A run of ASCII lower-cased, cut before its last punctuation where a letter or digit comes before.
 

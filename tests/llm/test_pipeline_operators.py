@@ -272,10 +272,20 @@ def test_tree_of_any_text_equals_one_piece(tokenizer, spaces):
 
 def test_long_texts_go_through_the_tree(tokenizer, monkeypatch):
     codec = bpe.Codec(definition(), leaf=40, window=4)
-    joins = []
-    monkeypatch.setattr(codec, "_joined", lambda *node: joins.append(1) or bpe.Codec._joined(codec, *node))
+    joins, nodes = [], []
+    monkeypatch.setattr(codec, "_join", lambda found: joins.extend(found) or bpe.Codec._join(codec, found))
+    monkeypatch.setattr(codec, "_joined", lambda *node: nodes.append(1) or bpe.Codec._joined(codec, *node))
     held_against(codec, tokenizer, ["a few words of a text that has more than forty letters in several leaves, and some more " * 3])
-    assert len(joins) == 7
+    assert len(joins) == 7 and not nodes
+    held_against(codec, tokenizer, ["unsplit" * 40])
+    assert len(joins) == 7 and len(nodes) == 7
+
+
+def test_sides_that_never_agree_are_an_error(tokenizer, monkeypatch):
+    codec = bpe.Codec(definition(), leaf=40, window=4)
+    monkeypatch.setattr(codec, "_ids", lambda run: [0])
+    with pytest.raises(ValueError, match="White space"):
+        codec.encode(["some words that are told to be other tokens than the library says they are"])
 
 
 def test_tree_of_characters_with_equal_tokens(tokenizer):
