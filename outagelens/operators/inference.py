@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outagelens.functions.rules import is_any
@@ -45,13 +45,54 @@ def term_counts(df: DataFrame, id_col: str, target: str, text: str, stop_words:
     return kept.groupBy("known", "entity", "term").agg(F.count("*").alias("tf"))
 
 
-def term_table(counts: DataFrame) -> DataFrame:
-    """One row per term: in how many documents it is (df), and the categories that use it, with their counts.
+#: Categories whose products with a row are summed side by side.
+BLOCK = 64
 
-    A term's list is bounded by the number of categories.  Counts are combined before the shuffle.
+
+def category_table(counts: DataFrame, documents: Column, keep: Keep = as_is) -> DataFrame:
+    """One row per known category, in sort order: its block and place there, and its norm."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"), F.max("known").alias("shared")).where("shared")
+    weighted = counts.where("known").join(df.select("term", _idf(documents).alias("idf")), "term")
+    norms = weighted.groupBy(F.col("entity").alias("category")).agg(
+        F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("category_norm"))
+    at = F.row_number().over(Window.orderBy("category")) - 1  # over one row per category
+    return keep(norms.withColumn("block", F.floor(at / BLOCK).cast("int")).withColumn("at", (at % BLOCK).cast("int")))
+
+
+def _idf(documents: Column) -> Column:
+    return F.log((1 + documents) / (1 + F.col("df"))) + 1
+
+
+def term_table(counts: DataFrame, categories: DataFrame, width: int) -> DataFrame:
+    """One row per term: in how many documents it is (df), and its counts in the categories, an array for each block
+    of them in which it occurs.  Counts are combined before the shuffle."""
+    used = F.when(F.col("at").isNotNull(), F.struct("block", "at", "tf"))
+    placed = counts.join(categories.select(F.col("category").alias("entity"), F.lit(True).alias("known"), "block", "at"), ["known", "entity"], "left")
+    terms = placed.groupBy("term").agg(F.count("*").alias("df"), F.collect_list(used).alias("used"))
+    numbers = F.array_sort(F.array_distinct(F.transform("used", lambda one: one["block"])))
+
+    def dense(block: Column) -> Column:
+        own = F.map_from_entries(F.transform(
+            F.filter("used", lambda one: one["block"] == block), lambda one: F.struct(one["at"], one["tf"])))
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda at: F.coalesce(F.try_element_at(own, at), F.lit(0).cast("long")))
+
+    return terms.select("term", "df", F.transform(numbers, lambda block: F.struct(block.alias("block"), dense(block).alias("counts"))).alias("blocks"))
+
+
+def products(counts: DataFrame, terms: DataFrame, documents: Column, width: int) -> DataFrame:
+    """(row, block, squares, sums): for each row with a missing target the products of its weights with a block of categories.
+
+    A row's term meets a block's counts as one array, so a row has as many product rows as terms and blocks, not as
+    terms and categories; the sums are combined before the shuffle.
     """
-    used = F.when(F.col("known"), F.struct(F.col("entity").alias("category"), "tf"))
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.collect_list(used).alias("used"))
+    rows = counts.where(~F.col("known")).select(F.col("entity").alias("row"), "term", F.col("tf").alias("row_tf"))
+    met = rows.join(terms, "term").select("row", "row_tf", _idf(documents).alias("idf"), F.posexplode_outer("blocks").alias("nth", "met"))
+    weight = F.col("row_tf") * F.col("idf")
+    sums = [F.sum(weight * F.col("idf") * F.get("met.counts", F.lit(at))).alias(f"sum_{at}") for at in range(width)]
+    summed = met.groupBy("row", F.col("met.block").alias("block")).agg(
+        # A term counts once for the norm, in the first of its blocks.
+        F.sum(F.when(F.coalesce("nth", F.lit(0)) == 0, weight * weight)).alias("squares"), *sums)
+    return summed.select("row", "block", "squares", F.array(*[f"sum_{at}" for at in range(width)]).alias("sums"))
 
 
 def similar_categories(counts: DataFrame, id_col: str, keep: Keep = as_is) -> DataFrame:
@@ -59,45 +100,30 @@ def similar_categories(counts: DataFrame, id_col: str, keep: Keep = as_is) -> Da
 
     Ties, and rows that share no term with any category, go to the first category
     in sort order.  The counts meet the term table in one join on the term, which
-    yields a row's products with all categories and its norm together.  When
-    `keep` stores both sides, both reach the join through a plain exchange, and
-    Spark splits a word that is in very many documents over several tasks.
+    yields a row's products with all categories and its norm together, by blocks
+    of categories.  When `keep` stores both sides, both reach the join through a
+    plain exchange, and Spark splits a word that is in very many documents over
+    several tasks.
     """
     documents = counts.select("known", "entity").distinct().agg(F.count("*")).scalar()
-    idf = F.log((1 + documents) / (1 + F.col("df"))) + 1
-    terms = keep(term_table(counts))
-    category_norms = (
-        terms.select(idf.alias("idf"), F.inline("used"))
-        .groupBy("category")
-        .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("category_norm"))
-    )
-    rows = counts.where(~F.col("known")).select(F.col("entity").alias("row"), "term", F.col("tf").alias("row_tf"))
-    own = F.struct(F.lit(None).cast("string").alias("category"), F.col("row_tf").alias("tf"))
-    products = (
-        rows.join(terms, "term")
-        .select("row", "row_tf", idf.alias("idf"), F.inline(F.array_append("used", own)))
-        .groupBy("row", "category")
-        .agg(F.sum(F.col("row_tf") * F.col("tf") * F.col("idf") * F.col("idf")).alias("product"))
-    )
-    by_row = (
-        products.join(category_norms, "category", "left")
-        .groupBy("row")
-        .agg(
-            F.sqrt(F.max(F.when(F.col("category").isNull(), F.col("product")))).alias("row_norm"),
-            F.collect_list(
-                F.when(F.col("category").isNotNull(), F.struct("category", (F.col("product") / F.col("category_norm")).alias("part")))
-            ).alias("parts"),
-        )
-    )
-    scored = F.transform("parts", lambda part: F.struct(
+    categories = category_table(counts, documents, keep)
+    width = max(1, min(BLOCK, categories.count()))
+    terms = keep(term_table(counts, categories, width))
+    blocks = categories.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "category", "category_norm"))).alias("own"))
+    found = products(counts, terms, documents, width).join(blocks, "block", "left")
+    norms = found.groupBy("row").agg(F.sqrt(F.sum("squares")).alias("row_norm"), F.collect_list(
+        F.when(F.col("own").isNotNull(), F.transform("own", lambda one: F.struct(
+            (F.get("sums", one["at"]) / one["category_norm"]).alias("part"), one["category"].alias("category"))))).alias("parts"))
+    scored = F.transform(F.flatten("parts"), lambda part: F.struct(
         (-F.round(part["part"] / F.col("row_norm"), SCORE_DECIMALS)).alias("below"), part["category"].alias("category")
     ))
     first = counts.where("known").agg(F.min("entity")).scalar()
     return (
-        by_row.select(F.col("row").alias(id_col), F.array_min(scored).alias("best"))
+        norms.select(F.col("row").alias(id_col), F.array_min(scored).alias("best"))
         .select(
             id_col,
-            F.coalesce(F.col("best.category"), first).alias("assigned"),
+            # A block that a row shares no term with has scores of zero: the first category of all is among equals.
+            F.when(F.col("best.below") < 0, F.col("best.category")).otherwise(first).alias("assigned"),
             F.coalesce(-F.col("best.below"), F.lit(0.0)).alias("score"),
         )
         .where(F.col("assigned").isNotNull())

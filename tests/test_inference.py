@@ -1,11 +1,13 @@
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from outagelens.operators.inference import (
-    fill_from_text, inference_log, low_confidence, similar_categories, term_counts, tier_distribution,
+    category_table, fill_from_text, inference_log, low_confidence, similar_categories, term_counts, term_table, tier_distribution,
 )
 from outagelens.sources.checkpoints import stored
 
@@ -122,3 +124,38 @@ def test_a_word_in_every_document_is_split(spark):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_more_categories_than_a_block_holds(spark):
+    """150 categories in three blocks against plain TF-IDF; a row meets each block of a term once, not each category."""
+    rng = random.Random(11)
+    words = [f"word{k}" for k in range(60)]
+    known = [(f"k{c}", f"kind {c:03d}", " ".join(rng.choices(words, k=6))) for c in range(150) for _ in range(2)]
+    open_ = [(f"u{k}", None, " ".join(rng.choices([*words, "unseen", "elsewhere"], k=4))) for k in range(80)] + [("u98", None, "unseen only"), ("u99", None, None)]
+    counts = stored(term_counts(spark.createDataFrame([*known, *open_], "id string, kind string, text string"), "id", "kind", "text", []), "counts")
+    documents, tf = {}, Counter()
+    for name, kind, text in [*known, *open_]:
+        documents.setdefault(kind or name, Counter()).update((text or "").split())
+    documents = {d: t for d, t in documents.items() if t}
+    df = Counter(w for t in documents.values() for w in t)
+    idf = {w: math.log((1 + len(documents)) / (1 + n)) + 1 for w, n in df.items()}
+
+    def cosine(a, b):
+        norm = [math.sqrt(sum((n * idf[w]) ** 2 for w, n in x.items())) for x in (a, b)]
+        return sum(n * b[w] * idf[w] ** 2 for w, n in a.items()) / (norm[0] * norm[1])
+
+    kinds = sorted({kind for _, kind, _ in known})
+    want = {}
+    for name, _, text in open_:
+        if text:
+            scores = [(-round(cosine(documents[name], documents[kind]), 9), kind) for kind in kinds]
+            want[name] = (min(scores)[1], pytest.approx(-min(scores)[0], abs=1e-8))
+    found = {r["id"]: (r["assigned"], r["score"]) for r in similar_categories(counts, "id", lambda t: stored(t, "terms")).collect()}
+    assert found == want and found["u98"][0] == "kind 000"
+    categories = category_table(counts, F.lit(len(documents)))
+    assert [r["n"] for r in categories.groupBy("block").agg(F.count("*").alias("n")).orderBy("block").collect()] == [64, 64, 22]
+    terms = term_table(counts, categories, 64)
+    unknown = counts.where("NOT known")
+    by_block = unknown.join(terms, "term").agg(F.sum(F.greatest(F.size("blocks"), F.lit(1)))).first()[0]
+    by_category = unknown.join(counts.where("known").groupBy("term").agg(F.count("*").alias("n")), "term").agg(F.sum("n")).first()[0]
+    assert by_block <= 3 * unknown.count() < by_category / 2
