@@ -62,11 +62,14 @@ def lookup_spread(
         *[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(F.col(f"_of_{a}"), F.lit(default)).alias(a) for a in attributes])
 
 
+def expected_bytes(df: DataFrame) -> int:
+    """The size that Spark expects of a table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def may_be_broadcast(df: DataFrame) -> bool:
     """Whether Spark expects a table to be below the session's limit for broadcasts."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    expected = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(expected)) <= int(limit)
+    return expected_bytes(df) <= int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
 def unmatched(df: DataFrame, dimension: DataFrame, match: Column, columns: list[str]) -> DataFrame:

@@ -42,22 +42,26 @@ def structural_steps() -> list[tuple[str, Column]]:
     ]
 
 
-def keep_structural(raw: DataFrame, order: list[str], seen: Observation | None = None) -> DataFrame:
+def keep_structural(
+    raw: DataFrame, order: list[str], seen: Observation | None = None, dealt: Iterable[str] = (),
+) -> DataFrame:
     """First row per ticket, if it passes the filters; `seen` counts the first rows and those that each filter drops.
 
+    `dealt` names columns that the ticket id determines; rows already dealt by them are not shuffled again.
+
     The filters are judged before the duplicate step, but act behind it: a ticket
     whose first row fails is dropped even if a later copy would pass.  A failing
     row competes for first with its key, its order and a mark only; its texts are
     not shuffled.
     """
     judged = settled(raw, "_failed", first_failed_step(structural_steps()))
-    competing = ["TICKETID", *order]
+    competing = ["TICKETID", *dealt, *order]
     passes = F.col("_failed").isNull()
     narrowed = judged.select(
         *[F.col(f"`{c}`") if c in competing else F.when(passes, F.col(f"`{c}`")).alias(c) for c in raw.columns],
         "_failed",
     )
-    first = keep_first(narrowed, ["TICKETID"], order)
+    first = keep_first(narrowed, [*dealt, "TICKETID"], order)
     if seen is not None:
         dropped = [F.count_if(F.col("_failed") == n).alias(f"dropped_{n}") for n in range(1, len(structural_steps()) + 1)]
         first = first.observe(seen, F.count("*").alias("first_rows"), *dropped)
@@ -295,7 +299,9 @@ class Cleaning:
     counts and the comparisons are written once below the session's shared
     folder, while the plan is built; `cut` names another way to keep them.
     Without it the plan is lazy.  `seen` (see `watched`) counts rows inside the
-    plan, while the clean table is written.
+    plan, while the clean table is written.  `dealt` names columns that the ticket
+    id determines and the raw rows are dealt by; `areas` is a table with the raw
+    rows' Area that costs less to read than they do.
     """
 
     raw: DataFrame
@@ -306,6 +312,8 @@ class Cleaning:
     stop_words: Iterable[str] | None = None
     cut: Keep | None = None
     seen: dict[str, Observation] = field(default_factory=dict)
+    dealt: Iterable[str] = ()
+    areas: DataFrame | None = None
     stages: dict[str, DataFrame] = field(default_factory=dict)
     compared: dict[str, Compared] = field(default_factory=dict)
 
@@ -313,7 +321,7 @@ class Cleaning:
         require_columns(self.raw, fixed.REQUIRED_COLUMNS)
         stage = self.stages
         raw = self.raw.observe(self.seen["raw"], F.count("*").alias("rows")) if self.seen else self.raw
-        stage["filtered"] = keep_structural(raw, self.order, self.seen.get("first"))
+        stage["filtered"] = keep_structural(raw, self.order, self.seen.get("first"), self.dealt)
         if self.infer:
             self.stop_words = list(self.stop_words if self.stop_words is not None else default_stop_words())
             cut = self.cut or (lambda df: stored(df, "cleaning"))
@@ -327,7 +335,9 @@ class Cleaning:
         stage["standard"] = standardise(stage["caused"])
         stage["usable"] = drop_unusable(stage["standard"], STANDARD_CAUSE)
         stage["placed"] = with_region(stage["usable"])
-        stage["sited"] = with_site(keep_regions(stage["placed"]), self.sites, self.raw)
+        stage["sited"] = with_site(
+            keep_regions(stage["placed"]), self.sites, self.raw if self.areas is None else self.areas
+        )
         stage["modelled"] = model_service(hide_places(stage["sited"]), shown=self.raw)
         scoped = stage["modelled"]
         if self.region_scope:

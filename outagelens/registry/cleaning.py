@@ -17,7 +17,7 @@ from outagelens.plans import cleaning
 from outagelens.registry.base_sql import q, r, values
 from outagelens.registry.core import query
 from outagelens.sources.star_tickets import (
-    ARRIVAL_ORDER, clean_view, cleaning_view, raw_tickets, sites, table, written_clean,
+    ARRIVAL_ORDER, clean_view, cleaning_of, cleaning_view, raw_tickets, sites, table, written_clean,
 )
 
 # A stated list, so that both engines drop the same words.
@@ -244,7 +244,7 @@ def given_verdicts(spark, folder):
     given = {"complete": odd.cast("double").cast("string"), "incomplete": F.when(odd == 1, "1")}
     every = None
     for name, verdict in given.items():
-        run = cleaning.Cleaning(raw_tickets(spark, folder).withColumn("SLA_Compliant", verdict), sites(spark, folder), ARRIVAL_ORDER, infer=False)
+        run = cleaning_of(raw_tickets(spark, folder).withColumn("SLA_Compliant", verdict), spark, folder, infer=False)
         one = run.stages["modelled"].groupBy(F.lit(name).alias("verdicts"), "Priority_Urgency").agg(
             F.count("*").alias("tickets"), F.sum("SLA_Compliant").alias("compliant"))
         every = one if every is None else every.unionByName(one)
@@ -428,5 +428,5 @@ def site_names(spark, folder):
 SELECT "Region", "ZONE", count(*) AS tickets FROM clean WHERE "Region" = 'Region 3' GROUP BY ALL""")
 def region_scope(spark, folder):
     view = cleaning_view(spark, folder)
-    scoped = cleaning.Cleaning(view.raw, view.sites, ARRIVAL_ORDER, region_scope="Region 3", infer=False)
+    scoped = cleaning_of(view.raw, spark, folder, region_scope="Region 3", infer=False)
     return scoped.clean.groupBy("Region", "ZONE").agg(F.count("*").alias("tickets"))

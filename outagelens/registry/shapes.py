@@ -15,7 +15,7 @@ from outagelens.operators.ranking import (
 )
 from outagelens.operators.shape import compared, pivot, row_percentages, share_of_parent
 from outagelens.plans import kpis, zones
-from outagelens.plans.cleaning import Cleaning, audit_extracts
+from outagelens.plans.cleaning import audit_extracts
 from outagelens.plans.snapshots import extreme_rows
 from outagelens.registry import base_sql
 from outagelens.registry.base_sql import q, r, values
@@ -24,7 +24,7 @@ from outagelens.registry.core import query
 from outagelens.registry.kpis import SCORECARD
 from outagelens.sources.checkpoints import kept, stored
 from outagelens.sources.star_tickets import (
-    ARRIVAL_ORDER, clean_table, cleaning_view, raw_tickets, sites, table,
+    clean_table, cleaning_of, cleaning_view, raw_tickets, table,
 )
 
 
@@ -454,8 +454,8 @@ INFERRED = [
 
 def inferred_cleaning(spark, folder):
     """The cleaning plan with both inferences, through its default entry, built once in a session."""
-    return kept(spark, folder, "inferred-cleaning", lambda: Cleaning(
-        raw_tickets(spark, folder), sites(spark, folder), ARRIVAL_ORDER, stop_words=STOP_WORDS
+    return kept(spark, folder, "inferred-cleaning", lambda: cleaning_of(
+        raw_tickets(spark, folder), spark, folder, stop_words=STOP_WORDS
     ))
 
 
