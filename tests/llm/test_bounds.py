@@ -43,6 +43,34 @@ def test_learning_takes_no_more_rows_or_features_than_it_says(spark, monkeypatch
     assert all(len(x[0] if isinstance(x, tuple) else x) <= 1000 for own in seen for x in own)
 
 
+def test_all_labelled_rows_teach_beyond_the_first_model(spark, monkeypatch):
+    """Counts, network and thresholds: a word that only rows behind the first model have is learned all the same."""
+    monkeypatch.setattr(toxicity, "LEARN_ROWS", 200)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 400)
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices(["plain", "kind", "good", "calm"], k=6)), "en" if k % 2 else "fr", "s", 0) for k in range(1600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    first = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(200).select("doc_id").collect()]
+    # The first model's rows are told apart by another word than all others.
+    word = {k: ("vile" if k in first else "scorn") if k % 4 == 0 else "calm" for k, *_ in rows}
+    docs = spark.createDataFrame([(k, f"{text} {word[k]}", *rest) for k, text, *rest in rows], DOCS)
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(1600)], LABELS)
+    stored, total = toxicity.learning_rows(docs.select("doc_id", "text", "lang"), labels)
+    kept = stored.collect()
+    assert total == len(kept) == 1600 and len({r.shard for r in kept}) == 4
+    found, words = toxicity._tallies(stored, ["en", "fr"])
+    trains = [r for r in kept if not r.aside]
+    scorn = zlib.crc32(b"scorn") % toxicity.BUCKETS
+    assert found[1, scorn] == sum(word[r.doc_id] == "scorn" for r in trains) and found[0, scorn] == 0
+    assert words[:, 0].sum() == words[:, 1].sum() == 800 * 7
+    model = toxicity.learned(docs.select("doc_id", "text", "lang"), labels)
+    assert model.score("good calm scorn plain") >= toxicity.CUT > model.score("good calm kind plain")
+    lang, logit, hits, n = toxicity._margins(stored.filter("aside"), model)
+    assert n.sum() == len(kept) - len(trains) and hits.sum() == sum(r.toxic for r in kept if r.aside)
+    assert toxicity.best_threshold(np.repeat(logit, n), np.concatenate([[1] * h + [0] * (m - h) for h, m in zip(hits, n)])) == pytest.approx(
+        toxicity.best_threshold(logit, hits, n))
+
+
 def test_labels_and_languages_of_any_kind(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "LANGUAGES", 3)
     rows = [(k, "vile words here" if k % 2 else "kind words here", f"lang{k % 40}", "s", 0) for k in range(400)]
