@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,11 @@ def _repeats(key: str) -> Column:
     return F.count("*") - F.count_distinct(F.col(key)) - F.least(missing, F.lit(1))
 
 
-def initial_quality(df: DataFrame) -> DataFrame:
+def initial_quality(df: DataFrame, dealt: Iterable[str] = ()) -> DataFrame:
     """One row: issue counts of the raw table and a score that starts at 100.
 
-    A row can count in several issues, and a missing value counts as invalid.
+    A row can count in several issues, and a missing value counts as invalid.  Rows are counted per ticket first; `dealt`
+    names columns that the ticket id determines, and rows already dealt by them are not shuffled for it.
     """
     def count_when(column: str, issue) -> Column:
         if column not in df.columns:
@@ -26,15 +29,27 @@ def initial_quality(df: DataFrame) -> DataFrame:
         return F.count_if(issue(F.col(column)))
 
     issues = {
-        "duplicate_tickets": _repeats("TICKETID") if "TICKETID" in df.columns else F.lit(0).cast("long"),
         "blank_priority": count_when("Priority", lambda c: c.isNull()),
         "invalid_priority": count_when("Priority", lambda c: not_in(c, fixed.REPORTED_PRIORITIES)),
         "invalid_urgency": count_when("Urgency", lambda c: not_in(c, fixed.KEPT_URGENCIES)),
         "invalid_status": count_when("FT Status", lambda c: not_in(c, fixed.REPORTED_STATUSES)),
         "invalid_fault_types": count_when("Fault Type", lambda c: present_and(c == "INVALID")),
     }
-    counted = df.agg(F.count("*").alias("total_records"), *[c.alias(name) for name, c in issues.items()])
-    found = sum((F.col(name) for name in issues), F.lit(0))
+    keyed = "TICKETID" in df.columns
+    tickets = df.groupBy(*dealt, "TICKETID") if keyed else df.groupBy()
+    per_ticket = tickets.agg(F.count("*").alias("_rows"), *[c.alias(name) for name, c in issues.items()])
+
+    def total(counts: Column) -> Column:
+        return F.coalesce(F.sum(counts), F.lit(0))
+
+    rows = F.col("_rows")
+    beyond = F.lit(0).cast("long")
+    if keyed:  # rows without an id repeat each other, whatever they are dealt by
+        missing = total(F.when(F.col("TICKETID").isNull(), rows))
+        beyond = total(F.when(F.col("TICKETID").isNotNull(), rows - 1)) + F.greatest(missing - 1, F.lit(0))
+    counted = per_ticket.agg(
+        total(rows).alias("total_records"), beyond.alias("duplicate_tickets"), *[total(F.col(name)).alias(name) for name in issues])
+    found = sum((F.col(name) for name in ["duplicate_tickets", *issues]), F.lit(0))
     score = F.bround(100 - found / F.col("total_records") * 100, 2)
     return counted.withColumn("quality_score", F.when(F.col("total_records") > 0, score).otherwise(F.lit(0.0)))
 

@@ -17,7 +17,7 @@ from outagelens.plans import cleaning
 from outagelens.registry.base_sql import q, r, values
 from outagelens.registry.core import query
 from outagelens.sources.star_tickets import (
-    ARRIVAL_ORDER, clean_view, cleaning_of, cleaning_view, raw_tickets, sites, table, written_clean,
+    ARRIVAL_ORDER, DEALT, clean_view, cleaning_of, cleaning_view, raw_tickets, sites, table, written_clean,
 )
 
 # A stated list, so that both engines drop the same words.
@@ -105,7 +105,7 @@ SELECT *, round_even(100 - (duplicate_tickets + blank_priority + invalid_priorit
        + invalid_fault_types) / total_records::DOUBLE * 100, 2) AS quality_score
 FROM counted""")
 def raw_quality(spark, folder):
-    return quality.initial_quality(raw_tickets(spark, folder))
+    return quality.initial_quality(raw_tickets(spark, folder), dealt=[DEALT])
 
 
 @query("clean_validation", f"""
