@@ -66,9 +66,11 @@ def _idf(documents: Column) -> Column:
 def term_table(counts: DataFrame, categories: DataFrame, width: int) -> DataFrame:
     """One row per term: in how many documents it is (df), and its counts in the categories, an array for each block
     of them in which it occurs.  Counts are combined before the shuffle."""
-    used = F.when(F.col("at").isNotNull(), F.struct("block", "at", "tf"))
-    placed = counts.join(categories.select(F.col("category").alias("entity"), F.lit(True).alias("known"), "block", "at"), ["known", "entity"], "left")
-    terms = placed.groupBy("term").agg(F.count("*").alias("df"), F.collect_list(used).alias("used"))
+    # Lists are gathered from the categories' counts only: gathering sorts its rows, counting does not.
+    placed = counts.where("known").join(categories.select(F.col("category").alias("entity"), "block", "at"), "entity")
+    lists = placed.groupBy("term").agg(F.collect_list(F.struct("block", "at", "tf")).alias("_used"))
+    terms = counts.groupBy("term").agg(F.count("*").alias("df")).join(lists, "term", "left").withColumn(
+        "used", F.coalesce("_used", F.array().cast(lists.schema["_used"].dataType)))
     numbers = F.array_sort(F.array_distinct(F.transform("used", lambda one: one["block"])))
 
     def dense(block: Column) -> Column:

@@ -159,3 +159,18 @@ def test_more_categories_than_a_block_holds(spark):
     by_block = unknown.join(terms, "term").agg(F.sum(F.greatest(F.size("blocks"), F.lit(1)))).first()[0]
     by_category = unknown.join(counts.where("known").groupBy("term").agg(F.count("*").alias("n")), "term").agg(F.sum("n")).first()[0]
     assert by_block <= 3 * unknown.count() < by_category / 2
+
+
+def test_only_category_counts_are_gathered_in_lists(spark):
+    """The counts of rows, by far the most, are counted by term, never sorted to be gathered."""
+    counts = stored(spark.createDataFrame(
+        [(True, "a", "x", 2), (True, "b", "x", 1), (True, "b", "y", 3), (False, "r1", "x", 1), (False, "r2", "z", 1)],
+        "known boolean, entity string, term string, tf long"), "counts")
+    categories = category_table(counts, F.lit(4)).cache()
+    terms = term_table(counts, categories, 2)
+    plan = terms._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "collect_list" in line]
+    at = plan.index(gathered[0])
+    assert len(gathered) == 1 and "Filter" in plan[at:] and "known" in plan[at:].split("Filter", 1)[1].splitlines()[0]
+    assert {(r.term, r.df, tuple(tuple(b.counts) for b in r.blocks)) for r in terms.collect()} == {
+        ("x", 3, ((2, 1),)), ("y", 1, ((0, 3),)), ("z", 1, ())}
