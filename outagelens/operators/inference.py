@@ -152,6 +152,8 @@ def fill_from_text(
     Without any known category, or when no row with a missing target has usable
     text, the constant is filled in.  Otherwise a row without usable text stays
     missing.  `keep` may store what several branches read; `compared` brings it along.
+
+    Only rows with a missing target meet the comparisons, so only they are shuffled for it; the table is read for either kind.
     """
     for column in (text, target):
         if column not in df.columns:
@@ -164,7 +166,10 @@ def fill_from_text(
     )
     filled = F.coalesce(F.col(target), F.col("_assigned"), F.when(nothing_to_compare, F.lit(constant)))
     matches = F.col(id_col).cast("string") == F.col("_row")
-    return df.join(found, matches, "left").withColumn(target, filled).drop("_row", "_assigned")
+    missing = F.col(target).isNull()
+    joined = df.where(missing).join(found, matches, "left").withColumn(target, filled).drop("_row", "_assigned")
+    given = df.where(~missing).withColumn("_assigned", F.lit(None).cast("string")).withColumn(target, filled).drop("_assigned")
+    return given.unionByName(joined)
 
 
 def inference_log(

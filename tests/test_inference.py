@@ -174,3 +174,20 @@ def test_only_category_counts_are_gathered_in_lists(spark):
     assert len(gathered) == 1 and "Filter" in plan[at:] and "known" in plan[at:].split("Filter", 1)[1].splitlines()[0]
     assert {(r.term, r.df, tuple(tuple(b.counts) for b in r.blocks)) for r in terms.collect()} == {
         ("x", 3, ((2, 1),)), ("y", 1, ((0, 3),)), ("z", 1, ())}
+
+
+def test_rows_with_a_target_are_not_shuffled_to_be_filled(spark):
+    rows = stored(spark.createDataFrame(ROWS + [("5", "fiber", "an id that is filled elsewhere")], "id string, kind string, text string"), "rows")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        filled = fill_from_text(rows, "id", "kind", "text", "none", STOP, lambda df: stored(df, "kept"))
+        plan = filled._jdf.queryExecution().optimizedPlan().toString()
+        given, met = plan[plan.index("Union"):].split("Join", 1)
+        assert "isnotnull(kind" in given and "isnull(kind" in met
+        found = sorted(filled.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == len(ROWS) + 1 and filled.columns == rows.columns
+    assert [r.kind for r in found if r.id == "5"] == ["fiber", "power"]
+    assert [r.kind for r in found if r.id in ("1", "4")] == ["power", "fiber"]
