@@ -17,7 +17,7 @@ LENGTH = 200
 GRAM = 40
 #: Bytes of text whose anchors are looked for at a time, and bytes that one transform holds.
 PORTION, POOL = 1 << 18, 1 << 18
-#: Different surroundings of one anchor that share a transform; more are dealt over several, compared by digests.
+#: Different pieces around one anchor that share a transform; where there are more, the anchor is widened.
 BUCKET = 2000
 #: A byte that UTF-8 never holds.
 END = 255
@@ -34,6 +34,12 @@ def anchored(flat: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     gram of least hash, the first of equal ones, so equal strings have equal anchors at equal places. Every start from
     which `length` bytes of the text are left is in exactly one stretch; on average one begins every 80 bytes.
     """
+    for first, last, _, anchor in _stretches(flat, ends, length, gram, portion):
+        yield first, last, anchor
+
+
+def _stretches(flat: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, portion: int = PORTION):
+    """As `anchored`, with the place where the anchor begins: (first, last, place, anchor)."""
     wide = length - gram + 1
     for at in range(0, max(0, len(flat) - length + 1), portion):
         part = flat[at:at + portion + length - 1]
@@ -55,7 +61,7 @@ def anchored(flat: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
         place = least[fits].astype(np.int64)
         new = np.append(True, place[1:] != place[:-1])
         first, last = fits[new], fits[np.append(np.flatnonzero(new)[1:] - 1, len(fits) - 1)]
-        yield first + at, last + at, hashed[place[new]].view(np.int64)
+        yield first + at, last + at, place[new] + at, hashed[place[new]].view(np.int64)
 
 
 def _odd_numbers() -> Iterator[np.uint64]:
@@ -213,9 +219,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
     1. Texts are cut into stretches by anchor, and anchors that occur once are left.
     2. Where all stretches of an anchor are equal, they are one piece with a count: all of it repeats.
     3. Otherwise the different pieces are compared by transforms; a piece that occurs twice itself repeats as well.
-    Pieces of an anchor with more than `bucket` are dealt over several transforms, which name each of their strings by
-    a 128-bit digest; digests met twice repeat. Anchors are found anew in the second pass, which costs less than
-    storing them. Only stretches of repeated anchors, and the texts that lend a piece its bytes, are shuffled.
+    An anchor with more than `bucket` pieces is widened, see `_runs`. Anchors are found anew in the second pass, which
+    costs less than storing them. Only stretches of repeated anchors, and the texts that lend a piece its bytes, are shuffled.
     """
     bounded_batches(docs.sparkSession)
     texts = keyed(docs).select("id", "hash", "body")
@@ -226,13 +231,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
     hits = stored(places.join(repeated, "anchor"), "hits")
     pieces = stored(hits.filter("mixed").groupBy("anchor", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "hash", "start", "size")).alias("at")), "pieces")
-    found = stored(_compared(_with_bytes(pieces, texts, bucket), length), "compared")
-    many = found.select("anchor", "digest", F.explode("strings").alias("string")).select("anchor", "digest", "string.*")
-    again = stored(many.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "string"), "strings")
-    across = many.join(again, ["anchor", "string"]).select("anchor", "digest", F.array(F.struct(
-        F.col("at").alias("start"), F.col("at").alias("end"))).alias("runs"))
-    runs = stored(found.filter(F.size("runs") > 0).select("anchor", "digest", "runs").unionByName(across).groupBy(
-        "anchor", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    runs = _runs(_with_bytes(pieces, texts, length), pieces.select("anchor"), length, bucket)
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("size") - length).alias("end")))
     spans = hits.filter("not mixed").select("id", "hash", "start", whole.alias("runs")).unionByName(
         hits.filter("mixed").join(runs, ["anchor", "digest"]).select("id", "hash", "start", "runs"))
@@ -243,15 +242,68 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
         "id", "hash", merged(F.col("spans")).alias("spans")), "spans")
 
 
-def _with_bytes(pieces: DataFrame, texts: DataFrame, bucket: int) -> DataFrame:
-    """(anchor, digest, part, parts, n, piece): the pieces' bytes, from the text that each first occurs in."""
-    sizes = pieces.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("parts"))
+def _with_bytes(pieces: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """(anchor, digest, n, low, high, piece): the pieces' bytes, from the text that each first occurs in.
+
+    A piece's strings have between low and high bytes before the anchor.
+    """
     wanted = pieces.groupBy("at.id", "at.hash").agg(F.collect_list(F.struct("anchor", "digest", "n", "at.start", "at.size")).alias("wanted"))
     lent = F.inline("wanted")
-    cut = among(texts, pieces.select("at.hash")).join(stored(wanted, "wanted"), ["id", "hash"]).select("body", lent).select(
-        "anchor", "digest", "n", F.expr("substring(body, start + 1, size)").alias("piece"))
-    dealt = cut.join(stored(sizes, "sizes"), "anchor")
-    return dealt.withColumn("part", F.pmod("digest", F.col("parts")).cast("int"))
+    return among(texts, pieces.select("at.hash")).join(stored(wanted, "wanted"), ["id", "hash"]).select("body", lent).select(
+        "anchor", "digest", "n", F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"), F.expr("substring(body, start + 1, size)").alias("piece"))
+
+
+def _runs(pieces: DataFrame, anchors: DataFrame, length: int, bucket: int) -> DataFrame:
+    """(anchor, digest, runs) of the `pieces` (anchor, digest, n, low, high, piece) with repeats; `anchors` holds their anchors.
+
+    Up to `bucket` pieces of an anchor are compared by a transform; one alone repeats if it occurs twice itself. More are
+    halved: strings with few bytes before the anchor are told from those with many. All strings of a half hold some bytes
+    around the anchor, so these make a wider one, which fewer pieces share, and halves equal in all bytes are one piece
+    again. A string is in one half only, with all that equal it. The last half is a string, its own anchor.
+    """
+    sizes = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("own")).filter("own > 1"), "sizes")
+    dealt = stored(pieces.join(sizes, "anchor", "left"), "dealt")
+    wide = f"coalesce(own, 1) > {bucket} and low < high"
+    whole = F.array(F.struct(F.lit(0).alias("start"), (F.octet_length("piece") - length).alias("end")))
+    found = stored(_compared(dealt.filter(f"own > 1 and not ({wide})"), length).filter(F.size("runs") > 0).unionByName(
+        dealt.filter("own is null and n > 1").select("anchor", "digest", whole.alias("runs"))), "compared")
+    if sizes.filter(F.col("own") > bucket).isEmpty():
+        return found
+    halves = stored(_halves(dealt.filter(wide), length), "halves")
+    joined = stored(halves.groupBy(F.col("wider").alias("anchor"), F.col("name").alias("digest")).agg(
+        F.sum("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("piece").alias("piece")), "joined")
+    inner = _runs(joined, joined.select("anchor"), length, bucket).withColumnsRenamed({"anchor": "wider", "digest": "name"})
+    moved = F.transform("runs", lambda run: F.struct((run["start"] + F.col("at")).alias("start"), (run["end"] + F.col("at")).alias("end")))
+    outer = halves.select("anchor", "digest", "at", "wider", "name").join(inner, ["wider", "name"]).select("anchor", "digest", moved.alias("runs"))
+    return stored(found.unionByName(outer).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+
+
+def _halves(pieces: DataFrame, length: int) -> DataFrame:
+    """(anchor, digest, at, wider, name, n, low, high, piece): one or two halves of each piece, `at` bytes into it, and
+    the wider anchor and the digest that name a half."""
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, bounds = _bytes_of(batch.column("piece"))
+            view, begins, ends = memoryview(flat), bounds[:-1], bounds[1:]
+            place = np.empty(len(begins), np.int64)
+            for first, _, at, _ in _stretches(flat, ends, length):
+                place[np.searchsorted(ends, first, side="right")] = at
+            anchor, digest, n, low, high = (batch.column(c).to_numpy() for c in ("anchor", "digest", "n", "low", "high"))
+            middle = (low + high) // 2
+            for least, most in ((low, middle), (middle + 1, high)):
+                first, last = np.maximum(begins, place - most), np.minimum(ends - length, place - least)
+                own = np.flatnonzero(first <= last)
+                spans = list(zip(first[own].tolist(), (last[own] + length).tolist()))
+                held = zip((place - least)[own].tolist(), (place + length - most)[own].tolist(), least[own].tolist())
+                wider = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b], seed) for a, b, seed in held), np.uint64, len(own))
+                name = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in spans), np.uint64, len(own))
+                yield pa.record_batch(
+                    [anchor[own], digest[own], (first - begins)[own].astype(np.int32), wider.view(np.int64), name.view(np.int64), n[own],
+                     least[own].astype(np.int32), most[own].astype(np.int32), pa.array([bytes(view[a:b]) for a, b in spans], pa.binary())],
+                    ["anchor", "digest", "at", "wider", "name", "n", "low", "high", "piece"])
+
+    return pieces.select("anchor", "digest", "n", "low", "high", "piece").mapInArrow(
+        halved, "anchor long, digest long, at int, wider long, name long, n long, low int, high int, piece binary")
 
 
 def among(texts: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -270,8 +322,7 @@ def _maybe(texts: DataFrame, hashes: DataFrame):
 
 
 def _compared(pieces: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, runs, strings): runs of repeated starts within each transform, and the digests of all strings
-    of anchors that are dealt over several."""
+    """(anchor, digest, runs): runs of repeated starts, by transforms that hold all pieces of an anchor."""
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,29 +330,26 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
 
         def rows():
             kept = []
-            for (anchor, digest, _, many, n, piece), own in zip(held, repeated_runs([h[5] for h in held], length)):
+            for (anchor, digest, n, piece), own in zip(held, repeated_runs([h[3] for h in held], length)):
                 runs = [(0, len(piece) - length)] if n > 1 else own
-                strings = [{"at": k, "string": xxhash.xxh3_128_digest(piece[k:k + length])} for k in range(len(piece) - length + 1)] if many > 1 else []
-                kept.append({"anchor": anchor, "digest": digest, "runs": [{"start": a, "end": b} for a, b in runs], "strings": strings})
+                kept.append({"anchor": anchor, "digest": digest, "runs": [{"start": a, "end": b} for a, b in runs]})
             held.clear()
             return pa.RecordBatch.from_pylist(kept, schema)
 
-        schema = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                            ("strings", pa.list_(pa.struct([("at", pa.int32()), ("string", pa.binary())])))])
+        schema = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                key = row[0], row[2]
-                if size >= POOL and key != last:
+                if size >= POOL and row[0] != last:
                     yield rows()
                     size = 0
                 held.append(row)
-                size += len(row[5]) + 1
-                last = key
+                size += len(row[3]) + 1
+                last = row[0]
         if held:
             yield rows()
 
-    return pieces.select("anchor", "digest", "part", "parts", "n", "piece").repartition(parts, "anchor", "part").sortWithinPartitions(
-        "anchor", "part").mapInArrow(compared, f"anchor long, digest long, runs {SPANS}, strings array<struct<at:int,string:binary>>")
+    return pieces.select("anchor", "digest", "n", "piece").repartition(parts, "anchor").sortWithinPartitions(
+        "anchor").mapInArrow(compared, f"anchor long, digest long, runs {SPANS}")
 
 
 def merged(spans: Column) -> Column:

@@ -119,6 +119,44 @@ def test_pieces_of_one_anchor_in_several_transforms_and_degenerate_texts(spark):
     assert got(split) == want
 
 
+def around_one_passage(n, seed=4):
+    """Rows whose texts hold one passage, in part, whole or with a changed letter, between texts of their own."""
+    rng = random.Random(seed)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(330))
+    rows = []
+    for i in range(n):
+        kept = passage[rng.choice([0, 0, 70]):rng.choice([330, 330, 260])]
+        if i % 3 == 0:
+            at = rng.randrange(len(kept))
+            kept = kept[:at] + rng.choice("XYZ") + kept[at + 1:]
+        own = ["".join(rng.choice("klmnop ") for _ in range(rng.choice([0, 40, 180]))) for _ in range(2)]
+        rows.append((i // 2 * 2 if i % 10 == 0 else i, own[0] + kept + own[1], "en", "s", 0))
+    return rows + [rows[5], rows[5], (None, rows[7][1], "en", "s", 0)]
+
+
+def test_widened_anchors_lose_no_string(spark):
+    rows = around_one_passage(150)
+    table = spark.createDataFrame(rows, DOCS)
+    want = plain_substrings(rows)
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    found = substrings.deduplicated(table, bucket=2).select(
+        "row.doc_id", F.octet_length("kept").cast("long") + removed, removed, F.size("spans"), F.sha2("kept", 256))
+    assert got(found) == want
+
+
+def test_an_anchor_with_many_pieces_is_not_cut_into_all_its_strings(spark, monkeypatch):
+    held = []
+    kept = substrings.stored
+    monkeypatch.setattr(substrings, "stored", lambda table, label: held.append((label, kept(table, label))) or held[-1][1])
+    substrings.repeated_spans(spark.createDataFrame(around_one_passage(400), DOCS), bucket=50).count()
+    pieces = next(table for label, table in held if label == "pieces").count()
+    assert pieces > 500
+    for label, table in held:
+        lists = [F.size(f.name) for f in table.schema if f.dataType.typeName() == "array"]
+        made = table.agg(F.count(F.lit(1)) + sum((F.coalesce(F.sum(n), F.lit(0)) for n in lists), F.lit(0))).first()[0]
+        assert made <= 4 * pieces, label
+
+
 def test_substrings_query_equals_brute_force(spark):
     rows = [tuple(r) for r in read_table(spark, SMALL, "documents").select("doc_id", "text").collect()]
     assert got(QUERIES["op11_substrings"](spark, SMALL)) == plain_substrings(rows)
