@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ TILE, DENSE = 256, 0.25
 PAIRS, WORDS, ROWS = 2_000_000, 200_000, 100_000
 #: Bytes of text that are cut into words at a time.
 PORTION = 1 << 20
+#: Codes in a stored row, or a piece more, and rows that are looked up at a time. Parquet closes no page before 100 rows
+#: and its reader takes 4,096 at once, so rows of whole portions would fill gigabytes outside the heap.
+CODES, RUN = 512, 256
 #: Codes from here on are hashes.
 HASHED = 1 << 62
 
@@ -127,20 +131,31 @@ def _filter(coded: DataFrame) -> Filter:
     return Filter(coded.filter("rank is null").select("hash"))
 
 
+def in_rows(codes: np.ndarray, most: int = CODES) -> list[np.ndarray]:
+    """The codes, whose last is 0, in rows that each end with a 0: the first one after every `most` codes."""
+    ends = np.flatnonzero(codes == 0) + 1
+    cuts = np.unique(ends[np.searchsorted(ends, np.arange(most, len(codes), most))])
+    return np.split(codes, cuts[cuts < len(codes)])
+
+
 def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(lang, codes): the codes of the texts' words, 0 where a piece ends or a word is not frequent. Stored once."""
-    known: dict[str, dict[bytes, int]] = defaultdict(dict)
+    """(lang, codes): the codes of the texts' words, 0 where a piece ends or a word is not frequent. Stored once.
+
+    A portion of texts is many rows, which stand together and each end with a 0.
+    """
+    known: dict[str, dict[bytes, int]] = defaultdict(lambda: {b"": -1, b"\n": 0})
     for lang, word, rank in words.filter("rank is not null").select("lang", "phrase", "rank").toLocalIterator():
         known[lang][word.encode()] = rank
     model = carried(docs.sparkSession, (dict(known), _filter(words)))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, rest = model()
+        none = {b"": -1, b"\n": 0}
         for batch in batches:
             langs, lists = [], []
             for lang, texts in _by_language(batch):
                 found = tokens(texts)
-                get = ({b"": -1, b"\n": 0} | ranks.get(lang, {})).get
+                get = ranks.get(lang, none).get
                 codes = np.array([get(t, 0) for t in found], np.int64)
                 if rest.bits is not None:
                     open_ = [(k, word_hash(found[k])) for k in np.flatnonzero(codes == 0).tolist() if found[k] != b"\n"]
@@ -148,8 +163,9 @@ def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
                     codes[places] = np.where(rest.has(numbers), hashed_code(numbers), 0)
                 codes = codes[codes >= 0]
                 codes = codes[(codes > 0) | (np.append(codes[1:], 0) > 0)]  # one break instead of several
-                langs.append(lang)
-                lists.append(np.append(codes, 0))
+                rows = in_rows(np.append(codes, 0))
+                langs += [lang] * len(rows)
+                lists += rows
             if langs:
                 ends = np.cumsum([0, *map(len, lists)])
                 yield pa.record_batch([pa.array(langs), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(lists))],
@@ -166,34 +182,58 @@ def tiled(p: np.ndarray, w: np.ndarray, tile: int = TILE, dense: float = DENSE)
     """
     inside = (p < HASHED) & (w < HASHED)
     out = []
-    if inside.any():
-        q, v = p[inside], w[inside]
-        wide = int(v.max()) // tile + 1
-        at = q // tile * wide + v // tile
-        where, size = np.unique(at, return_counts=True) if (int(q.max()) // tile + 1) * wide > 1 << 24 else _bincount(at)
-        full = where[size >= dense * tile * tile]
-        place = np.searchsorted(full, at)
-        direct = full[np.minimum(place, len(full) - 1)] == at if len(full) else np.zeros(len(at), bool)
-        cells = np.bincount((place[direct] * tile + q[direct] % tile) * tile + v[direct] % tile)
-        held = np.flatnonzero(cells)
-        corner = full[held // (tile * tile)] if len(held) else held
-        out.append((corner // wide * tile + held // tile % tile, corner % wide * tile + held % tile, cells[held]))
-        side = int(v.max()) + 1
-        keys, often = np.unique(q[~direct] * side + v[~direct], return_counts=True)
-        out.append((keys // side, keys % side, often))
     if not inside.all():
         q, v = p[~inside], w[~inside]
         order = np.lexsort((v, q))
         q, v = q[order], v[order]
         first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])))
         out.append((q[first], v[first], np.diff(np.append(first, len(q)))))
-    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def _bincount(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.bincount(at)
-    held = np.flatnonzero(size)
-    return held, size[held]
+        p, w = p[inside], w[inside]
+    if len(p):
+        # Arrays as long as the pairs are few and go early: they are what a worker's memory is spent on.
+        wide, side = int(w.max()) // tile + 1, int(w.max()) + 1
+        at = p // tile
+        at *= wide
+        at += w // tile
+        where = None
+        if (int(p.max()) // tile + 1) * wide > 1 << 24:
+            where, at = np.unique(at, return_inverse=True)
+        full = np.flatnonzero(np.bincount(at) >= max(1, dense * tile * tile))
+        direct = np.zeros(0, np.int64)
+        if len(full):
+            place = np.full(int(at.max()) + 1, -1, np.int32)
+            place[full] = np.arange(len(full))
+            place = place[at]
+            del at
+            direct = np.flatnonzero(place >= 0)
+            cell = place[direct].astype(np.int64)
+            del place
+            for side_codes in (p, w):
+                inner = side_codes[direct]
+                inner %= tile
+                cell *= tile
+                cell += inner
+            del inner, side_codes
+            cells = np.bincount(cell)
+            del cell
+            held = np.flatnonzero(cells)
+            corner = (full if where is None else where[full])[held // (tile * tile)]
+            out.append((corner // wide * tile + held // tile % tile, corner % wide * tile + held % tile, cells[held]))
+            del cells
+        else:
+            del at
+        if len(direct) < len(p):
+            keys = p * side
+            keys += w
+            del p, w
+            if len(direct):
+                keys = np.delete(keys, direct)
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            often = np.diff(np.append(first, len(keys)))
+            keys = keys[first]
+            out.append((keys // side, keys % side, often))
+    return tuple(np.concatenate(x).astype(np.int64, copy=False) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 class Level:
@@ -225,6 +265,16 @@ class Level:
         return out
 
 
+def _runs(batch: pa.RecordBatch, most: int = RUN) -> Iterator[tuple[str, np.ndarray]]:
+    """The codes of up to `most` neighbouring rows of a language at a time."""
+    at, codes = 0, batch.column("codes")
+    for lang, rows in groupby(batch.column("lang").to_pylist()):
+        end = at + sum(1 for _ in rows)
+        for start in range(at, end, most):
+            yield lang, codes.slice(start, min(most, end - start)).flatten().to_numpy()
+        at = end
+
+
 def longer(codes: DataFrame, levels: list[Level], least: int = LEAST) -> DataFrame:
     """(lang, p, w, f): phrases one word longer than those of the last level, found `least` times or more.
 
@@ -233,19 +283,24 @@ def longer(codes: DataFrame, levels: list[Level], least: int = LEAST) -> DataFra
     model = carried(codes.sparkSession, levels)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = model(), defaultdict(list)
+        found, held = model(), defaultdict(lambda: ([], []))
         size: Counter = Counter()
 
+        def joined(parts):
+            whole = np.concatenate(parts)
+            parts.clear()
+            return whole
+
         def rows(lang):
             del size[lang]
-            counts = tiled(*(np.concatenate(x) for x in zip(*held.pop(lang))))
+            first, last = held.pop(lang)
+            counts = tiled(joined(first), joined(last))
             for at in range(0, len(counts[0]), ROWS):
                 p, w, often = (x[at:at + ROWS] for x in counts)
                 yield pa.record_batch([pa.array([lang] * len(p), pa.string()), pa.array(p), pa.array(w), pa.array(often)], ["lang", "p", "w", "f"])
 
         for batch in batches:
-            for lang, own in zip(batch.column("lang").to_pylist(), batch.column("codes")):
-                word = own.values.to_numpy()
+            for lang, word in _runs(batch):
                 code = word
                 for depth, level in enumerate(found, 1):
                     code = level.codes(lang, code[:-1], word[depth:])
@@ -253,7 +308,8 @@ def longer(codes: DataFrame, levels: list[Level], least: int = LEAST) -> DataFra
                 some = (p > 0) & (w > 0)
                 if found:
                     some &= code[1:] > 0
-                held[lang].append((p[some], w[some]))
+                for parts, codes_ in zip(held[lang], (p, w)):
+                    parts.append(codes_[some])
                 size[lang] += int(some.sum())
                 if sum(size.values()) >= PAIRS:
                     for each in list(held):

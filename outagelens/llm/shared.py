@@ -113,21 +113,24 @@ def per_process(name: str, make):
     return held[name]
 
 
+class _Whole:
+    """A value that is pickled with its functions and classes, and unpickled as itself."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def __reduce__(self):
+        return pickle.loads, (cloudpickle.dumps(self.value),)
+
+
 def carried(spark: SparkSession, value):
-    """A function that gives the value in any task: it is broadcast once, and a Python worker keeps the last one it met.
+    """A function that gives the value in any task: it is broadcast once, and a Python worker keeps it, but not its
+    pickled form, until a task comes that is sent others.
 
     For models of a bounded size only.
     """
-    held, key = bounded_batches(spark).sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
-
-    def found():
-        last = per_process("carried", dict)
-        if key not in last:
-            last.clear()
-            last[key] = pickle.loads(held.value)
-        return last[key]
-
-    return found
+    held = bounded_batches(spark).sparkContext.broadcast(_Whole(value))
+    return lambda: held.value
 
 
 #: Bits of a filter.

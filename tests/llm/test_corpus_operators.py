@@ -3,16 +3,18 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from outagelens.llm import collocations, prefix_trie, substrings
 from outagelens.llm.queries import QUERIES
-from outagelens.llm.shared import read_table
+from outagelens.llm.shared import carried, read_table
 
 from .rows import DOCS, messy
 
@@ -224,6 +226,59 @@ def test_tiles_count_as_a_plain_count_does():
         assert found == Counter(zip(p.tolist(), w.tolist()))
 
 
+def test_tiles_beyond_a_table_are_counted_too():
+    rng = np.random.default_rng(5)
+    p, w = (np.concatenate([rng.integers(1, 70_000, 20_000), np.full(500, 69_999)]) for _ in "pw")
+    found = {(a, b): c for a, b, c in zip(*(x.tolist() for x in collocations.tiled(p, w, tile=8)))}
+    assert found == Counter(zip(p.tolist(), w.tolist()))
+
+
+@pytest.mark.parametrize("high", [30_000, 900])
+def test_counting_pairs_takes_a_few_times_their_memory(high):
+    rng = np.random.default_rng(6)
+    pairs = [np.minimum(rng.pareto(0.8, 1_000_000) * 20 + 1, high).astype(np.int64) for _ in "pw"]
+    tracemalloc.start()
+    collocations.tiled(pairs.pop(0), pairs.pop())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= 2.5 * 16_000_000  # beside the pairs
+
+
+def test_codes_are_stored_in_short_rows(spark):
+    """A portion of text in one row made pages and batches that filled an executor's memory."""
+    docs = spark.createDataFrame([(1, "a b c. " * 20_000, "en", "s", 0), (2, "d " * 5_000, "fr", "s", 0)], DOCS).coalesce(1)
+    words = collocations.ranked(collocations.word_counts(docs, 1)[0], ["phrase"], collocations._word_hashes("phrase"))
+    rows = [(r.lang, r.codes) for r in collocations.encoded(docs, words).collect()]
+    assert all(codes[-1] == 0 for _, codes in rows)
+    assert max(len(codes) for lang, codes in rows if lang == "en") <= collocations.CODES + 4
+    assert [c for lang, codes in rows if lang == "en" for c in codes] == [1, 2, 3, 0] * 20_000
+    assert [codes for lang, codes in rows if lang == "fr"] == [[1] * 5_000 + [0]]  # a piece is not cut
+
+
+def test_rows_and_portions_of_any_size_give_the_same_phrases(spark, monkeypatch):
+    rows = texts_with_phrases(9)
+    for name, size in (("CODES", 7), ("RUN", 2), ("PAIRS", 50), ("PORTION", 400)):
+        monkeypatch.setattr(collocations, name, size)
+    monkeypatch.setattr(collocations.in_rows, "__defaults__", (7,))
+    monkeypatch.setattr(collocations._runs, "__defaults__", (2,))
+    found = collocations.collocations(spark.createDataFrame(rows, DOCS), least=5, head=20)
+    assert got(found.select(*PHRASE)) == plain_collocations(rows, least=5)
+
+
+def test_a_worker_keeps_no_pickled_form_of_what_is_carried(spark):
+    model = carried(spark, list(range(1000)))
+
+    def kept(batches):
+        from pyspark.core.broadcast import _broadcastRegistry
+
+        for batch in batches:
+            total = sum(model())
+            values = [getattr(b, "_value", None) for b in _broadcastRegistry.values()]
+            yield pa.record_batch([pa.array([total]), pa.array([sum(isinstance(v, bytes) for v in values)])], ["total", "pickled"])
+
+    assert {tuple(r) for r in spark.range(4).mapInArrow(kept, "total long, pickled long").collect()} == {(499_500, 0)}
+
+
 def test_scores_beyond_64_bits_stay_exact(spark):
     rows = [(i, "one two " * 50, "en", "s", 0) for i in range(2)]
     found = collocations.collocations(spark.createDataFrame(rows, DOCS), longest=2, least=100).first()
